@@ -51,14 +51,15 @@ def names_of(col: Column, lower: bool = False) -> Column:
 
 def parse_iso(col: Column) -> Column:
     """ISO text to timestamp; no zone means UTC, invalid or empty text means NULL."""
-    day = r"^\d{4}-\d{2}-\d{2}"
-    clock = r"[T ]\d{2}:\d{2}(:\d{2}(\.\d+)?)?"
-    zoned = (
-        F.when(col.rlike(day + "$"), F.concat(col, F.lit("T00:00:00Z")))
-        .when(col.rlike(day + clock + "$"), F.concat(col, F.lit("Z")))
-        .when(col.rlike(day + clock + r"(Z|[+-]\d{2}:\d{2})$"), col)
+    day, zone = r"^\d{4}-\d{2}-\d{2}", r"(Z|[+-]\d{2}:\d{2})"
+    minute = day + r"[T ]\d{2}:\d{2}"
+    second = minute + r":\d{2}(\.\d+)?"
+    full = (
+        F.when(col.rlike(day + "$"), F.concat(col, F.lit("T00:00:00")))
+        .when(col.rlike(minute + zone + "?$"), F.regexp_replace(col, f"({minute})", "$1:00"))
+        .when(col.rlike(second + zone + "?$"), col)
     )
-    return F.try_to_timestamp(zoned)
+    return F.try_to_timestamp(F.when(full.rlike(zone + "$"), full).otherwise(F.concat(full, F.lit("Z"))))
 
 
 def tokenize(col: Column) -> Column:

@@ -300,7 +300,8 @@ def stream_index_terms(spark: SparkSession, sf: str) -> DataFrame:
     source, path, out = _arrival_files(spark, sf), scratch_dir(spark, "curated"), scratch_dir(spark, "index")
     streaming.stream_ingest(spark, source, path, scratch_dir(spark, "progress")).awaitTermination()
     streaming.stream_index(spark, path, out, scratch_dir(spark, "progress")).awaitTermination()
-    return streaming.read_streamed_index(spark, out).term_stats.select("term", "df", "total_len")
+    found = streaming.read_streamed_index(spark, out).term_stats
+    return found.where(F.col("term") != lexical.TOTALS).select("term", "df", "total_len")
 
 
 # --- filters, look-ups and statistics -------------------------------------------------------
