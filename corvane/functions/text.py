@@ -50,16 +50,16 @@ def names_of(col: Column, lower: bool = False) -> Column:
 
 
 def parse_iso(col: Column) -> Column:
-    """ISO text to timestamp; no zone means UTC, invalid or empty text means NULL."""
-    day, zone = r"^\d{4}-\d{2}-\d{2}", r"(Z|[+-]\d{2}:\d{2})"
-    minute = day + r"[T ]\d{2}:\d{2}"
-    second = minute + r":\d{2}(\.\d+)?"
-    full = (
-        F.when(col.rlike(day + "$"), F.concat(col, F.lit("T00:00:00")))
-        .when(col.rlike(minute + zone + "?$"), F.regexp_replace(col, f"({minute})", "$1:00"))
-        .when(col.rlike(second + zone + "?$"), col)
-    )
-    return F.try_to_timestamp(F.when(full.rlike(zone + "$"), full).otherwise(F.concat(full, F.lit("Z"))))
+    """ISO text to timestamp; no zone means UTC, invalid or empty text means NULL.
+
+    Missing parts are filled in one after the other, so the text is read once per part.
+    """
+    minute, zone = r"\d{4}-\d{2}-\d{2}[T ]\d{2}:\d{2}", r"(?:Z|[+-]\d{2}:\d{2})"
+    second = minute + r":\d{2}(?:\.\d+)?"
+    timed = F.regexp_replace(col, r"^(\d{4}-\d{2}-\d{2})$", "$1T00:00")
+    exact = F.regexp_replace(timed, f"^({minute})({zone}?)$", "$1:00$2")
+    zoned = F.regexp_replace(exact, f"^({second})$", "$1Z")
+    return F.try_to_timestamp(F.regexp_extract(zoned, f"^{second}{zone}$", 0))
 
 
 def tokenize(col: Column) -> Column:
@@ -69,6 +69,11 @@ def tokenize(col: Column) -> Column:
     return F.array_remove(words, "")
 
 
+def _sections(*parts: tuple[str, Column]) -> Column:
+    """Labelled sections in order; a section whose value is NULL is left out."""
+    return F.concat_ws(" | ", *[F.concat(F.lit(f"{label}: "), value) for label, value in parts])
+
+
 def search_document(
     name_with_owner: Column,
     description: Column,
@@ -78,26 +83,18 @@ def search_document(
     activity: Column,
 ) -> Column:
     """One search text per record; sections without content are left out."""
+
     others = F.filter(languages, lambda x: x != primary_language)
-    return F.concat_ws(
-        " | ",
-        F.concat(F.lit("Repository: "), name_with_owner),
-        F.when(
-            (primary_language != "") & (primary_language != "Unknown"),
-            F.concat(F.lit("Primary Language: "), primary_language),
-        ),
-        F.when(
-            F.size(others) > 0,
-            F.concat(F.lit("Languages: "), F.array_join(F.slice(others, 1, MAX_LANGUAGES), ", ")),
-        ),
-        F.when(
-            F.size(topics) > 0,
-            F.concat(F.lit("Topics and tags: "), F.array_join(F.slice(topics, 1, MAX_TOPICS), ", ")),
-        ),
-        F.when(description != "", F.concat(F.lit("Description: "), description)),
-        F.when(activity > ACTIVE_ABOVE, F.lit("Status: Highly active and maintained")).when(
-            activity < DORMANT_BELOW, F.lit("Status: Inactive or legacy")
-        ),
+    status = F.when(activity > ACTIVE_ABOVE, "Highly active and maintained").when(
+        activity < DORMANT_BELOW, "Inactive or legacy"
+    )
+    return _sections(
+        ("Repository", name_with_owner),
+        ("Primary Language", F.when(~primary_language.isin("", "Unknown"), primary_language)),
+        ("Languages", F.when(F.size(others) > 0, F.array_join(F.slice(others, 1, MAX_LANGUAGES), ", "))),
+        ("Topics and tags", F.when(F.size(topics) > 0, F.array_join(F.slice(topics, 1, MAX_TOPICS), ", "))),
+        ("Description", F.nullif(description, F.lit(""))),
+        ("Status", status),
     )
 
 
@@ -110,12 +107,11 @@ def compact_document(
     activity: Column,
 ) -> Column:
     """The unconditional variant: every section is always present, numbers included."""
-    return F.concat_ws(
-        " | ",
-        F.concat(F.lit("Repository: "), name_with_owner),
-        F.concat(F.lit("Primary Language: "), primary_language),
-        F.concat(F.lit("Topics: "), F.concat_ws(", ", topics)),
-        F.concat(F.lit("Description: "), description),
-        F.concat(F.lit("Stars: "), stars.cast("string")),
-        F.concat(F.lit("Activity: "), activity.cast("string")),
+    return _sections(
+        ("Repository", name_with_owner),
+        ("Primary Language", primary_language),
+        ("Topics", F.array_join(topics, ", ")),
+        ("Description", description),
+        ("Stars", stars.cast("string")),
+        ("Activity", activity.cast("string")),
     )

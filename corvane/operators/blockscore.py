@@ -27,8 +27,8 @@ HITS = "query_id bigint, id bigint, score double"
 # A query batch is held locally and broadcast up to these sizes.
 MAX_QUERIES = 1024
 MAX_QUERY_BYTES = 16_000_000
-# Grid cells: rows per block. Queries per block are MAX_QUERIES.
-GRID_ROWS = 50_000
+# Grid cells: array values (vector entries or terms) per block of rows.
+GRID_VALUES = 8_000_000
 
 
 def best_rows(score_batch: Callable, n: int) -> Callable:
@@ -115,11 +115,16 @@ def grid_top(
     build_block: Callable,
     score_batch: Callable,
     n: int,
-    block_rows: int = GRID_ROWS,
+    values: str,
+    block_values: int = GRID_VALUES,
     block_queries: int = MAX_QUERIES,
 ) -> DataFrame:
-    """Per-cell best rows for any number of queries."""
-    row_blocks = max(1, math.ceil(rows.count() / block_rows))
+    """Per-cell best rows for any number of queries; ``values`` names the rows' array column.
+
+    Blocks are sized by the total length of that array and filled by a hash of the unique id.
+    """
+    total = rows.agg(F.sum(F.size(values)).alias("n")).first()["n"] or 0
+    row_blocks = max(1, math.ceil(total / block_values))
     query_blocks = max(1, math.ceil(queries.select("query_id").distinct().count() / block_queries))
 
     def block_of(key: str, n_blocks: int, name: str):

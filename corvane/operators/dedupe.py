@@ -5,13 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from corvane.session import materialise
+from corvane.session import BROADCAST_KEYS, materialise, small_side
 from corvane.sources.schemas import MAX_LENGTHS, REQUIRED
 
-# A load of at most this many rows may broadcast its keys.
-PROBE_KEYS = 20_000
-# Up to this many rows a sorted limit merges in one task; beyond it ids decide the cut.
-SORTED_LIMIT = 100_000
+# A sorted limit sends up to this many rows per task to one task; larger cuts go by rank.
+SORTED_LIMIT = 1_000
 
 
 def dedupe_first(df: DataFrame, key: str, order: str = "seq") -> DataFrame:
@@ -27,11 +25,12 @@ def dedupe_first(df: DataFrame, key: str, order: str = "seq") -> DataFrame:
 def only_new(df: DataFrame, existing: DataFrame, key: str, small: bool = False) -> DataFrame:
     """Rows whose key is not stored yet; stored rows are never changed.
 
-    With ``small`` (the caller has checked the batch against ``PROBE_KEYS``) the batch's keys are
+    With ``small`` (the caller has checked the batch against ``BROADCAST_KEYS``) the batch's keys are
     broadcast, so the stored table is only scanned. Otherwise both sides meet in a shuffled join;
-    dedupe before it, so that no key is frequent on either side.
+    dedupe first, so that no key is frequent in it.
     """
-    stored = existing.select(key)
+    # Distinct costs no shuffle of its own and keeps a repeated stored key from growing one task.
+    stored = existing.select(key).distinct()
     if small:
         stored = stored.join(F.broadcast(df.select(key)), key, "left_semi")
     return df.join(stored, key, "left_anti")
@@ -67,12 +66,17 @@ def assign_ids(df: DataFrame, order: str | list[str], start: int = 1, name: str
 
 
 def take_first_new(df: DataFrame, n: int | None, order: str = "seq", sorted_limit: int = SORTED_LIMIT) -> DataFrame:
-    """First ``n`` rows in input order; None or a number below 1 keeps all."""
+    """First ``n`` rows in input order (``order`` is unique); None or a number below 1 keeps all.
+
+    A large cut ranks the order column alone, then keeps the rows up to the n-th value of it.
+    """
     if not n or n < 1:
         return df
     if n <= sorted_limit:
         return df.orderBy(order).limit(n)
-    return assign_ids(df, order, name="_rank").where(F.col("_rank") <= n).drop("_rank")
+    ranked = assign_ids(df.select(order), order, name="_rank")
+    last = ranked.where(F.col("_rank") <= n).agg(F.max(order)).scalar()
+    return df.where(F.col(order) <= last)
 
 
 def _violations() -> list[Column]:
@@ -84,12 +88,11 @@ def _violations() -> list[Column]:
 def validate(df: DataFrame, key: str = "name_with_owner") -> tuple[DataFrame, DataFrame]:
     """Split rows into those that meet the table's constraints and those that do not.
 
-    Rejected rows carry ``violations``. Repeated keys are found with a partial aggregate and
-    joined back, so no task holds all the rows of one key.
+    Rejected rows carry ``violations``. Repeated keys come from a partial aggregate over the key
+    column alone; when they are few, the wide rows are not shuffled to be marked.
     """
-    repeated = (
-        df.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1").select(key, F.lit(f"unique:{key}").alias("_dup"))
-    )
+    counts = df.groupBy(key).agg(F.count("*").alias("_n")).where("_n > 1")
+    repeated = small_side(counts.select(key, F.lit(f"unique:{key}").alias("_dup")), BROADCAST_KEYS)
     checked = (
         df.join(repeated, key, "left")
         .withColumn("violations", F.array_compact(F.array(*_violations(), F.col("_dup"))))

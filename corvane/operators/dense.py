@@ -71,19 +71,21 @@ def dense_topk(
     vectors: DataFrame,
     n: int,
     max_queries: int = blockscore.MAX_QUERIES,
-    block_rows: int = blockscore.GRID_ROWS,
+    block_values: int = blockscore.GRID_VALUES,
+    measured: bool = False,
 ) -> DataFrame:
     """Exact cosine top ``n`` per query: (query_id, id, score, rank).
 
     ``queries(query_id, embedding)``, ``vectors(id, embedding)``; filter ``vectors`` first.
+    ``measured`` says that ``queries`` already comes from ``bounded_local``.
     """
     wanted = [c for c in ("query_id", "embedding", "cells") if c in queries.columns]
     queries = queries.where("embedding IS NOT NULL").select(*wanted)
     rows = vectors.where("embedding IS NOT NULL").select(*[c for c in ("id", "embedding", "cell") if c in vectors.columns])
-    local = bounded_local(queries, max_queries, blockscore.MAX_QUERY_BYTES)
+    local = queries if measured else bounded_local(queries, max_queries, blockscore.MAX_QUERY_BYTES)
     build, score = _builder(), _scorer(SCORE_DIGITS)
     if local is None:
-        hits = blockscore.grid_top(rows, queries, build, score, n, block_rows, max(1, max_queries))
+        hits = blockscore.grid_top(rows, queries, build, score, n, "embedding", block_values, max_queries)
     else:
         hits = blockscore.broadcast_top(rows, local.toArrow(), build, score, n)
     return blockscore.top_n_per_key(hits, n)

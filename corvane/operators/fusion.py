@@ -45,11 +45,14 @@ def rrf(lists: list[DataFrame], k: int = RRF_K) -> DataFrame:
 
 
 def minmax_normalise(hits: DataFrame, score: str = "score", name: str = "norm") -> DataFrame:
-    """Scale each query's scores to [0, 1]; all-equal scores become 0."""
+    """Scale each query's scores to [0, 1]; all-equal scores become 0.
+
+    ``total``, the number of the query's rows, comes from the same window.
+    """
     per_query = Window.partitionBy("query_id")
     low, high = F.min(score).over(per_query), F.max(score).over(per_query)
     width = F.when(high != low, high - low).otherwise(F.lit(1.0))
-    return hits.withColumn(name, (F.col(score) - low) / width)
+    return hits.withColumns({name: (F.col(score) - low) / width, "total": F.count(F.lit(1)).over(per_query)})
 
 
 def blend(hits: DataFrame, mode: str, language: str | None = None) -> DataFrame:

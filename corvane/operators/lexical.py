@@ -25,9 +25,11 @@ def doc_tokens(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def build_postings(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """(id, term, tf). Repeats are combined inside the scan's tasks before the shuffle."""
-    tokens = docs.select("id", F.explode(tokenize(F.col(text_col))).alias("term"))
-    return tokens.groupBy("id", "term").agg(F.count("*").alias("tf"))
+    """(id, term, tf). A document is one row, so its terms are counted in place: no shuffle."""
+    counted = count_terms(doc_tokens(docs.select("id", text_col), text_col))
+    return counted.select("id", F.inline(F.arrays_zip("terms", "tfs"))).select(
+        "id", F.col("terms").alias("term"), F.col("tfs").cast("bigint").alias("tf")
+    )
 
 
 def term_stats(tokens: DataFrame) -> DataFrame:
@@ -47,15 +49,12 @@ def term_stats(tokens: DataFrame) -> DataFrame:
 
 def corpus_stats(tokens: DataFrame) -> DataFrame:
     """Per term: document frequency, with corpus size and average length beside it."""
-    stats = term_stats(tokens)
-    totals = tokens.agg(F.count("*").alias("n_docs"), F.avg("doc_len").alias("avg_len"))
-    one = F.lit(1).alias("_one")
-    # The totals are a single aggregated row.
+    totals = tokens.agg(F.struct(F.count("*").alias("n_docs"), F.avg("doc_len").alias("avg_len")))
     return (
-        stats.where(F.col("term") != TOTALS)
-        .select("term", "df", one)
-        .join(F.broadcast(totals.select("*", one)), "_one")
-        .drop("_one")
+        term_stats(tokens)
+        .where(F.col("term") != TOTALS)
+        .select("term", "df", totals.scalar().alias("totals"))
+        .select("term", "df", "totals.n_docs", "totals.avg_len")
     )
 
 
@@ -161,20 +160,22 @@ def bm25_topk(
     stats: DataFrame | None = None,
     candidates: DataFrame | None = None,
     max_queries: int = blockscore.MAX_QUERIES,
-    block_rows: int = blockscore.GRID_ROWS,
+    block_values: int = blockscore.GRID_VALUES,
+    measured: bool = False,
 ) -> DataFrame:
     """BM25 top ``n`` per query: (query_id, id, score, rank); only rows that share a term.
 
     ``queries(query_id, text)``; ``doc_terms(id, doc_len, terms[, tfs])`` from ``doc_tokens`` or
     ``count_terms``. Statistics cover all of ``doc_terms`` (or come ready-made in ``stats``);
-    ``candidates`` is the filtered part to rank, by default all.
+    ``candidates`` is the filtered part to rank, by default all. ``measured`` says that ``queries``
+    already comes from ``bounded_local``.
     """
     spark = queries.sparkSession
     stats = term_stats(doc_terms) if stats is None else stats
     rows = doc_terms if candidates is None else candidates
     rows = rows.select(*[c for c in ("id", "doc_len", "terms", "tfs") if c in rows.columns])
     queries = queries.select("query_id", "text")
-    local = bounded_local(queries, max_queries, blockscore.MAX_QUERY_BYTES)
+    local = queries if measured else bounded_local(queries, max_queries, blockscore.MAX_QUERY_BYTES)
     tokens = (queries if local is None else local).select("query_id", tokenize(F.col("text")).alias("t"))
     query_terms = (
         tokens.select("query_id", F.size("t").alias("query_len"), F.explode("t").alias("term"))
@@ -194,7 +195,9 @@ def bm25_topk(
     weighted = weigh_queries(query_terms, stats, totals["df"], avg_len, idf)
     build, score = _builder(), _scorer(avg_len, K1, B, SCORE_DIGITS)
     if local is None:
-        hits = blockscore.grid_top(rows, weighted, build, score, n, block_rows, max(1, max_queries))
+        # Rows are copied once per query block: send counted terms, not every token.
+        rows = rows if "tfs" in rows.columns else count_terms(rows)
+        hits = blockscore.grid_top(rows, weighted, build, score, n, "terms", block_values, max_queries)
     else:
         hits = blockscore.broadcast_top(rows, weighted.toArrow(), build, score, n)
     return blockscore.top_n_per_key(hits, n)

@@ -69,36 +69,21 @@ def languages(df: DataFrame) -> DataFrame:
 
 
 def stats_record(df: DataFrame, index: DataFrame, n: int = 10) -> DataFrame:
-    """One row: table statistics, indexed rows and the top languages as an array.
-
-    The three aggregates are one row each; the array holds ``n`` items.
-    """
+    """One row: table statistics, indexed rows and the top languages as an array of ``n`` structs."""
+    ordered = F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("less"), "language")))
     ranked = top_languages(df, n).agg(
-        F.transform(
-            F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("c"), "language"))),
-            lambda x: F.struct(x["language"].alias("language"), (-x["c"]).alias("count")),
-        ).alias("top_languages")
+        F.transform(ordered, lambda x: F.struct(x["language"].alias("language"), (-x["less"]).alias("count")))
     )
-    indexed = index.agg(F.count("*").alias("indexed_in_search"))
-    one = F.lit(1).alias("_one")
-    return (
-        table_stats(df)
-        .select("*", one)
-        .join(indexed.select("*", one), "_one")
-        .join(ranked.select("*", one), "_one")
-        .drop("_one")
+    return table_stats(df).select(
+        "*",
+        index.agg(F.count("*")).scalar().alias("indexed_in_search"),
+        ranked.scalar().alias("top_languages"),
     )
 
 
 def index_freshness(index: DataFrame, table: DataFrame) -> DataFrame:
     """Row counts, whether the index must be rebuilt, and readiness."""
-    one = F.lit(1).alias("_one")
-    counts = (
-        index.agg(F.count("*").alias("indexed"))
-        .select("*", one)
-        .join(table.agg(F.count("*").alias("stored")).select("*", one), "_one")
-        .drop("_one")
-    )
+    counts = index.agg(F.count("*").alias("indexed")).select("*", table.agg(F.count("*")).scalar().alias("stored"))
     tolerance = F.greatest(F.lit(10).cast("bigint"), F.floor(F.col("stored") * 0.01))
     fresh = (F.col("indexed") > 0) & (F.abs(F.col("indexed") - F.col("stored")) <= tolerance)
     return counts.select(

@@ -503,6 +503,16 @@ def search_text_embedded(spark: SparkSession, sf: str) -> DataFrame:
     return search_plans.search(queries, found, mode="semantic").hits.select(*HIT)
 
 
+@register
+def stored_index_search(spark: SparkSession, sf: str) -> DataFrame:
+    """The same hybrid search against index tables that were written and read back."""
+    path = scratch_dir(spark, "index")
+    built = views.doc_index(spark, sf)
+    counted = search_plans.Index(built.repositories, built.vectors, lexical.count_terms(built.doc_terms))
+    index_plans.write_index(counted, path)
+    return search_plans.search(views.query_batch(spark, sf), index_plans.read_index(spark, path)).hits.select(*HIT)
+
+
 @register
 def search_empty(spark: SparkSession, sf: str) -> DataFrame:
     """A filter that no record meets: every query still has its summary row."""

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.operators.curate import curate, with_identity
-from corvane.operators.dedupe import PROBE_KEYS, assign_ids, dedupe_first, only_new, take_first_new
-from corvane.session import is_small
+from corvane.operators.dedupe import assign_ids, dedupe_first, only_new, take_first_new
+from corvane.session import BROADCAST_KEYS, is_small
 from corvane.sources.curated import append_load, path_exists
 from corvane.sources.repositories import SEQ, read_repositories
 from corvane.sources.schemas import STORED_SCHEMA
@@ -35,7 +35,7 @@ def ingest(raw: DataFrame, existing: DataFrame | None, n: int | None = None, **o
     """Curated rows to append for one load of raw records (with ``seq``)."""
     fresh = dedupe_first(curate(raw, **options), KEY, SEQ)
     if existing is not None:
-        fresh = only_new(fresh, existing, KEY, small=is_small(raw, PROBE_KEYS))
+        fresh = only_new(fresh, existing, KEY, small=is_small(raw, BROADCAST_KEYS))
     return take_first_new(fresh, n, SEQ)
 
 

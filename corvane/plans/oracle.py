@@ -355,8 +355,9 @@ ORACLES |= {
     "search_empty": summary(language="tlh"),
     "search_summary": summary(mode="lexical", language="fr", offset=10, limit=50),
     "search_report": f"""{search(limit=3)}, t AS (SELECT query_id, count(*) AS total FROM scored GROUP BY 1)
-        SELECT query_id, total, position, name_with_owner, primary_language, stars, score, dense_score, lexical_score,
-          metadata_score FROM t JOIN scored USING (query_id) WHERE position <= 3""",
+        SELECT q.query_id, coalesce(total, 0) AS total, position, name_with_owner, primary_language, stars, score,
+          dense_score, lexical_score, metadata_score
+        FROM q LEFT JOIN t USING (query_id) LEFT JOIN (SELECT * FROM scored WHERE position <= 3) USING (query_id)""",
     "sort_stars": hits(mode="semantic", sort_by="stars"),
     "sort_activity": hits(mode="semantic", sort_by="activity"),
     "sort_recency": hits(mode="semantic", sort_by="recency"),
@@ -365,4 +366,5 @@ ORACLES |= {
         SELECT source, total, greatest(1, ceil(total / 15.0))::BIGINT AS total_pages, least(31, total) AS start_row,
           least(45, total) AS end_row FROM t""",
 }
+ORACLES["stored_index_search"] = ORACLES["search_hybrid"]
 ORACLES["ann_topk_all_cells"] = ORACLES["dense_topk"]

@@ -54,11 +54,18 @@ def _check(mode: str, sort_by: str, limit: int, offset: int) -> None:
 
 
 def retrieve(
-    queries: DataFrame, index: Index, mode: str, n: int, language: str | None = None, min_stars: int = 0, idf: bool = True
+    queries: DataFrame,
+    index: Index,
+    mode: str,
+    n: int,
+    language: str | None = None,
+    min_stars: int = 0,
+    idf: bool = True,
+    measured: bool = False,
 ) -> DataFrame:
     """Candidates of every query: (query_id, id, score, rank), at most ``n`` each."""
     if mode != "lexical":
-        dense = dense_topk(queries, filter_hits(index.vectors, language, min_stars), n)
+        dense = dense_topk(queries, filter_hits(index.vectors, language, min_stars), n, measured=measured)
     if mode != "semantic":
         lexical = bm25_topk(
             queries,
@@ -67,6 +74,7 @@ def retrieve(
             idf=idf,
             stats=index.term_stats,
             candidates=filter_hits(index.doc_terms, language, min_stars),
+            measured=measured,
         )
     if mode == "semantic":
         return dense
@@ -92,8 +100,9 @@ def score_candidates(
     n = fusion.candidate_limit(offset, limit)
     local = bounded_local(queries, MAX_QUERIES, MAX_QUERY_BYTES)
     queries = queries if local is None else local
-    found = fusion.minmax_normalise(retrieve(queries, index, mode, n, language, min_stars, idf))
-    found = found.select("query_id", "id", "rank", "norm")
+    found = retrieve(queries, index, mode, n, language, min_stars, idf, measured=local is not None)
+    found = fusion.minmax_normalise(found)
+    found = found.select("query_id", "id", "rank", "norm", "total")
     if local is not None and local.count() * n <= BROADCAST_HITS:
         found = F.broadcast(found)
     hits = index.repositories.join(found, "id")
@@ -117,7 +126,7 @@ def search(
     anything but relevance orders that window, not the corpus.
     """
     scored = score_candidates(queries, index, mode, language, min_stars, sort_by, limit, offset, idf)
-    totals = scored.groupBy("query_id").agg(F.count("*").alias("total"))
+    totals = scored.where("position = 1").select("query_id", "total")
     total = F.coalesce("total", F.lit(0).cast("bigint"))
     shown = F.greatest(F.lit(0).cast("bigint"), F.least(F.lit(limit).cast("bigint"), total - offset))
     summary = queries.join(totals, "query_id", "left").select(
@@ -134,9 +143,8 @@ def search(
 
 def search_report(queries: DataFrame, index: Index, top: int = 3, **options) -> DataFrame:
     """Per query: its total and the name, language, stars and scores of its first hits."""
-    result = search(queries, index, limit=top, **options)
-    hits = result.hits.select(
-        "query_id", "position", "name_with_owner", "primary_language", "stars",
+    hits = search(queries, index, limit=top, **options).hits.select(
+        "query_id", "total", "position", "name_with_owner", "primary_language", "stars",
         "score", "dense_score", "lexical_score", "metadata_score",
-    )
-    return result.summary.select("query_id", "total").join(hits, "query_id", "left")
+    )
+    return queries.select("query_id").join(hits, "query_id", "left").fillna(0, ["total"])

@@ -64,11 +64,23 @@ def spread(df: DataFrame) -> DataFrame:
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
 
 
+# A join side of at most this many short keys may be broadcast.
+BROADCAST_KEYS = 20_000
+
+
 def is_small(df: DataFrame, rows: int) -> bool:
     """Whether ``df`` has at most ``rows`` rows; stops reading once that is known."""
     return len(df.select(F.lit(1)).take(rows + 1)) <= rows
 
 
+def small_side(df: DataFrame, rows: int) -> DataFrame:
+    """``df`` marked for broadcast when it has at most ``rows`` rows, unchanged otherwise.
+
+    The check costs one run of ``df``: use it where that is cheaper than shuffling the other side.
+    """
+    return F.broadcast(df) if is_small(df, rows) else df
+
+
 def bounded_local(df: DataFrame, max_rows: int, max_bytes: int) -> DataFrame | None:
     """A driver-held copy of ``df``, or None when its measured size exceeds the bounds.
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from corvane.session import BROADCAST_KEYS, small_side
+
 
 def path_exists(spark: SparkSession, path: str) -> bool:
     """Whether a folder exists on whatever file system its address names."""
@@ -19,14 +21,17 @@ def write_curated(
     partition_by: str | None = None,
     max_records_per_file: int | None = None,
 ) -> None:
-    """Overwrite ``path``; rows are sorted by stars inside each file so that scans can skip."""
+    """Overwrite ``path``; rows are sorted by stars inside each file so that scans can skip.
+
+    With ``partition_by``, rows of one value are brought together in files of even size: a
+    rebalance lets adaptive execution split a value that fills a third of the table over many
+    tasks and join small values into one.
+    """
     if partition_by:
-        # One value may hold a third of the rows: spread each value over several tasks.
-        salt = F.pmod(F.xxhash64("name_with_owner"), F.lit(16))
-        df = df.repartition(F.col(partition_by), salt)
-    if "stars" in df.columns:
-        keys = [partition_by] if partition_by else []
-        df = df.sortWithinPartitions(*keys, "stars")
+        df = df.hint("rebalance", F.col(partition_by))
+    keys = [c for c in (partition_by, "stars") if c in df.columns]
+    if keys:
+        df = df.sortWithinPartitions(*keys)
     writer = df.write.mode("overwrite").format(fmt)
     if partition_by:
         writer = writer.partitionBy(partition_by)
@@ -80,6 +85,8 @@ def read_jdbc(
 def upsert_by_key(existing: DataFrame, new: DataFrame, key: str) -> DataFrame:
     """New rows replace stored rows with the same key; other stored rows stay.
 
-    Write the result to a new path: it still reads from the old one.
+    A small update is broadcast, so the stored rows are scanned and not shuffled. Write the result
+    to a new path: it still reads from the old one.
     """
-    return new.unionByName(existing.join(new.select(key), key, "left_anti"))
+    keys = small_side(new.select(key), BROADCAST_KEYS)
+    return new.unionByName(existing.join(keys, key, "left_anti"))

@@ -61,15 +61,15 @@ def same(rows, want):
 
 
 @pytest.mark.parametrize("idf", [True, False])
-@pytest.mark.parametrize("max_queries, block_rows", [(1024, 50_000), (7, 60)])
+@pytest.mark.parametrize("max_queries, block_values", [(1024, 8_000_000), (7, 1500)])
 @pytest.mark.parametrize("counted", [False, True])
-def test_bm25_equals_brute_force(spark, idf, max_queries, block_rows, counted):
+def test_bm25_equals_brute_force(spark, idf, max_queries, block_values, counted):
     docs, queries = corpus(3, 250, 20)
     tokens = lexical.doc_tokens(spark.createDataFrame(docs, "id long, text string").repartition(5))
     if counted:
         tokens = lexical.count_terms(tokens)
     got = lexical.bm25_topk(
-        spark.createDataFrame(queries, "query_id long, text string"), tokens, 15, idf=idf, max_queries=max_queries, block_rows=block_rows
+        spark.createDataFrame(queries, "query_id long, text string"), tokens, 15, idf=idf, max_queries=max_queries, block_values=block_values
     )
     plain = [(i, t or "") for i, t in docs]
     same(got.collect(), bm25_brute(plain, queries, 15, idf))
@@ -104,6 +104,14 @@ def test_tokens(spark):
     assert got == {0: (["über", "c", "naïve", "café", "42"], 5), 1: ([], 0), 2: ([], 0)}
 
 
+def test_postings_need_no_shuffle(spark):
+    docs, _ = corpus(9, 90, 1)
+    postings = lexical.build_postings(spark.createDataFrame(docs, "id long, text string"))
+    got = {(r["id"], r["term"]): r["tf"] for r in postings.collect()}
+    assert got == {(i, w): n for i, t in docs for w, n in Counter((t or "").split()).items()}
+    assert "Exchange" not in postings._jdf.queryExecution().executedPlan().toString()
+
+
 def test_count_terms(spark):
     docs, _ = corpus(9, 90, 1)
     tokens = lexical.doc_tokens(spark.createDataFrame(docs, "id long, text string"))
@@ -131,12 +139,12 @@ def cosine_brute(queries, rows, n):
     return found
 
 
-@pytest.mark.parametrize("max_queries, block_rows", [(1024, 50_000), (4, 70)])
-def test_cosine_equals_brute_force(spark, max_queries, block_rows):
+@pytest.mark.parametrize("max_queries, block_values", [(1024, 8_000_000), (4, 1100)])
+def test_cosine_equals_brute_force(spark, max_queries, block_values):
     rows, queries = unit(1, 300), unit(2, 12)
     frame = spark.createDataFrame(rows, "id long, embedding array<float>").repartition(6)
     batch = spark.createDataFrame(queries, "query_id long, embedding array<float>")
-    got = dense.dense_topk(batch, frame, 9, max_queries=max_queries, block_rows=block_rows)
+    got = dense.dense_topk(batch, frame, 9, max_queries=max_queries, block_values=block_values)
     same(got.collect(), cosine_brute(queries, rows, 9))
 
 
