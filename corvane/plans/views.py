@@ -74,7 +74,10 @@ def raw_repos(spark: SparkSession, sf_dir: str) -> DataFrame:
         "primaryLanguage": F.when(segment != "HOUSEHOLD", segment),
         "languages": F.concat(
             F.array(item(segment)),
-            F.transform("statuses", lambda s: F.when(s == "P", s).otherwise(item(s))),
+            F.transform(
+                F.coalesce("statuses", F.array().cast("array<string>")),
+                lambda s: F.when(s == "P", s).otherwise(item(s)),
+            ),
         ),
         "topics": F.transform("priorities", lambda p: F.when(p == "3-MEDIUM", p).otherwise(item(p))),
         "stars": F.when(F.col("c_acctbal") > 0, F.floor("c_acctbal").cast("string")),
