@@ -140,6 +140,8 @@ def grid_top(
     def cell(row_table, query_table):
         import pyarrow as pa
 
+        if row_table.num_rows == 0 or query_table.num_rows == 0:
+            return pa.table({"query_id": pa.array([], "int64"), "id": pa.array([], "int64"), "score": pa.array([], "float64")})
         block = build_block(query_table.drop_columns(["_qb", "_rb"]))
         return pa.Table.from_batches(run(row_table.drop_columns(["_rb", "_qb"]).to_batches(), block))
 

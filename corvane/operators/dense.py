@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions.vectors import l2_normalise
 from corvane.operators import blockscore
-from corvane.session import bounded_local
+from corvane.session import bounded_local, materialise
 
 # Scores are rounded before ranking, so equal vectors tie exactly and ids decide.
 SCORE_DIGITS = 6
@@ -92,10 +92,14 @@ def dense_topk(
 
 
 def train_cells(vectors: DataFrame, cells: int, seed: int = 42, train_rows: int = TRAIN_ROWS) -> KMeansModel:
-    """Cell centres for the approximate index, from a bounded sample of the vectors."""
+    """Cell centres for the approximate index, from a bounded sample of the vectors.
+
+    The sample is written out once: every training round reads it, not the table.
+    """
     total = vectors.count()
     sample = vectors if total <= train_rows else vectors.sample(fraction=train_rows / total, seed=seed)
-    points = sample.select(array_to_vector(l2_normalise(F.col("embedding"))).alias("features"))
+    kept = materialise(sample.where("embedding IS NOT NULL").select("embedding"), "train")
+    points = kept.select(array_to_vector(l2_normalise(F.col("embedding"))).alias("features"))
     return KMeans(k=cells, seed=seed, maxIter=10, initMode="random").fit(points)
 
 
@@ -109,10 +113,12 @@ def ann_topk(queries: DataFrame, vectors: DataFrame, model: KMeansModel, n: int,
     """Approximate cosine top ``n``: only vectors in the ``probes`` cells nearest to the query.
 
     Scores are exact cosines, and with every cell probed the result equals ``dense_topk``.
-    ``vectors`` carries ``cell`` (``assign_cells``).
+    ``vectors`` carries ``cell`` (``assign_cells``); stored by cell, only probed cells are read.
     """
     probed = queries.where("embedding IS NOT NULL").withColumn("cells", _nearest_cells(model, probes)("embedding"))
-    return dense_topk(probed, vectors, n)
+    # At most one row per cell, and the number of cells is a build parameter.
+    wanted = [r["cell"] for r in probed.select(F.explode("cells").alias("cell")).distinct().collect()]
+    return dense_topk(probed, vectors.where(F.col("cell").isin(wanted)), n)
 
 
 def _nearest_cells(model: KMeansModel, probes: int) -> Callable:

@@ -114,7 +114,9 @@ def _scorer(avg_len: float, k1: float, b: float, digits: int) -> Callable:
 
         terms = batch.column(2)
         row = np.repeat(np.arange(batch.num_rows), terms.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
-        code = pc.index_in(terms.flatten(), value_set=block["vocabulary"]).fill_null(-1).to_numpy(zero_copy_only=False)
+        words = terms.flatten()
+        code = pc.index_in(words, value_set=block["vocabulary"].cast(words.type)).fill_null(-1)
+        code = code.to_numpy(zero_copy_only=False)
         known = code >= 0
         width = max(1, len(block["vocabulary"]))
         pairs, inverse = np.unique(row[known] * width + code[known], return_inverse=True)

@@ -46,13 +46,13 @@ def read_array(spark: SparkSession, path: str) -> DataFrame:
 
 
 def array_to_lines(spark: SparkSession, path: str) -> DataFrame:
-    """JSON lines (column ``value``) from an array file written with one object per line.
+    """JSON lines (column ``value``) from array files whose lines hold whole elements.
 
-    Reads splits of the file in parallel, so the file may be larger than one JVM value.
+    Reads splits of a file in parallel, so the file may be larger than one JVM value.
     """
-    line = F.regexp_replace(F.trim("value"), r"^\[\s*|\s*,$|\s*\]$", "")
-    bare = F.regexp_replace(line, r"\s*,$", "")
-    return spark.read.text(path).select(bare.alias("value")).where(F.col("value").startswith("{"))
+    bare = F.regexp_replace(F.trim("value"), r"^\[|,$|\],?$", "")
+    items = F.from_json(F.concat(F.lit("["), bare, F.lit("]")), "array<string>")
+    return spark.read.text(path).select(F.explode(items).alias("value")).where(F.ltrim("value").startswith("{"))
 
 
 def read_repositories(spark: SparkSession, path: str, layout: str = "lines") -> DataFrame:

@@ -67,9 +67,9 @@ def test_pretty_array_read_as_lines_is_an_error(spark, tmp_path):
 def test_array_to_lines(spark, tmp_path):
     text = "[\n" + ",\n".join(json.dumps(record(f"a/{i}")) for i in range(5)) + "\n]\n"
     (tmp_path / "a.json").write_text(text)
-    (tmp_path / "b.json").write_text(f"[{json.dumps(record('b/0'))},\n{json.dumps(record('b/1'))}]")
+    (tmp_path / "b.json").write_text(f"[3, {json.dumps(record('b/0'))}, {json.dumps(record('b/1'))},\n{json.dumps(record('b/2', topics=['x']))}]")
     got = repositories.array_to_lines(spark, f"{tmp_path}/*.json").collect()
-    assert sorted(json.loads(r["value"])["nameWithOwner"] for r in got) == [f"a/{i}" for i in range(5)] + ["b/0", "b/1"]
+    assert sorted(json.loads(r["value"])["nameWithOwner"] for r in got) == [f"a/{i}" for i in range(5)] + ["b/0", "b/1", "b/2"]
 
 
 def test_sample_fraction(spark):

@@ -148,6 +148,14 @@ def test_cosine_equals_brute_force(spark, max_queries, block_values):
     same(got.collect(), cosine_brute(queries, rows, 9))
 
 
+def test_grid_cells_without_queries_or_rows(spark):
+    rows, queries = unit(1, 5), unit(2, 3)
+    frame = spark.createDataFrame(rows, "id long, embedding array<float>")
+    batch = spark.createDataFrame(queries, "query_id long, embedding array<float>")
+    got = dense.dense_topk(batch, frame, 4, max_queries=1, block_values=16)
+    same(got.collect(), cosine_brute(queries, rows, 4))
+
+
 def test_cosine_of_missing_and_zero_vectors(spark):
     frame = spark.createDataFrame([(1, [0.0, 0.0]), (2, None), (3, [1.0, 0.0])], "id long, embedding array<float>")
     batch = spark.createDataFrame([(0, [2.0, 0.0])], "query_id long, embedding array<float>")
@@ -171,6 +179,16 @@ def test_cells_find_most_neighbours_and_all_cells_are_exact(spark):
     same(dense.ann_topk(batch, placed, model, 10, probes=8).collect(), cosine_brute(queries, points, 10))
 
 
+def test_only_probed_cells_are_read(spark, tmp_path):
+    frame = spark.createDataFrame(unit(1, 200), "id long, embedding array<float>")
+    model = dense.train_cells(frame, 6, train_rows=150)
+    dense.assign_cells(frame, model).write.partitionBy("cell").parquet(str(tmp_path / "v"))
+    batch = spark.createDataFrame(unit(2, 1), "query_id long, embedding array<float>")
+    found = dense.ann_topk(batch, spark.read.parquet(str(tmp_path / "v")), model, 5, probes=2)
+    assert "PartitionFilters: [cell#" in found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == 5
+
+
 def test_a_hot_query_is_cut_in_two_steps(spark):
     hits = spark.range(5000).select(F.lit(1).cast("long").alias("query_id"), "id", (F.col("id") % 97).cast("double").alias("score"))
     for spread in (1, 4):
