@@ -7,7 +7,9 @@ from pyspark.sql import functions as F
 
 # Tag pattern, and every character the cleaning rule counts as white space.
 TAG = r"<[^>]+>"
-WHITE = r"(?U)[\s\x1c-\x1f]+"
+WHITE = r"\s\x1c-\x1f\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+# Runs that are not already one plain space: most text has few, so little of it is rewritten.
+WHITE_RUN = f"[[{WHITE}]&&[^ ]][{WHITE}]*| [{WHITE}]+"
 NOT_WORD = r"[^\p{L}\p{N}]+"
 
 MAX_LANGUAGES = 5
@@ -19,7 +21,7 @@ DORMANT_BELOW = 0.3
 def clean_text(col: Column) -> Column:
     """NUL out, tags to spaces, white space collapsed and stripped; NULL becomes ''."""
     no_nul = F.translate(F.coalesce(col, F.lit("")), "\x00", "")
-    return F.trim(F.regexp_replace(F.regexp_replace(no_nul, TAG, " "), WHITE, " "))
+    return F.trim(F.regexp_replace(F.regexp_replace(no_nul, TAG, " "), WHITE_RUN, " "))
 
 
 def or_default(col: Column, default: Column) -> Column:

@@ -9,7 +9,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corvane.functions.text import tokenize
+from corvane.functions.text import WHITE, tokenize
 
 # Fixed values.
 DIM = 384
@@ -26,7 +26,7 @@ def l2_normalise(col: Column) -> Column:
 
 def query_text(col: Column) -> Column:
     """The text a query is encoded from; documents are encoded as they are."""
-    return F.concat(F.lit(QUERY_PREFIX), F.regexp_replace(col, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", ""))
+    return F.concat(F.lit(QUERY_PREFIX), F.regexp_replace(col, f"^[{WHITE}]+|[{WHITE}]+$", ""))
 
 
 def embed_hashed(df: DataFrame, text_col: str = "text", out: str = "embedding", dim: int = DIM) -> DataFrame:

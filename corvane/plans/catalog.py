@@ -14,7 +14,7 @@ from corvane.plans import index as index_plans
 from corvane.plans import ingest as ingest_plans
 from corvane.plans import search as search_plans
 from corvane.plans import views
-from corvane.session import scratch_dir
+from corvane.session import scratch_dir, spread
 from corvane.sources import curated as curated_io
 from corvane.sources import repositories
 from corvane.sources.schemas import CURATED_SCHEMA, RAW_SCHEMA
@@ -42,7 +42,7 @@ def _joined_lists(df: DataFrame) -> DataFrame:
 
 @register
 def clean_html(spark: SparkSession, sf: str) -> DataFrame:
-    return views.table(spark, sf, "pages").select("page_id", text.clean_text(F.col("html")).alias("clean"))
+    return spread(views.table(spark, sf, "pages")).select("page_id", text.clean_text(F.col("html")).alias("clean"))
 
 
 @register
@@ -392,7 +392,7 @@ def query_text(spark: SparkSession, sf: str) -> DataFrame:
 @register
 def l2_normalise(spark: SparkSession, sf: str) -> DataFrame:
     rows = views.table(spark, sf, "embeddings").select(
-        "vec_id", F.posexplode(vec.l2_normalise(F.transform("embedding", lambda x: x * F.lit(3.0)))).alias("pos", "x")
+        "vec_id", F.posexplode_outer(vec.l2_normalise(F.transform("embedding", lambda x: x * F.lit(3.0)))).alias("pos", "x")
     )
     return rows.select("vec_id", "pos", F.round("x", 6).alias("x"))
 
@@ -401,7 +401,7 @@ def l2_normalise(spark: SparkSession, sf: str) -> DataFrame:
 def embed_documents(spark: SparkSession, sf: str) -> DataFrame:
     """The hashing encoder over whole documents, one row per set dimension."""
     rows = vec.embed_hashed(views.doc_texts(spark, sf).select("id", "text"))
-    return rows.select("id", F.posexplode("embedding").alias("dim", "x")).where("x != 0")
+    return rows.select("id", F.posexplode_outer("embedding").alias("dim", "x")).where("x != 0")
 
 
 @register

@@ -104,7 +104,7 @@ def repos(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
 
 def raw_arrivals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents as arriving raw records; the name (source/length) repeats."""
-    docs = table(spark, sf_dir, "documents")
+    docs = spread(table(spark, sf_dir, "documents"))
     given = {
         "owner": F.col("source"),
         "name": F.col("doc_id").cast("string"),

@@ -38,7 +38,8 @@ def read_array(spark: SparkSession, path: str) -> DataFrame:
             F.col("_metadata.file_path").alias("file"),
             F.from_json("value", "array<string>").alias("items"),
         )
-        .select("file", F.posexplode("items").alias("pos", "item"))
+        # The outer form keeps Spark from parsing twice, once to test for empty arrays.
+        .select("file", F.posexplode_outer("items").alias("pos", "item"))
         .where(F.ltrim("item").startswith("{"))
     )
     order = F.struct(F.col("file"), F.lit(0).cast("bigint").alias("block"), F.col("pos").cast("bigint").alias("row"))
@@ -52,7 +53,8 @@ def array_to_lines(spark: SparkSession, path: str) -> DataFrame:
     """
     bare = F.regexp_replace(F.trim("value"), r"^\[|,$|\],?$", "")
     items = F.from_json(F.concat(F.lit("["), bare, F.lit("]")), "array<string>")
-    return spark.read.text(path).select(F.explode(items).alias("value")).where(F.ltrim("value").startswith("{"))
+    # The outer form keeps Spark from parsing twice, once to test for empty arrays.
+    return spark.read.text(path).select(F.explode_outer(items).alias("value")).where(F.ltrim("value").startswith("{"))
 
 
 def read_repositories(spark: SparkSession, path: str, layout: str = "lines") -> DataFrame:

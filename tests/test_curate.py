@@ -1,6 +1,8 @@
 """Golden values and edge rows of cleaning, features and search documents."""
 
 import json
+import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -63,6 +65,15 @@ def test_clean_text(spark, given, want):
     assert one(df, text.clean_text(F.col("t"))) == want
 
 
+def test_clean_text_equals_the_rule_on_random_text(spark):
+    rng = random.Random(1)
+    alphabet = "ab<>& \t\n\r\x0b\x0c\x1c\x1f\x85\xa0\u2003\u2028\u3000\u200b"
+    given = ["".join(rng.choices(alphabet, k=rng.randint(1, 30))) for _ in range(3000)]
+    df = spark.createDataFrame(list(enumerate(given)), "i int, t string").withColumn("c", text.clean_text(F.col("t")))
+    for row in df.collect():
+        assert row["c"] == re.sub(r"\s+", " ", re.sub(r"<[^>]+>", " ", row["t"])).strip(), repr(row["t"])
+
+
 @pytest.mark.parametrize(
     "given, want",
     [
