@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -32,18 +31,16 @@ def build_session(app_name: str = "corvane", master: str | None = None, **conf:
     return builder.getOrCreate()
 
 
-def scratch_dir(spark: SparkSession, name: str) -> str:
-    """A fresh folder name under the shared folder the session names (``spark.checkpoint.dir``).
+def shared_folder(spark: SparkSession) -> str | None:
+    """The folder for intermediate tables: ``spark.checkpoint.dir``, or the context's checkpoint folder."""
+    return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
 
-    Only a local session without one falls back to a temporary folder of its own.
-    """
-    context = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A fresh folder name under the shared folder; the caller of the session decides where that is."""
+    root = shared_folder(spark)
     if not root:
-        if not context.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder all executors share")
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="corvane-"))
-        root = context.getCheckpointDir()
+        raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
