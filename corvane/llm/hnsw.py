@@ -259,7 +259,7 @@ class Shard:
         nodes, scores = self.nearest(queries, k + 1, width)
         for own, found, score in zip(query_ids, nodes, scores):
             taken = []
-            order = np.lexsort((self.ids[self.starts[found]], -score))
+            order = np.lexsort((self.ids[self.starts[np.maximum(found, 0)]], -score))
             for at in order:
                 node = found[at]
                 # Ties reach past the k-th row only with larger ids of the same node.
