@@ -24,11 +24,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.llm.common import arrow_map, dense_rank_rows
+from corvane.session import materialise
 
 CAPACITY = 4096
 END_ID = 1
 #: Words whose ids a worker remembers; then it starts afresh.
-REMEMBERED = 300_000
+REMEMBERED = 1_000_000
 LONGEST_REMEMBERED = 64
 
 _encoders: dict[str, _Words] = {}
@@ -46,6 +47,13 @@ class _Words(dict):
         self.tokenizer.encode_special_tokens = True
 
     def __missing__(self, word: str) -> bytes:
+        # The normalizer lower-cases, and a sign after a letter starts a new word.
+        if word.isascii():
+            low = word.lower()
+            if low != word:
+                return self[low]
+        if word[-1:] in (".", ",") and word[-2:-1].isalpha():
+            return self[word[:-1]] + self[word[-1]]
         ids = self.tokenizer.encode(word, add_special_tokens=False).ids if word else []
         own = b"".join(i.to_bytes(4, "little") for i in ids)
         if len(word) <= LONGEST_REMEMBERED:
@@ -139,6 +147,8 @@ def sweep(counts: dict[int, int], capacity: int) -> tuple[list[tuple[int, int, i
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     """``pieces`` plus ``sequence_id`` and ``offset``; ``length`` lies between 1 and ``capacity``."""
     spark = pieces.sparkSession
+    # The range sort reads its input twice; texts are tokenized once.
+    pieces = materialise(pieces, "pieces")
     ranked = dense_rank_rows(pieces, ["length", "doc_id", "piece"], "_rank")
     # One row per length, at most the capacity.
     runs = ranked.groupBy("length").agg(F.count(F.lit(1)).alias("n"), F.min("_rank").alias("first")).collect()
