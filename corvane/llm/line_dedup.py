@@ -43,6 +43,7 @@ from corvane.session import materialise
 WHITE = b" \t\n\x0b\x0c\r"
 MIN_DOCS = 10
 MIN_CHARS = 1
+SALTS = 32
 
 
 def line_keys(text: str | None) -> list[bytes]:
@@ -126,7 +127,10 @@ def dedup_lines(
     docs = docs.select(*(f.name for f in own))
     found = suspects(docs, min_chars)
     confirmed = repeated_lines(found, min_docs)
-    lost = found.join(confirmed, "key").groupBy("doc_id", "mark").agg(
+    # A confirmed key stands once per salt, so that a line of a third of all documents meets it in many tasks.
+    salted = confirmed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    found = found.withColumn("salt", F.pmod(F.hash("mark"), F.lit(SALTS)))
+    lost = found.join(salted, ["key", "salt"]).groupBy("doc_id", "mark").agg(
         F.collect_set("key").alias("_lost"),
         F.collect_set(F.when(F.col("mark") == F.col("first_mark"), F.col("key"))).alias("_first"),
     )
