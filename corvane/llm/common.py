@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -38,7 +39,12 @@ def builders(df: DataFrame) -> DataFrame:
 
     Their number follows the cores, not the input, so the summaries to merge do too.
     """
-    return df.coalesce(2 * df.sparkSession.sparkContext.defaultParallelism)
+    return df.coalesce(df.sparkSession.sparkContext.defaultParallelism)
+
+
+def squeezed(values: np.ndarray) -> bytes:
+    """A task's share of a summary is sparse: it shrinks to a fraction before it is written and shuffled."""
+    return zlib.compress(values.tobytes(), 1)
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -90,7 +96,7 @@ class SeenTwice:
         step = min(SEGMENT_BYTES, len(self.once))
         for i in range(0, len(self.once), step):
             if self.once[i : i + step].any():
-                yield i // step, self.once[i : i + step].tobytes(), self.twice[i : i + step].tobytes()
+                yield i // step, squeezed(self.once[i : i + step]), squeezed(self.twice[i : i + step])
 
 
 FILTER_FIELDS = "segment int, once binary, twice binary"
@@ -108,12 +114,11 @@ def merged_filter(parts: DataFrame, log2_bits: int, which: str = "twice") -> np.
     """The merged filter of all tasks' ``FILTER_FIELDS`` rows; its size is fixed by ``log2_bits``."""
 
     def merge(pdf):
-        once = np.zeros(len(pdf["once"].iloc[0]), np.uint8)
-        twice = once.copy()
+        once = twice = np.zeros(min(SEGMENT_BYTES, 1 << (log2_bits - 3)), np.uint8)
         for a, b in zip(pdf["once"], pdf["twice"]):
-            a = np.frombuffer(a, np.uint8)
-            twice |= np.frombuffer(b, np.uint8) | (once & a)
-            once |= a
+            a = np.frombuffer(zlib.decompress(a), np.uint8)
+            twice = twice | np.frombuffer(zlib.decompress(b), np.uint8) | (once & a)
+            once = once | a
         out = {"segment": [pdf["segment"].iloc[0]], "bits": [(twice if which == "twice" else once).tobytes()]}
         return type(pdf)(out)
 

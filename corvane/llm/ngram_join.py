@@ -24,6 +24,8 @@ share a doc_id share its component. A null doc_id counts as no candidate for the
 
 from __future__ import annotations
 
+import zlib
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -41,6 +43,7 @@ from corvane.llm.common import (
     key_filter,
     merged_filter,
     mix,
+    squeezed,
 )
 from corvane.llm.ngrams import all_shingles, set_id, shingle_sets
 from corvane.session import materialise
@@ -53,7 +56,7 @@ PARTS = 32
 COUNTER_SEGMENT = 4096
 STAR_ROUNDS = 2
 #: Earlier shingles of a posting that tell whether a pair meets in an earlier bucket too.
-EARLIER = 12
+EARLIER = 64
 
 
 def prefix_length(n: int, threshold: int) -> int:
@@ -75,13 +78,13 @@ def shingle_counts(docs: DataFrame) -> tuple[np.ndarray, int]:
             np.add.at(valid, (starts + n)[some], -1)
             np.add.at(table, joined[np.cumsum(valid)[:-1] > 0] >> shift, 1)
         parts = [(i, table[i : i + COUNTER_SEGMENT]) for i in range(0, len(table), COUNTER_SEGMENT)]
-        parts = [(i // COUNTER_SEGMENT, p.tobytes()) for i, p in parts if p.any()]
+        parts = [(i // COUNTER_SEGMENT, squeezed(p)) for i, p in parts if p.any()]
         if parts:
             segment, counts = zip(*parts)
             yield pa.RecordBatch.from_arrays([pa.array(segment, pa.int32()), pa.array(counts, pa.binary())], ["segment", "counts"])
 
     def total(pdf):
-        both = sum(np.frombuffer(c, np.uint32).astype(np.uint64) for c in pdf["counts"])
+        both = sum(np.frombuffer(zlib.decompress(c), np.uint32).astype(np.uint64) for c in pdf["counts"])
         return type(pdf)({"segment": [pdf["segment"].iloc[0]], "counts": [both.tobytes()]})
 
     parts = arrow_map(builders(docs.select("text")), count, "segment int, counts binary")
@@ -204,11 +207,17 @@ def cross_pairs(members: DataFrame, threshold: int) -> DataFrame:
     return first.where(F.least(n - F.col("i"), m - F.col("j")) >= _needed(n, m, threshold)).select("u", "v")
 
 
-def node_sets(docs: DataFrame, sets: DataFrame, members: DataFrame) -> DataFrame:
-    """(node, shingles, parts) of every node in a shared bucket, from one document of each."""
+def node_table(sets: DataFrame) -> DataFrame:
+    """(node, doc_id, parts) of every node: one document stands for all with an equal set."""
+    rows = sets.where("node is not null").groupBy("node")
+    return materialise(rows.agg(F.min("doc_id").alias("doc_id"), F.any_value("parts").alias("parts")), "nodes")
+
+
+def node_sets(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
+    """(node, shingles) of every node in ``pairs``, read again from one document of each."""
     spark = docs.sparkSession
-    first = sets.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("doc_id"))
-    wanted = materialise(first.join(members.select("node").distinct(), "node").select("doc_id").distinct(), "wanted")
+    named = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
+    wanted = materialise(named.join(nodes, "node").select("doc_id").distinct(), "wanted")
     log2_bits = filter_bits(wanted.count(), 26)
     held = spark.sparkContext.broadcast(key_filter(wanted, log2_bits))
 
@@ -226,13 +235,11 @@ def node_sets(docs: DataFrame, sets: DataFrame, members: DataFrame) -> DataFrame
     return materialise(arrow_map(docs.select("doc_id", "text"), fetch, "node binary, shingles binary"), "sets")
 
 
-def suffix_filter(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+def suffix_filter(pairs: DataFrame, nodes: DataFrame, threshold: int) -> DataFrame:
     """Pairs whose overlap can still suffice, by the counts of both sets in fixed partitions.
 
     The counts are little-endian 32-bit numbers in one binary, compared in numpy.
     """
-    sizes = sets.where("node is not null").select("node", "parts").dropDuplicates(["node"])
-
     def keep(batches):
         for batch in batches:
             if not batch.num_rows:
@@ -244,8 +251,8 @@ def suffix_filter(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFram
             both = a.sum(axis=1, dtype=np.int64) + b.sum(axis=1, dtype=np.int64)
             yield batch.filter(pa.array((100 + threshold) * most >= threshold * both)).select(["u", "v"])
 
-    full = pairs.join(sizes.select(F.col("node").alias("v"), F.col("parts").alias("parts_v")), "v")
-    full = full.join(sizes.select(F.col("node").alias("u"), F.col("parts").alias("parts_u")), "u")
+    full = pairs.join(nodes.select(F.col("node").alias("v"), F.col("parts").alias("parts_v")), "v")
+    full = full.join(nodes.select(F.col("node").alias("u"), F.col("parts").alias("parts_u")), "u")
     return arrow_map(full.select("u", "v", "parts_u", "parts_v"), keep, "u binary, v binary")
 
 
@@ -279,9 +286,9 @@ def ngram_links(docs: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFrame,
     """Membership (doc_id, n, node) of all documents and the component label of every linked node."""
     sets, log2_bits = prefixes(docs, threshold)
     members = bucket_members(postings(sets, log2_bits))
-    full = node_sets(docs, sets, members)
-    nodes = materialise(members.select("node").distinct().withColumn("label", F.col("node")), "labels")
-    labels, checked = nodes, None
+    nodes = node_table(sets)
+    labels = materialise(members.select("node").distinct().withColumn("label", F.col("node")), "labels")
+    checked = None
     current = members
     for turn in range(STAR_ROUNDS + 1):
         if turn:
@@ -302,7 +309,10 @@ def ngram_links(docs: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFrame,
             pairs = pairs.join(checked, ["u", "v"], "left_anti")
         pairs = materialise(pairs, "pairs")
         checked = pairs if checked is None else checked.unionByName(pairs)
-        found = materialise(verify(suffix_filter(pairs, sets, threshold), full, threshold), "found")
+        likely = materialise(suffix_filter(pairs, nodes, threshold), "likely")
+        if likely.isEmpty():
+            continue
+        found = materialise(verify(likely, node_sets(docs, nodes, likely), threshold), "found")
         if not found.isEmpty():
             labels = materialise(joined_labels(labels, found), "labels")
     return sets.where("n is not null").select("doc_id", "n", "node"), labels
