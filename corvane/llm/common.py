@@ -19,7 +19,7 @@ SEGMENT_BYTES = 16 << 10
 MAX_FILTER_BITS = 28
 
 
-def small_batches(spark: SparkSession, rows: int = 512) -> None:
+def small_batches(spark: SparkSession, rows: int = 256) -> None:
     """Bound the rows of an Arrow batch: texts are wide, and a worker holds whole batches."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     if not 0 < int(spark.conf.get(key)) <= rows:

@@ -49,8 +49,8 @@ from corvane.llm.ngrams import all_shingles, set_id, shingle_sets
 from corvane.session import materialise
 
 THRESHOLD = 80
-#: Counters of the frequency table (16 MB) and partitions of the suffix filter.
-COUNTER_BITS = 22
+#: Counters of the frequency table (32 MB) and partitions of the suffix filter.
+COUNTER_BITS = 23
 PARTS = 32
 #: Counters in one row while the tasks' tables are summed.
 COUNTER_SEGMENT = 4096
@@ -85,14 +85,16 @@ def shingle_counts(docs: DataFrame) -> tuple[np.ndarray, int]:
 
     def total(pdf):
         both = sum(np.frombuffer(zlib.decompress(c), np.uint32).astype(np.uint64) for c in pdf["counts"])
-        return type(pdf)({"segment": [pdf["segment"].iloc[0]], "counts": [both.tobytes()]})
+        most = np.minimum(both, 65535).astype(np.uint16)
+        return type(pdf)({"segment": [pdf["segment"].iloc[0]], "counts": [most.tobytes()], "total": [int(both.sum())]})
 
     parts = arrow_map(builders(docs.select("text")), count, "segment int, counts binary")
-    table = np.zeros(1 << COUNTER_BITS, np.uint64)
-    for row in parts.groupBy("segment").applyInPandas(total, "segment int, counts binary").collect():
+    table, shingles = np.zeros(1 << COUNTER_BITS, np.uint16), 0
+    for row in parts.groupBy("segment").applyInPandas(total, "segment int, counts binary, total bigint").collect():
         at = row["segment"] * COUNTER_SEGMENT
-        table[at : at + COUNTER_SEGMENT] = np.frombuffer(row["counts"], np.uint64)
-    return np.minimum(table, 65535).astype(np.uint16), int(table.sum())
+        table[at : at + COUNTER_SEGMENT] = np.frombuffer(row["counts"], np.uint16)
+        shingles += row["total"]
+    return table, shingles
 
 
 SETS = "doc_id bigint, n bigint, node binary, prefix binary, parts binary, " + FILTER_FIELDS
@@ -197,14 +199,11 @@ def cross_pairs(members: DataFrame, threshold: int) -> DataFrame:
     a = members.select("shingle", *(F.col(c).alias(f"{c}_a") for c in ("node", "n", "pos", "label", "near")))
     b = members.select("shingle", *(F.col(c).alias(f"{c}_b") for c in ("node", "n", "pos", "label", "near")))
     n, m, i, j = F.col("n_a"), F.col("n_b"), F.col("pos_a"), F.col("pos_b")
-    fits = _length_filter(n, m, threshold) & (_overlap_bound(n, i, m, j) >= _needed(n, m, threshold))
+    # All common shingles of a pair lie at or after its first one, so that one leaves room for enough of them.
+    fits = _length_filter(n, m, threshold) & (F.least(n - i, m - j) >= _needed(n, m, threshold))
     fits &= ~F.arrays_overlap("near_a", "near_b")
     pairs = a.join(b, "shingle").where((F.col("label_a") != F.col("label_b")) & (F.col("node_a") < F.col("node_b")) & fits)
-    # The first common shingle has the least place in both orders.
-    first = pairs.groupBy(F.col("node_a").alias("u"), F.col("node_b").alias("v"), "n_a", "n_b").agg(
-        F.min("pos_a").alias("i"), F.min("pos_b").alias("j")
-    )
-    return first.where(F.least(n - F.col("i"), m - F.col("j")) >= _needed(n, m, threshold)).select("u", "v")
+    return pairs.select(F.col("node_a").alias("u"), F.col("node_b").alias("v")).distinct()
 
 
 def node_table(sets: DataFrame) -> DataFrame:
