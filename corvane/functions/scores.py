@@ -15,8 +15,11 @@ LANGUAGE_BONUS = 0.25
 
 
 def _log_share(count: Column, decades: float) -> Column:
-    """log10(count + 1) as a share of ``decades``, at most 1."""
-    return F.least(F.lit(1.0), F.log10(count + 1) / decades)
+    """log10(count + 1) as a share of ``decades``, at most 1; negative and unknown counts are 0.
+
+    Without the floor the logarithm would be NULL, which ``least`` turns into the full share.
+    """
+    return F.least(F.lit(1.0), F.log10(F.greatest(count, F.lit(0)) + 1) / decades)
 
 
 def _not_negative(days: Column) -> Column:

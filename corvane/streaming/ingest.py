@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -16,18 +17,24 @@ from corvane.sources.repositories import scan_position, with_order
 from corvane.sources.schemas import RAW_SCHEMA, STORED_SCHEMA
 
 
+def stream_load(checkpoint: str, batch_id: int) -> str:
+    """The load id of a micro-batch: its checkpoint names the stream, across restarts too."""
+    return f"stream-{hashlib.sha256(checkpoint.rstrip('/').encode()).hexdigest()[:12]}-{batch_id}"
+
+
 def stream_ingest(
     spark: SparkSession, source: str, path: str, checkpoint: str, files_per_batch: int | None = None
 ) -> StreamingQuery:
     """Load every file that has arrived since the last run, each key once, then stop.
 
     Stored keys live in the table, not in streaming state, which would grow without bound. Every
-    micro-batch owns the folder ``load_id=<batch>`` and compares with all the others, so a replay
-    after a crash rebuilds the same rows.
+    micro-batch owns a folder named by the stream's checkpoint and the batch and compares with all
+    the others, so a replay after a crash rebuilds the same rows, and batch loads and other streams
+    into the same table are never replaced.
     """
 
     def load(batch: DataFrame, batch_id: int) -> None:
-        load_batch(with_order(batch), path, batch_id)
+        load_batch(with_order(batch), path, stream_load(checkpoint, batch_id))
 
     reader = spark.readStream.schema(RAW_SCHEMA)
     if files_per_batch:
@@ -51,7 +58,7 @@ def stream_index(
     def index(batch: DataFrame, batch_id: int) -> None:
         tables = build_index(batch, embed)
         for name in TABLES:
-            append_load(getattr(tables, name), f"{out}/{name}", batch_id)
+            append_load(getattr(tables, name), f"{out}/{name}", stream_load(checkpoint, batch_id))
 
     rows = spark.readStream.schema(STORED_SCHEMA).parquet(curated).drop("load_id")
     return _run(rows, index, checkpoint)

@@ -8,6 +8,7 @@ from __future__ import annotations
 import argparse
 import os
 import sys
+import uuid
 
 sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 
@@ -16,6 +17,7 @@ from pyspark.sql import SparkSession
 from corvane import build_session
 from corvane.plans.index import build_index, write_index
 from corvane.plans.ingest import LoadReport, ingest_path
+from corvane.sources.curated import path_exists
 from corvane.sources.schemas import STORED_SCHEMA
 
 
@@ -24,8 +26,9 @@ def parse(argv: list[str] | None = None) -> argparse.Namespace:
     parser.add_argument("--dataset", required=True, help="record files")
     parser.add_argument("--out", required=True, help="folder of the curated table and the index")
     parser.add_argument("--layout", choices=["lines", "array"], default="lines")
-    parser.add_argument("--load-id", default="0", help="name of this load; the same name replaces its rows")
-    parser.add_argument("--sample-size", type=int, default=15000, help="first new records to take, 0 or less for all")
+    parser.add_argument("--load-id", help="name of this load; a fresh one by default")
+    parser.add_argument("--replace", action="store_true", help="replace the rows of a stored load of that name")
+    parser.add_argument("--sample-size", type=int, default=0, help="first new records to take; 0 or less, the default, for all")
     parser.add_argument("--batch-size", type=int, default=0, help="most rows per written file, 0 for no limit")
     parser.add_argument("--skip-index", action="store_true", help="leave the search index as it is")
     return parser.parse_args(argv)
@@ -33,11 +36,14 @@ def parse(argv: list[str] | None = None) -> argparse.Namespace:
 
 def run(spark: SparkSession, options: argparse.Namespace) -> LoadReport:
     table = f"{options.out.rstrip('/')}/repositories"
+    load_id = options.load_id or f"load-{uuid.uuid4().hex}"
+    if not options.replace and path_exists(spark, f"{table}/load_id={load_id}"):
+        raise ValueError(f"load {load_id!r} is stored already: name another one or pass --replace")
     report = ingest_path(
         spark,
         options.dataset,
         table,
-        options.load_id,
+        load_id,
         layout=options.layout,
         n=options.sample_size,
         max_records_per_file=options.batch_size or None,

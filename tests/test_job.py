@@ -4,7 +4,10 @@ import importlib.util
 import json
 from pathlib import Path
 
-from corvane.functions import vectors
+import pytest
+from pyspark.sql import functions as F
+
+from corvane.functions import scores, vectors
 from corvane.plans import search as plans
 from corvane.plans.index import read_index
 
@@ -29,3 +32,22 @@ def test_records_to_answers(spark, tmp_path):
     top = plans.search(queries, index).hits.orderBy("position").first()
     assert top["name_with_owner"] == "o/r1"
     assert {r["id"] for r in index.doc_terms.collect()} == {1, 2, 3, 4}
+
+
+def test_a_second_run_keeps_the_first(spark, tmp_path):
+    for start in (0, 100):
+        records = [{"nameWithOwner": f"o/r{i}", "owner": "o", "name": f"r{i}"} for i in range(start, start + 4)]
+        (tmp_path / f"in{start}.json").write_text("\n".join(map(json.dumps, records)))
+        options = ["--dataset", str(tmp_path / f"in{start}.json"), "--out", str(tmp_path / "out"), "--skip-index"]
+        report = job.run(spark, job.parse(options))
+    assert (report.existing, report.saved) == (4, 4)
+    assert spark.read.parquet(str(tmp_path / "out" / "repositories")).count() == 8
+    named = [*options, "--load-id", "day1"]
+    job.run(spark, job.parse(named))
+    with pytest.raises(ValueError, match="stored already"):
+        job.run(spark, job.parse(named))
+
+
+def test_negative_counts_score_nothing(spark):
+    row = spark.range(1).select(scores.popularity_score(F.lit(-1), F.lit(-5)).alias("p"), scores.popularity_score(F.lit(0), F.lit(0)).alias("z"))
+    assert tuple(row.first()) == (0.0, 0.0)
