@@ -38,6 +38,12 @@ class PrefixEncoder:
         self.ranks = ranks
         self.token = {rank: token for token, rank in ranks.items()}
         self.longest = max(map(len, ranks))
+        lengths: dict[bytes, set[int]] = {}
+        for token in ranks:
+            if len(token) > 2:
+                lengths.setdefault(token[-3:], set()).add(len(token))
+        #: Lengths to try for a last token, by the three bytes before its end, longest first.
+        self.lengths = {last: (*sorted(own, reverse=True), 2, 1) for last, own in lengths.items()}
         self.pairs: dict[tuple[int, int], bool] = {}
         self.whole: dict[int, bool] = {}
 
@@ -69,9 +75,18 @@ class PrefixEncoder:
         return found
 
     def _last(self, data: bytes, table: list[int], end: int) -> int:
-        for start in range(max(0, end - self.longest), end):
-            token = self.ranks.get(data[start:end])
-            if token is not None and self.reachable(token) and (not start or self.compatible(table[start - 1], token)):
+        # A token that is compatible with one before it also encodes to itself.
+        for length in self.lengths.get(data[end - 3 : end], (2, 1)) if end > 2 else (2, 1):
+            token = self.ranks.get(data[end - length : end]) if length <= end else None
+            if token is None:
+                continue
+            if length == end:
+                if self.reachable(token):
+                    return token
+                continue
+            left = table[end - length - 1]
+            found = self.pairs.get((left, token))
+            if found or found is None and self.compatible(left, token):
                 return token
         raise ValueError("the vocabulary lacks a byte")
 
