@@ -13,7 +13,7 @@ A document's set holds its distinct shingles of five words. Two sets link when
    linked nodes become components; only nodes of different components that still share a bucket are
    then compared with each other. A group of near copies so costs a star, not all its pairs, and
    every link between two components is still found.
-5. A pair is verified once: length and positional filters act in the join, the suffix filter (an
+5. A pair is verified once: length and positional filters act in the postings and the join, the suffix filter (an
    upper bound of the overlap from counts in fixed partitions of the sets) before the sets are
    fetched, and the exact intersection decides.
 
@@ -49,14 +49,14 @@ from corvane.llm.ngrams import all_shingles, set_id, shingle_sets
 from corvane.session import materialise
 
 THRESHOLD = 80
-#: Counters of the frequency table (32 MB) and partitions of the suffix filter.
-COUNTER_BITS = 23
+#: Counters of the frequency table (64 MB as it is sent out) and partitions of the suffix filter.
+COUNTER_BITS = 25
 PARTS = 32
 #: Counters in one row while the tasks' tables are summed.
 COUNTER_SEGMENT = 4096
 STAR_ROUNDS = 2
 #: Earlier shingles of a posting that tell whether a pair meets in an earlier bucket too.
-EARLIER = 64
+EARLIER = 16
 
 
 def prefix_length(n: int, threshold: int) -> int:
@@ -172,21 +172,34 @@ def _length_filter(n: Column, m: Column, threshold: int) -> Column:
     return 100 * F.least(n, m) >= threshold * F.greatest(n, m)
 
 
-def _overlap_bound(n: Column, i: Column, m: Column, j: Column) -> Column:
-    """Most shingles two sets can share that share the one at places ``i`` and ``j`` of their orders."""
-    return F.least(i, j) + F.least(n - i, m - j)
+def _leads_off(n: Column, i: Column, threshold: int) -> Column:
+    """Whether a set's place can be the first common one with a set of at least its size."""
+    return n - i >= _needed(n, n, threshold)
 
 
-def bucket_members(rows: DataFrame) -> DataFrame:
-    """Postings of shingles held by several nodes, each with the leader of its bucket."""
-    leads = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("node", "n", "pos")).alias("lead"))
-    return materialise(rows.join(leads.where("c > 1").drop("c"), "shingle"), "buckets")
+def bucket_members(rows: DataFrame, threshold: int) -> DataFrame:
+    """Postings that can be the first common one of a linked pair, each with the leader of its bucket.
+
+    The smaller set of a linked pair leads off at its first common shingle, so a posting that does
+    not lead off itself is of use only beside a smaller set that does.
+    """
+    early = _leads_off(F.col("n"), F.col("pos"), threshold)
+    leads = rows.groupBy("shingle").agg(
+        F.count(F.lit(1)).alias("c"),
+        F.min(F.when(early, F.struct("node", "n", "pos"))).alias("lead"),
+        F.min(F.when(early, F.col("n"))).alias("least"),
+    )
+    leads = leads.where("c > 1 and lead is not null").drop("c")
+    return materialise(rows.join(leads, "shingle").where(early | (F.col("n") > F.col("least"))).drop("least"), "buckets")
 
 
 def star_pairs(members: DataFrame, threshold: int) -> DataFrame:
-    """(u, v): every node with its buckets' leaders, after the length and positional filters."""
+    """(u, v): every node with its buckets' leaders, where this can be their first common shingle.
+
+    A pair left out here because an earlier bucket has another leader is met by ``cross_pairs``.
+    """
     n, m, i, j = F.col("n"), F.col("lead.n"), F.col("pos"), F.col("lead.pos")
-    fits = _length_filter(n, m, threshold) & (_overlap_bound(n, i, m, j) >= _needed(n, m, threshold))
+    fits = _length_filter(n, m, threshold) & (F.least(n - i, m - j) >= _needed(n, m, threshold))
     rows = members.where((F.col("node") != F.col("lead.node")) & fits)
     return rows.select(F.least("node", "lead.node").alias("u"), F.greatest("node", "lead.node").alias("v")).distinct()
 
@@ -284,21 +297,21 @@ def joined_labels(labels: DataFrame, found: DataFrame) -> DataFrame:
 def ngram_links(docs: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFrame, DataFrame]:
     """Membership (doc_id, n, node) of all documents and the component label of every linked node."""
     sets, log2_bits = prefixes(docs, threshold)
-    members = bucket_members(postings(sets, log2_bits))
+    members = bucket_members(postings(sets, log2_bits), threshold)
     nodes = node_table(sets)
     labels = materialise(members.select("node").distinct().withColumn("label", F.col("node")), "labels")
     checked = None
     current = members
     for turn in range(STAR_ROUNDS + 1):
         if turn:
-            # Buckets that lie within one component are done.
-            own = members.select("shingle", "node", "n", "pos").join(labels, "node")
-            mixed = own.groupBy("shingle").agg(
-                F.min("label").alias("low"),
-                F.max("label").alias("high"),
-                F.min_by(F.struct("node", "n", "pos", "label"), F.xxhash64("node", "shingle", F.lit(turn))).alias("lead"),
-            )
-            current = materialise(own.join(mixed.where("low <> high").select("shingle", "lead"), "shingle"), "mixed")
+            # Buckets that lie within one component are done, now and in all later rounds.
+            own = current.select("shingle", "node", "n", "pos").join(labels, "node")
+            ends = [F.min("label").alias("low"), F.max("label").alias("high")]
+            if turn < STAR_ROUNDS:
+                seeded = F.xxhash64("node", "shingle", F.lit(turn))
+                ends.append(F.min_by(F.struct("node", "n", "pos", "label"), seeded).alias("lead"))
+            mixed = own.groupBy("shingle").agg(*ends).where("low <> high").drop("low", "high")
+            current = materialise(own.join(mixed, "shingle"), "mixed")
         if turn < STAR_ROUNDS:
             open_ = current.where("label <> lead.label") if turn else current
             pairs = star_pairs(open_, threshold)
