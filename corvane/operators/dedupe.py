@@ -79,7 +79,8 @@ def take_first_new(df: DataFrame, n: int | None, order: str = "seq", sorted_limi
     return df.where(F.col(order) <= last)
 
 
-def _violations() -> list[Column]:
+def violations() -> list[Column]:
+    """One entry per constraint on single rows: its name where a row breaks it, NULL where not."""
     checks = [F.when(F.col(c).isNull(), F.lit(f"required:{c}")) for c in REQUIRED]
     checks += [F.when(F.length(c) > n, F.lit(f"length:{c}")) for c, n in MAX_LENGTHS.items()]
     return checks
@@ -95,7 +96,7 @@ def validate(df: DataFrame, key: str = "name_with_owner") -> tuple[DataFrame, Da
     repeated = small_side(counts.select(key, F.lit(f"unique:{key}").alias("_dup")), BROADCAST_KEYS)
     checked = (
         df.join(repeated, key, "left")
-        .withColumn("violations", F.array_compact(F.array(*_violations(), F.col("_dup"))))
+        .withColumn("violations", F.array_compact(F.array(*violations(), F.col("_dup"))))
         .drop("_dup")
     )
     good = checked.where(F.size("violations") == 0).drop("violations")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corvane.operators.curate import curate, with_identity
-from corvane.operators.dedupe import assign_ids, dedupe_first, only_new, take_first_new
+from corvane.operators.dedupe import assign_ids, dedupe_first, only_new, take_first_new, violations
 from corvane.session import BROADCAST_KEYS, is_small
 from corvane.sources.curated import append_load, path_exists
 from corvane.sources.repositories import SEQ, read_repositories
@@ -20,11 +20,12 @@ KEY = "name_with_owner"
 
 @dataclass(frozen=True)
 class LoadReport:
-    """Rows stored before the load, rows it saved, and how long it took."""
+    """Rows stored before the load, rows it saved, how long it took, and rows that broke a constraint."""
 
     existing: int
     saved: int
     seconds: float
+    rejected: int = 0
 
     @property
     def rate(self) -> float:
@@ -55,17 +56,30 @@ def stored_rows(spark: SparkSession, path: str, except_load: int | str | None =
 def load_batch(
     raw: DataFrame, path: str, load_id: int | str, n: int | None = None, max_records_per_file: int | None = None
 ) -> LoadReport:
-    """Ingest ``raw`` into the curated table at ``path`` as one load and report on it."""
+    """Ingest ``raw`` into the curated table at ``path`` as one load and report on it.
+
+    Rows that break a constraint of the table go to the same load of ``path``-rejected, with the
+    names of what they break; their ids stay unused.
+    """
     started = time.monotonic()
     spark = raw.sparkSession
     stored = stored_rows(spark, path, load_id)
     existing, last = 0, 0
     if stored is not None:
         existing, last = stored.agg(F.count("*"), F.coalesce(F.max("id"), F.lit(0))).first()
-    rows = assign_ids(ingest(raw, stored, n), SEQ, start=last + 1).drop(SEQ)
+    checked = ingest(raw, stored, n).withColumn("violations", F.array_compact(F.array(*violations())))
+    # The rows with ids are written once, so both parts of them are read from there.
+    checked = assign_ids(checked, SEQ, start=last + 1).drop(SEQ)
+    rows = checked.where(F.size("violations") == 0).drop("violations")
     folder = append_load(rows, path, load_id, max_records_per_file)
     saved = spark.read.schema(rows.schema).parquet(folder).count()
-    return LoadReport(existing, saved, time.monotonic() - started)
+    bad = checked.where(F.size("violations") > 0)
+    rejected = bad.count()
+    quarantine = f"{path.rstrip('/')}-rejected"
+    # A retried load replaces what it rejected before, too.
+    if rejected or path_exists(spark, f"{quarantine}/load_id={load_id}"):
+        append_load(bad, quarantine, load_id, max_records_per_file)
+    return LoadReport(existing, saved, time.monotonic() - started, rejected)
 
 
 def ingest_path(

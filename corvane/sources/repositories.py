@@ -30,7 +30,7 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
 def read_array(spark: SparkSession, path: str) -> DataFrame:
     """Files that each hold one JSON array; elements that are not objects are skipped.
 
-    A file is one JVM value here (at most 2 GB): convert larger arrays with ``array_to_lines``.
+    A file is one JVM value here (at most 2 GB): read larger arrays as ``array_lines``.
     """
     items = (
         spark.read.text(path, wholetext=True)
@@ -46,15 +46,30 @@ def read_array(spark: SparkSession, path: str) -> DataFrame:
     return items.select(F.from_json("item", RAW_SCHEMA).alias("r"), order.alias(SEQ)).select("r.*", SEQ)
 
 
+def _line_items(line: Column) -> Column:
+    """The elements a line of an array file holds; a line that cuts through an element is an error."""
+    bare = F.regexp_replace(F.trim(line), r"^\[|,$|\],?$", "")
+    items = F.from_json(F.concat(F.lit("["), bare, F.lit("]")), "array<string>")
+    broken = F.raise_error(F.concat(F.lit("not whole elements, read the file as 'array': "), F.substring(line, 1, 80)))
+    return F.coalesce(items, broken.cast("array<string>"))
+
+
 def array_to_lines(spark: SparkSession, path: str) -> DataFrame:
     """JSON lines (column ``value``) from array files whose lines hold whole elements.
 
-    Reads splits of a file in parallel, so the file may be larger than one JVM value.
+    Reads splits of a file in parallel, so the file may be larger than one JVM value. A line that is
+    not made of whole elements, as in an indented array, fails the read; nothing is left out unseen.
     """
-    bare = F.regexp_replace(F.trim("value"), r"^\[|,$|\],?$", "")
-    items = F.from_json(F.concat(F.lit("["), bare, F.lit("]")), "array<string>")
     # The outer form keeps Spark from parsing twice, once to test for empty arrays.
-    return spark.read.text(path).select(F.explode_outer(items).alias("value")).where(F.ltrim("value").startswith("{"))
+    lines = spark.read.text(path).select(F.explode_outer(_line_items(F.col("value"))).alias("value"))
+    return lines.where(F.ltrim("value").startswith("{"))
+
+
+def read_array_lines(spark: SparkSession, path: str) -> DataFrame:
+    """Array files of any size whose lines hold whole elements; see ``array_to_lines``."""
+    lines = spark.read.text(path).select(F.explode_outer(_line_items(F.col("value"))).alias("item"), *scan_position())
+    items = lines.where(F.ltrim("item").startswith("{"))
+    return with_order(items.select(F.from_json("item", RAW_SCHEMA).alias("r"), "file", "block").select("r.*", "file", "block"))
 
 
 def read_repositories(spark: SparkSession, path: str, layout: str = "lines") -> DataFrame:
@@ -62,7 +77,7 @@ def read_repositories(spark: SparkSession, path: str, layout: str = "lines") ->
 
     The layout is explicit because a pretty-printed array read as lines gives only NULL rows.
     """
-    readers = {"lines": read_lines, "array": read_array}
+    readers = {"lines": read_lines, "array": read_array, "array_lines": read_array_lines}
     if layout not in readers:
         raise ValueError(f"layout must be one of {sorted(readers)}, not {layout!r}")
     return readers[layout](spark, path)

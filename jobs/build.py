@@ -25,7 +25,7 @@ def parse(argv: list[str] | None = None) -> argparse.Namespace:
     parser = argparse.ArgumentParser(description=__doc__)
     parser.add_argument("--dataset", required=True, help="record files")
     parser.add_argument("--out", required=True, help="folder of the curated table and the index")
-    parser.add_argument("--layout", choices=["lines", "array"], default="lines")
+    parser.add_argument("--layout", choices=["lines", "array", "array_lines"], default="lines")
     parser.add_argument("--load-id", help="name of this load; a fresh one by default")
     parser.add_argument("--replace", action="store_true", help="replace the rows of a stored load of that name")
     parser.add_argument("--sample-size", type=int, default=0, help="first new records to take; 0 or less, the default, for all")
@@ -56,4 +56,7 @@ def run(spark: SparkSession, options: argparse.Namespace) -> LoadReport:
 
 if __name__ == "__main__":
     report = run(build_session("build"), parse())
-    print(f"{report.existing} records stored before, {report.saved} added in {report.seconds:.1f}s ({report.rate:.1f}/s)")
+    print(
+        f"{report.existing} records stored before, {report.saved} added in {report.seconds:.1f}s ({report.rate:.1f}/s), "
+        f"{report.rejected} rejected"
+    )
