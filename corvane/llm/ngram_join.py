@@ -53,7 +53,7 @@ THRESHOLD = 80
 COUNTER_BITS = 25
 PARTS = 32
 #: Counters in one row while the tasks' tables are summed.
-COUNTER_SEGMENT = 4096
+COUNTER_SEGMENT = 16384
 STAR_ROUNDS = 2
 #: Earlier shingles of a posting that tell whether a pair meets in an earlier bucket too.
 EARLIER = 16
