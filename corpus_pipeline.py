@@ -30,8 +30,12 @@ def reject_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Texts without the lines that ten or more documents hold."""
-    return _recounted(line_dedup.dedup_lines(docs), docs.columns)
+    """Texts without the lines that ten or more documents hold; the content of ten or more copies stays once.
+
+    A copy that is left with nothing goes, as each of its lines stays in another document.
+    """
+    out = line_dedup.dedup_lines(docs, copy_share=line_dedup.COPY_SHARE)
+    return _recounted(out.where((F.col("n_dropped") == 0) | F.col("text").rlike(r"[^ \t\n\x0B\f\r]")), docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -44,6 +44,8 @@ WHITE = b" \t\n\x0b\x0c\r"
 MIN_DOCS = 10
 MIN_CHARS = 1
 SALTS = 32
+#: A document of which repeated lines make up this share is a copy, not a text with boilerplate.
+COPY_SHARE = 0.5
 
 
 def line_keys(text: str | None) -> list[bytes]:
@@ -80,14 +82,17 @@ def twice_seen(docs: DataFrame, min_chars: int) -> tuple[np.ndarray, int]:
     return merged_filter(arrow_map(builders(docs.select("text")), note, FILTER_FIELDS), log2_bits), log2_bits
 
 
-def suspects(docs: DataFrame, min_chars: int) -> DataFrame:
-    """(doc_id, mark, key): the distinct suspected keys of every document."""
+def suspects(docs: DataFrame, min_chars: int, sized: bool = False) -> DataFrame:
+    """(doc_id, mark, key): the distinct suspected keys of every document.
+
+    With ``sized`` also ``size``, the bytes of all distinct keys of the document.
+    """
     bits, log2_bits = twice_seen(docs, min_chars)
     held = docs.sparkSession.sparkContext.broadcast(bits)
 
     def emit(batches):
         for batch in batches:
-            ids, marks, found = [], [], []
+            ids, marks, found, sizes = [], [], [], []
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
                 keys = [k for k in set(line_keys(text)) if _long_enough(k, min_chars)]
                 if not keys:
@@ -97,12 +102,15 @@ def suspects(docs: DataFrame, min_chars: int) -> DataFrame:
                     ids += [doc_id] * len(keep)
                     marks += [_row_mark(doc_id, text)] * len(keep)
                     found += [keys[i] for i in keep]
+                    sizes += [sum(map(len, keys))] * len(keep)
             if ids:
                 arrays = [pa.array(ids, pa.int64()), pa.array(marks, pa.binary()), pa.array(found, pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "mark", "key"])
+                arrays += [pa.array(sizes, pa.int64())] * sized
+                yield pa.RecordBatch.from_arrays(arrays, ["doc_id", "mark", "key", "size"][: len(arrays)])
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
-    return materialise(arrow_map(rows, emit, "doc_id bigint, mark binary, key binary"), "suspects")
+    schema = "doc_id bigint, mark binary, key binary" + ", size bigint" * sized
+    return materialise(arrow_map(rows, emit, schema), "suspects")
 
 
 def repeated_lines(found: DataFrame, min_docs: int) -> DataFrame:
@@ -116,16 +124,35 @@ def repeated_lines(found: DataFrame, min_docs: int) -> DataFrame:
     return counts.where(F.col("n_docs") >= min_docs).select("key", "n_docs", F.col("first.mark").alias("first_mark"))
 
 
+def first_of_copies(lost: DataFrame, share: float) -> DataFrame:
+    """``lost`` (doc_id, mark, _lost, size) with ``_first``: the keys whose first occurrence in a copy is in this row.
+
+    A copy is a document of which lost keys make up ``share`` or more. A key meets its tasks as one row per task.
+    """
+    copies = lost.where(F.expr("aggregate(_lost, 0L, (n, k) -> n + octet_length(k))") >= F.col("size") * share)
+    keys = copies.select("doc_id", "mark", F.explode("_lost").alias("key"))
+    first = keys.groupBy("key").agg(F.min(F.struct("doc_id", "mark")).alias("first"))
+    first = first.groupBy(F.col("first.mark").alias("mark")).agg(F.collect_set("key").alias("_first"))
+    return lost.drop("_first", "size").join(first, "mark", "left")
+
+
 def dedup_lines(
-    docs: DataFrame, min_docs: int = MIN_DOCS, min_chars: int = MIN_CHARS, keep_first: bool = False
+    docs: DataFrame,
+    min_docs: int = MIN_DOCS,
+    min_chars: int = MIN_CHARS,
+    keep_first: bool = False,
+    copy_share: float | None = None,
 ) -> DataFrame:
     """``docs`` with repeated lines removed from ``text``, plus ``n_lines`` and ``n_dropped``.
 
-    With ``keep_first`` the first line of the first document that holds a key stays.
+    With ``keep_first`` the first line of the first document that holds a key stays. With ``copy_share`` it
+    stays in the first document only among those that would lose that share of their text or more: content
+    of copies stays once, lines added to other texts go.
     """
     own = [f for f in docs.schema.fields if f.name not in ("n_lines", "n_dropped")]
     docs = docs.select(*(f.name for f in own))
-    found = suspects(docs, min_chars)
+    sized = copy_share is not None
+    found = suspects(docs, min_chars, sized)
     confirmed = repeated_lines(found, min_docs)
     # A confirmed key stands once per salt, so that a line of a third of all documents meets it in many tasks.
     salted = confirmed.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
@@ -133,8 +160,11 @@ def dedup_lines(
     lost = found.join(salted, ["key", "salt"]).groupBy("doc_id", "mark").agg(
         F.collect_set("key").alias("_lost"),
         F.collect_set(F.when(F.col("mark") == F.col("first_mark"), F.col("key"))).alias("_first"),
+        *([F.first("size").alias("size")] if sized else []),
     )
     lost = materialise(lost, "lost")
+    if sized:
+        lost = materialise(first_of_copies(lost, copy_share), "first")
     ids = lost.select("doc_id").where("doc_id is not null").distinct()
     log2_bits = filter_bits(ids.count(), 26)
     held = docs.sparkSession.sparkContext.broadcast(key_filter(ids, log2_bits))
@@ -172,7 +202,7 @@ def dedup_lines(
             texts, lines, dropped = [], [], []
             columns = (batch.column(c).to_pylist() for c in ("text", "_lost", "_first", "_mark"))
             for text, gone, first, _ in zip(*columns):
-                gone, spare = set(gone or ()), set(first or ()) if keep_first else set()
+                gone, spare = set(gone or ()), set(first or ()) if keep_first or sized else set()
                 kept, all_ = [], (text or "").split("\n")
                 for line, key in zip(all_, line_keys(text)):
                     if key not in gone:

@@ -210,6 +210,35 @@ def test_pipeline_stages(spark, tmp_path):
     assert {r.doc_id for r in packed.collect()} == set(kept[3])
 
 
+def test_pipeline_keeps_one_of_many_copies(spark, tmp_path):
+    rng = np.random.default_rng(4)
+    words = [f"w{i}" for i in range(300)]
+    prose = [" ".join(rng.choice(words, 40)) for _ in range(240)]
+    rows = [(i, "Shared notice line\n" + t if i % 4 == 1 else t + " grobli" * (i % 8 == 0)) for i, t in enumerate(prose)]
+    lines = [" ".join(rng.choice(words, 12)) for _ in range(8)]
+    rows += [(1000 + i, "\n".join(lines[:4])) for i in range(15)]
+    rows += [(2000 + i, "\n".join([*lines[4:], f"own line {i}"])) for i in range(12)]
+    rows += [(3000 + i, "Menu\nImprint" if i % 2 else "Menu\nContact") for i in range(24)] + [(4000, ""), (4001, None)]
+    docs = [(i, t, "en", "s", len(t or "")) for i, t in rows]
+    spark.createDataFrame(docs, "doc_id bigint, text string, lang string, source string, n_chars bigint").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([(i, int("grobli" in (t or ""))) for i, t in rows], "doc_id bigint, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    docs = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    after = []
+    for k, (_, stage) in enumerate(corpus_pipeline.STAGES[:-1]):
+        stage(spark, docs, str(tmp_path)).write.parquet(str(tmp_path / f"stage{k}"))
+        docs = spark.read.parquet(str(tmp_path / f"stage{k}"))
+        after.append({r.doc_id: r.text for r in docs.collect()})
+    assert {i for i, _ in rows if i >= 1000} <= set(after[0])
+    texts = after[-1]
+    assert [i for i in texts if 1000 <= i < 2000] == [1000] and texts[1000] == "\n".join(lines[:4])
+    assert texts[2000] == "\n".join([*lines[4:], "own line 0"]) and all(texts[2000 + i] == f"own line {i}" for i in range(1, 12))
+    assert {i: t for i, t in texts.items() if 3000 <= i < 4000} == {3000: "Menu\nContact", 3001: "Imprint"}
+    assert all("Shared notice" not in (t or "") for t in texts.values())
+    assert {i for i, t in texts.items() if not t} == {4000, 4001}
+    docs = spark.read.parquet(str(tmp_path / f"stage{len(after) - 1}"))
+    assert {r.doc_id for r in corpus_pipeline.pack_sequences(spark, docs, str(tmp_path)).collect()} == set(texts)
+
+
 def test_registered_queries():
     assert [int(re.match(r"op(\d+)_", n)[1]) for n in queries.QUERIES] == list(range(1, 11))
     assert F is not None
