@@ -1,7 +1,9 @@
 """Secret scan: assignment-aware lexing of names and literals, with constant propagation.
 
 Three plain patterns give the base spans. Beyond them, source and configuration syntax is read into
-(name, expression) pairs: ``name = "a" + b``, ``"name": 'x'``, ``name => x``, ``cfg["name"] := x``. Literals
+(name, expression) pairs: ``name = "a" + b``, ``"name": 'x'``, ``name => x``, ``cfg["name"] := x``. A type
+between name and ``=`` is skipped (``name: str = "a"``, ``var name string = "a"``), as are prefixes of
+literals (``b"a"``). Names, blanks before operators and expressions may have any length. Literals
 bound to names are remembered, so a secret that reaches a sensitive name through constants or
 concatenation is found where its literals stand. A pair is reported when its name is sensitive and its
 value looks like a secret; the score is the product of both.
@@ -15,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import math
 import re
+import string
 from collections import Counter
 from typing import NamedTuple
 
@@ -42,17 +45,22 @@ SENSITIVE = {
 PAIRED = {"api": "key", "private": "key", "access": "key", "signing": "key", "encryption": "key", "connection": "string"}
 PLACEHOLDERS = {"changeme", "example", "password", "secret", "token", "none", "null", "true", "false", "undefined", "todo"}
 LEAST_SCORE = 0.45
+#: So many characters of a value tell whether it is a placeholder.
+HEAD = max(map(len, PLACEHOLDERS)) + 1
 
 _NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 _IS_HEX = np.zeros(256, bool)
 _IS_HEX[[*b"0123456789abcdef"]] = True
-#: A name right before an operator: at most 128 characters, quoted or indexed names included.
-_NAME = re.compile(r"""([A-Za-z_][A-Za-z0-9_.-]{0,127})["']?\]?[ \t]{0,8}$""")
+_BLANKS, _NAME_CHARS, _NOT_FIRST = " \t", string.ascii_letters + string.digits + "_.-", string.digits + ".-"
 _OPERATOR = re.compile(r":=|=>|==|::|=|:")
 _ATOM = re.compile(
-    r"""[ \t]*(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`|([A-Za-z_][A-Za-z0-9_.-]*)(?![A-Za-z0-9+/=_-])|([^\s,;(){}\[\]"'`]+))"""
+    r"""[ \t]*(?:(?:[bBfFrRuUtTcLN]|[bBfFuU][rR]|[rR][bBfF]|u8R?|[LU]R|b?r\#*|[@$]{1,2})?(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`)|([A-Za-z_][A-Za-z0-9_.-]*)(?![A-Za-z0-9+/=_-])|([^\s,;(){}\[\]"'`]+))"""
 )
-_PLUS = re.compile(r"[ \t]*(?:\+|\.\.)[ \t]*(?=[\"'`A-Za-z_])")
+_PLUS = re.compile(r"[ \t]*(?:\+|\.\.)[ \t]*(?=[\"'`A-Za-z_]|[@$]{1,2}\")")
+_BRACKETS = re.compile(r"[<(\[]|[>)\]]|[^<>()\[\]]+")
+#: A type whose brackets are written as one word: ``str``, ``&'static str``, ``string | null``, ``"Key"``, ``String?``.
+_UNIT = r"""["']?[&*]*+(?:'[a-z_]+[ \t]+)?(?:(?:mut|readonly|const|dyn|unsigned|static)[ \t]+)*+[A-Za-z_][A-Za-z0-9_.]*+(?:::[A-Za-z0-9_.]+)*+[?!]?["']?"""
+_TYPE = re.compile(rf"[ \t]*+{_UNIT}(?:[ \t]*+[|&][ \t]*+{_UNIT})*+[ \t]*+")
 _PARTS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+(?![a-z])|[0-9]+")
 
 
@@ -86,68 +94,174 @@ def name_weight(name: str) -> float:
     return max((SENSITIVE.get(p, 0.0) for p in parts + pairs), default=0.0)
 
 
-def literal_weight(value: str) -> float:
-    """How much a literal looks like a secret: length, kinds of characters, entropy."""
-    if len(value) < MIN_VALUE or value.lower() in PLACEHOLDERS or value[:1] in "<$%{" or any(c.isspace() for c in value):
+class Value:
+    """Literals and earlier values in a row, with what the score needs of their joined text.
+
+    Only the parts themselves are held, not the literals below them, so a value of values stays small.
+    """
+
+    __slots__ = ("parts", "length", "counts", "head", "plain", "score")
+
+    def __init__(self, parts: list[Value | tuple[str, int, int, bool]]):
+        self.parts, self.length, self.counts, self.head, self.plain, self.score = parts, 0, Counter(), "", True, 0.0
+        for part in parts:
+            if isinstance(part, Value):
+                length, counts, text, plain = part.length, part.counts, part.head, part.plain
+            else:
+                text, _, _, quoted = part
+                length, counts, plain = len(text), text, not quoted and text.isalpha()
+            if self.length < HEAD:
+                self.head = (self.head + text[:HEAD])[:HEAD]
+            self.length += length
+            self.counts.update(counts)
+            self.plain = self.plain and plain
+        if self.length > 1 << 60:  # doubled over and over: only the shares of the characters count from here
+            self.counts = Counter({c: n * (1 << 30) / self.length for c, n in self.counts.items()})
+            self.length = 1 << 30
+
+
+def literal_weight(value: Value) -> float:
+    """How much a value looks like a secret: length, kinds of characters, entropy."""
+    if value.length < MIN_VALUE or value.length < HEAD and value.head.lower() in PLACEHOLDERS:
+        return 0.0
+    if value.head[:1] in "<$%{" or any(c.isspace() for c in value.counts):
         return 0.0
-    counts = Counter(value)
-    entropy = -sum(n / len(value) * math.log2(n / len(value)) for n in counts.values())
-    kinds = sum((any(c.islower() for c in value), any(c.isupper() for c in value), any(c.isdigit() for c in value)))
-    kinds += any(not c.isalnum() for c in value)
-    return min(1.0, 0.15 * kinds + 0.12 * entropy + 0.01 * min(len(value), 20))
+    shares = [n / value.length for n in value.counts.values()]
+    entropy = -sum(p * math.log2(p) for p in shares if p)
+    kinds = sum((any(c.islower() for c in value.counts), any(c.isupper() for c in value.counts), any(c.isdigit() for c in value.counts)))
+    kinds += any(not c.isalnum() for c in value.counts)
+    return min(1.0, 0.15 * kinds + 0.12 * entropy + 0.01 * min(value.length, 20))
+
+
+def _run_before(text: str, at: int, chars: str) -> int:
+    """Where the run of ``chars`` that ends at ``at`` begins."""
+    step = 64
+    while True:
+        low = max(0, at - step)
+        start = low + len(text[low:at].rstrip(chars))
+        if start > low or not low:
+            return start
+        step *= 4
+
+
+def _name_before(text: str, at: int) -> tuple[int, int] | None:
+    """The name right before ``at``, quoted and indexed names and blanks included."""
+    at = _run_before(text, at, _BLANKS)
+    at -= text[at - 1 : at] == "]"
+    at -= text[at - 1 : at] in ('"', "'")
+    start = _run_before(text, at, _NAME_CHARS)
+    start = at - len(text[start:at].lstrip(_NOT_FIRST))
+    return (start, at) if start < at else None
+
+
+def _is_type(text: str) -> bool:
+    """Whether the text between a colon and ``=`` reads as a type."""
+    words, depth = [], 0
+    for m in _BRACKETS.finditer(text):
+        if m.group() in ("<", "(", "["):
+            depth += 1
+            words.append("_" * (depth == 1))
+        elif m.group() in (">", ")", "]"):
+            depth -= 1
+            if depth < 0:
+                return False
+        elif not depth:
+            words.append(m.group())
+    return not depth and bool(_TYPE.fullmatch("".join(words)))
+
+
+def _declared_before(text: str, start: int) -> str | None:
+    """The name in ``var name type``, where the type begins at ``start``."""
+    end = _run_before(text, _run_before(text, start, "*[]"), _BLANKS)
+    name = _run_before(text, end, _NAME_CHARS)
+    word = _run_before(text, name, _BLANKS)
+    if end < start and word < name < end and text[_run_before(text, word, _NAME_CHARS) : word] in ("var", "const"):
+        return text[name:end]
+    return None
+
+
+def _expression(text: str, at: int, bound: dict[str, Value]) -> Value | None:
+    """The value of the literals and names joined by plus from ``at``; None if one is a call or there is none."""
+    parts, constant = [], True
+    while True:
+        m = _ATOM.match(text, at)
+        if not m:
+            break
+        kind = m.lastindex
+        if kind == 4 and m.group(4) in bound:
+            parts.append(bound[m.group(4)])
+        elif kind in (1, 2, 3):
+            parts.append((m.group(kind), m.start(kind), m.end(kind), True))
+        elif kind == 5 or not text[m.end() : m.end() + 1] == "(":
+            parts.append((m.group(kind), m.start(kind), m.end(kind), False))
+        else:
+            constant = False
+        plus = _PLUS.match(text, m.end())
+        if not plus:
+            break
+        at = plus.end()
+    return Value(parts) if constant and parts else None
 
 
 def lexed_pairs(text: str):
-    """(name, atoms) of every assignment; an atom is (literal, start, end, quoted) in order of the source.
+    """(name, value) of every assignment, in order of the source.
 
-    Names in expressions are replaced by the literals last bound to them.
+    Names in expressions stand for the value last bound to them. What stands between a colon and ``=`` may
+    be a type or a name (``Error: password = "x"``), so the expression is given to the names before both.
     """
-    bound: dict[str, list[tuple[str, int, int, bool]]] = {}
-    for op in _OPERATOR.finditer(text):
-        if op.group() in ("==", "::"):
+    bound: dict[str, Value] = {}
+    ops = [op for op in _OPERATOR.finditer(text) if op.group() != "::"]
+    for k, op in enumerate(ops):
+        if op.group() == "==":
             continue
-        name = _NAME.search(text, max(0, op.start() - 140), op.start())
-        if not name:
+        # A type before the next operator is no value, so that no earlier literal is taken for it.
+        after = ops[k + 1] if k + 1 < len(ops) else None
+        typed = op.group() == ":" and after and after.group() == "=" and _is_type_line(text, op.end(), after.start())
+        names = []
+        at = _name_before(text, op.start())
+        if at:
+            names.append(text[slice(*at)])
+        if op.group() == "=":
+            if k and ops[k - 1].group() == ":" and _is_type_line(text, ops[k - 1].end(), op.start()):
+                colon = ops[k - 1].start()
+                other = _name_before(text, colon - (text[colon - 1 : colon] in ("?", "!")))
+                names += [text[slice(*other)]] if other else []
+            elif at and (other := _declared_before(text, at[0])):
+                names.append(other)
+        if not names:
             continue
-        atoms, at, constant = [], op.end(), True
-        while True:
-            m = _ATOM.match(text, at)
-            if not m:
-                break
-            kind = m.lastindex
-            if kind == 4 and m.group(4) in bound:
-                atoms += bound[m.group(4)]
-            elif kind in (1, 2, 3):
-                atoms.append((m.group(kind), m.start(kind), m.end(kind), True))
-            elif kind == 5 or not text[m.end() : m.end() + 1] == "(":
-                atoms.append((m.group(kind), m.start(kind), m.end(kind), False))
-            else:
-                constant = False
-            plus = _PLUS.match(text, m.end())
-            if not plus:
-                break
-            at = plus.end()
-        if constant and atoms and len(atoms) <= 16:
-            bound[name.group(1)] = atoms
-            yield name.group(1), atoms
+        value = _expression(text, op.end(), {} if typed else bound)
+        if value:
+            for name in dict.fromkeys(names):
+                if not typed:
+                    bound[name] = value
+                yield name, value
+
+
+def _is_type_line(text: str, start: int, end: int) -> bool:
+    return text.find("\n", start, end) < 0 and _is_type(text[start:end])
 
 
 def method_spans(text: str) -> list[Span]:
     """Literals that reach a sensitive name, directly or through constants."""
     if "=" not in text and ":" not in text:
         return []
-    found = {}
-    for name, atoms in lexed_pairs(text):
+    values = {}
+    for name, value in lexed_pairs(text):
+        values[id(value)] = value
         weight = name_weight(name)
-        if not weight:
-            continue
-        score = weight * literal_weight("".join(a[0] for a in atoms))
         # A bare word after a colon is prose; unquoted values must hold a digit or a sign.
-        plain = all(not quoted and value.isalpha() for value, _, _, quoted in atoms)
-        if score >= LEAST_SCORE and not plain:
-            for _, start, end, _ in atoms:
-                if end > start:
-                    found[start, end] = max(score, found.get((start, end), 0.0))
+        if weight and not value.plain:
+            score = weight * literal_weight(value)
+            value.score = max(value.score, score if score >= LEAST_SCORE else 0.0)
+    found = {}
+    # Later values first: each hands its score down to the parts it was made of.
+    for value in reversed(values.values()):
+        for part in value.parts if value.score else ():
+            if isinstance(part, Value):
+                part.score = max(part.score, value.score)
+            elif part[2] > part[1]:
+                found[part[1:3]] = max(value.score, found.get(part[1:3], 0.0))
     return [Span("literal", start, end, start, score) for (start, end), score in found.items()]
 
 

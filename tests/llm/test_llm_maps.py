@@ -39,6 +39,34 @@ def test_constants_reach_sensitive_names():
     assert [json[s.start : s.end] for s in secret_scan.find_secrets(json) if s.kind == "literal"] == ["aB3$kd92Lm"]
 
 
+SECRET = "zK8sd02mQ1xY7"
+FORMS = [
+    "signing_key            = '%s'", f"signing_key{' ' * 500}= '%s'", f"{'x' * 300}_signing_key = '%s'",
+    'const privateKey: string = "%s"', 'apiKey: string = "%s"', 'privateKey?: string | null="%s"', 'def f(private_key: str = "%s", n: int = 3):',
+    'private_key: Optional[List[str]] = "%s"', "const SIGNING_KEY: &'static str = \"%s\";", 'signing_key: std::string = "%s"', 'var signingKey string = "%s"',
+    'signing_key = b"%s"', "signing_key = Rb'%s'", 'signing_key = f"%s"', 'const SIGNING_KEY: &[u8] = br#"%s"#;', 'signing_key = @"%s"', 'Error: password = "%s"',
+]
+
+
+@pytest.mark.parametrize("form", FORMS)
+def test_forms_of_assignment(form):
+    text = form % SECRET
+    spans = secret_scan.find_secrets(text)
+    assert SECRET in {text[s.start : s.end] for s in spans if s.kind == "literal"}
+    assert SECRET not in secret_scan.redacted(text, spans)
+
+
+def test_long_expressions_and_types_without_values():
+    parts = [f"z{i}Q" for i in range(40)]
+    text = "part = " + " + ".join(f'"{p}"' for p in parts) + "\nsigning_key = part"
+    assert [text[s.start : s.end] for s in secret_scan.find_secrets(text)] == parts
+    # A value that doubles a thousand times is scored without being written out.
+    text = 'a = "x1y2"\n' + "a = a + a\n" * 1000 + "signing_key = a"
+    assert [text[s.start : s.end] for s in secret_scan.find_secrets(text)] == ["x1y2"]
+    text = f'label: string = "{SECRET}"\nprivateKey: string = other'
+    assert secret_scan.find_secrets(text) == []
+
+
 def test_scan_and_redact(spark):
     rows = [t and t + " token = abcdef123456" for t in ODD] + ["ff" * 20, "0" * 23]
     out = secret_scan.scan_secrets(frame(spark, rows, "spans int"), redact=True).orderBy("doc_id").collect()
@@ -50,6 +78,11 @@ def test_scan_and_redact(spark):
     assert out[-2].text == "[SECRET]" and out[-1].text == "0" * 23
 
 
+def test_redacts_all_forms(spark):
+    out = secret_scan.scan_secrets(frame(spark, [f % SECRET for f in FORMS]), redact=True).collect()
+    assert len(out) == len(FORMS) and all(SECRET not in r.text and "[SECRET]" in r.text for r in out)
+
+
 def test_packing_is_exact_and_gapless(spark):
     path = public_tokenizers.path("word_bpe_49k.json")
     plain = Tokenizer.from_file(path)
