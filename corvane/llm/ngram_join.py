@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corvane.llm.common import (
     FILTER_FIELDS,
@@ -330,27 +331,53 @@ def ngram_links(docs: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFrame,
     return sets.where("n is not null").select("doc_id", "n", "node"), labels
 
 
-def ngram_components(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
-    """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text).
-
-    component_id is the smallest doc_id that links reach. A row without words is its own component.
-    """
+def node_components(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """(doc_id, node, n_shingles, component_id) for every row of ``docs`` (doc_id, text)."""
     members, labels = ngram_links(docs, threshold)
     nodes = members.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
     nodes = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     least = nodes.groupBy("label").agg(F.min("least").alias("component_id"))
     named = nodes.join(least, "label").select("node", "component_id")
     return members.join(named, "node", "left").select(
-        "doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
+        "doc_id", "node", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
     )
 
 
+def ngram_components(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
+    """(doc_id, n_shingles, component_id) for every row of ``docs`` (doc_id, text).
+
+    component_id is the smallest doc_id that links reach. A row without words is its own component.
+    """
+    return node_components(docs, threshold).drop("node")
+
+
+def with_node(docs: DataFrame) -> DataFrame:
+    """``docs`` plus ``_node``, the name of the text's shingle set; null without words."""
+    columns = [*docs.columns, "_node"]
+
+    def name(batches):
+        for batch in batches:
+            nodes = [set_id(s) if len(s) else None for s in shingle_sets(batch.column("text"))]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes, pa.binary())], columns)
+
+    return arrow_map(docs, name, T.StructType([*docs.schema.fields, T.StructField("_node", T.BinaryType())]))
+
+
 def keep_one(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """Rows of ``docs`` whose doc_id names their component: one document of each group stays.
 
-    Only ids meet the texts: the ids that go are joined away. Rows that share the id that stays all
-    stay, and so does a null doc_id.
+    Only ids meet the texts: the ids that go are joined away. An id that also stands on a row that stays goes
+    by id and set. Rows that share the id that stays all stay, and so does a null doc_id.
     """
-    found = ngram_components(docs.select("doc_id", "text"), threshold)
-    gone = found.where("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(materialise(gone, "gone"), "doc_id", "left_anti")
+    found = node_components(docs.select("doc_id", "text"), threshold)
+    found = materialise(found.select("doc_id", "node", (F.col("doc_id") != F.col("component_id")).alias("goes")), "members")
+    gone = materialise(found.where("goes").select("doc_id", "node").distinct(), "gone")
+    ids = gone.select("doc_id").distinct()
+    both = materialise(found.where("not goes").select("doc_id").distinct().join(ids, "doc_id", "left_semi"), "both")
+    kept = docs.join(ids, "doc_id", "left_anti")
+    if both.isEmpty():
+        return kept
+    rest = with_node(docs.join(both, "doc_id", "left_semi").select(*docs.columns))
+    gone = gone.withColumnRenamed("node", "_node")
+    rest = rest.join(gone, ["doc_id", "_node"], "left_anti").drop("_node")
+    return kept.unionByName(rest.select(*kept.columns))

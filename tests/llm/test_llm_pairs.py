@@ -86,6 +86,13 @@ def test_keep_one_and_other_columns(spark):
     assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 9]
 
 
+def test_keep_one_of_a_repeated_id(spark):
+    text, other = "one two three four five six seven", "eight nine ten eleven twelve thirteen fourteen"
+    rows = [(1, text, "x"), (5, text.upper(), "a"), (5, other, "b"), (5, None, "c"), (7, other, "d"), (8, text, "e"), (None, text, "f")]
+    kept = ngram_join.keep_one(spark.createDataFrame(rows, "doc_id bigint, text string, node string"))
+    assert sorted(r.node for r in kept.collect()) == ["b", "c", "f", "x"]
+
+
 def test_empty_tables(spark):
     df = spark.createDataFrame([], SCHEMA)
     assert ngram_join.ngram_components(df).count() == 0
