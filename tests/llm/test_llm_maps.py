@@ -103,6 +103,17 @@ def test_packing_is_exact_and_gapless(spark):
     assert max(ends.values()) <= 512
 
 
+def test_only_special_strings_differ_from_the_plain_tokenizer(spark):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain = Tokenizer.from_file(path)
+    texts = [*ODD, "in<|endoftext|>side"]
+    found = {r.doc_id: r for r in packing.token_pieces(frame(spark, texts), path, capacity=1 << 20).collect()}
+    for i, text in enumerate(texts):
+        ids = np.array([*plain.encode(text or "", add_special_tokens=False).ids, 1], "<u4")
+        same = (found[i].length, found[i].ids_crc32) == (len(ids), zlib.crc32(ids.tobytes()))
+        assert same == ("<|" not in (text or "")), repr(text)
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_sweep_is_best_fit_decreasing(seed):
     rng = np.random.default_rng(seed)
