@@ -1,4 +1,4 @@
-"""Registered queries of the ten operators, each over its whole table, and SQL where it can say the same."""
+"""Registered queries of the operators, each over its whole table, and SQL where it can say the same."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import bpe, hnsw, line_dedup, ngram_join, packing, secret_scan, sharding, spotsigs, toxicity, warc
+from corvane.llm import bpe, fim, hnsw, line_dedup, ngram_join, packing, secret_scan, sharding, spotsigs, toxicity, warc
 from corvane.llm.common import read_table
 
 
@@ -183,6 +183,39 @@ SELECT any_value(doc_id) AS doc_id, count(*) AS n_lines, count(hot.key) AS n_dro
 FROM keyed LEFT JOIN hot USING (key) GROUP BY r
 """
 
+def op11_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every text cut and reordered, and the text rebuilt from that."""
+    rows = fim.fill_in_middle(_texts(spark, sf_dir))
+    return rows.select(
+        "doc_id",
+        "n",
+        "form",
+        F.col("prefix_units").alias("prefix_chars"),
+        F.col("middle_units").alias("middle_chars"),
+        F.sha2("output", 256).alias("output_sha256"),
+        F.sha2(fim.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"),
+    )
+
+
+OP11_SQL = r"""
+WITH drawn AS (
+  SELECT doc_id, coalesce(text, '') AS t, length(coalesce(text, '')) AS n, sha256('1:' || coalesce(CAST(doc_id AS VARCHAR), '')) AS h
+  FROM documents),
+numbers AS (
+  SELECT *, ('0x' || substr(h, 1, 8))::UBIGINT % (n + 1) AS a, ('0x' || substr(h, 9, 8))::UBIGINT % (n + 1) AS b,
+    ('0x' || substr(h, 17, 8))::UBIGINT % 100 AS c, ('0x' || substr(h, 25, 8))::UBIGINT % 100 AS d FROM drawn),
+cuts AS (
+  SELECT doc_id, t, n, least(a, b)::BIGINT AS lo, greatest(a, b)::BIGINT AS hi,
+    CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR c >= 90 THEN 'plain'
+      WHEN d < 20 THEN 'spm' ELSE 'psm' END AS form FROM numbers),
+parts AS (SELECT *, substring(t, 1, lo) AS p, substring(t, lo + 1, hi - lo) AS m, substring(t, hi + 1) AS s FROM cuts)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN lo END AS prefix_chars, CASE WHEN form <> 'plain' THEN hi - lo END AS middle_chars,
+  sha256(CASE form WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m WHEN 'spm' THEN '<S>' || s || '<P>' || p || '<M>' || m ELSE t END)
+    AS output_sha256,
+  sha256(t) AS restored_sha256
+FROM parts
+"""
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -196,6 +229,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_sharding,
         op9_warc_revisits,
         op10_line_dedup,
+        op11_fill_in_middle,
     )
 }
-ORACLES = {"op9_warc_revisits": OP9_SQL, "op10_line_dedup": OP10_SQL}
+ORACLES = {"op9_warc_revisits": OP9_SQL, "op10_line_dedup": OP10_SQL, "op11_fill_in_middle": OP11_SQL}
