@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import bpe, fim, hnsw, line_dedup, ngram_join, packing, secret_scan, sharding, spotsigs, toxicity, warc
+from corvane.llm import bpe, fim, hnsw, line_dedup, ngram_join, packing, secret_scan, sharding, simhash, spotsigs, toxicity, warc
 from corvane.llm.common import read_table
 
 
@@ -216,6 +216,12 @@ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN lo END AS prefix_chars, C
 FROM parts
 """
 
+def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every text, and components of those that differ in three bits at most."""
+    rows = simhash.near_components(_texts(spark, sf_dir))
+    return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -230,6 +236,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op9_warc_revisits,
         op10_line_dedup,
         op11_fill_in_middle,
+        op12_simhash,
     )
 }
 ORACLES = {"op9_warc_revisits": OP9_SQL, "op10_line_dedup": OP10_SQL, "op11_fill_in_middle": OP11_SQL}
