@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.llm import bpe, fim, hnsw, line_dedup, ngram_join, packing, secret_scan, sharding, simhash, spotsigs, toxicity, warc
+from corvane.llm import bpe, fim, hnsw, line_dedup, ngram_join, packing, secret_scan, sharding, simhash, spelling, spotsigs, toxicity, warc
 from corvane.llm.common import read_table
 
 
@@ -222,6 +222,11 @@ def op12_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word with its near words' number, its form and the root of its group."""
+    return spelling.spelling_variants(_texts(spark, sf_dir), drop_every=97)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (
@@ -237,6 +242,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op10_line_dedup,
         op11_fill_in_middle,
         op12_simhash,
+        op13_spelling_variants,
     )
 }
 ORACLES = {"op9_warc_revisits": OP9_SQL, "op10_line_dedup": OP10_SQL, "op11_fill_in_middle": OP11_SQL}
