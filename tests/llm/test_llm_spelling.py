@@ -78,7 +78,7 @@ def rows():
                 w = rng.choice((w[:p] + w[p + 1 :], w[:p] + rng.choice("abcé") + w[p + 1 :], w[:p] + rng.choice("abcé") + w[p:]))
             words.append(rng.choice((w, w.upper(), w.title())))
         texts.append(rng.choice((" ", "-", "\n", "7")).join(words))
-    texts += ["chains " * 14, "chains, chainsé. " * 15, "chainsée! " * 5 + "chainsée" + "xy chainsée" * 2]
+    texts += ["chains " * 40, "chains, chainsé. " * 15, "chainsée! " * 5 + "chainsée" + "xy chainsée" * 2]
     out = list(enumerate([*texts, None, "", "1 2 3", "ab cd"]))
     return out + [(None, texts[3]), (None, None), (5, texts[5]), (5, texts[5])]
 
