@@ -6,7 +6,9 @@ in time linear in the piece, and read backwards for the encoding. As an entry de
 ones only, appended bytes extend the table exactly, and after an edit the table is refilled from the
 edit until it runs in step with the old one again.
 
-Two tokens are compatible if their joint bytes encode to just these two; verdicts are remembered.
+Two tokens are compatible if their joint bytes encode to just these two. That is so if no merge across
+their border comes before the merges that made both: their merges are undone from the last on, and at
+every step the two tokens at the border must not form one of lower rank. Verdicts are remembered.
 Null and empty texts have no tokens. Ids decode by joining the tokens' bytes.
 """
 
@@ -22,8 +24,12 @@ from pyspark.sql import types as T
 
 from corvane.llm.common import arrow_map, utf8
 
-REMEMBERED = 300_000
+#: Pieces, pairs and endings that a worker remembers of each kind; last bytes that tell which tokens may end a prefix.
+REMEMBERED = 400_000
 LONGEST_REMEMBERED = 64
+TAIL = 4
+#: Bytes of a piece's beginning.
+HEAD = 6
 
 
 def load_ranks(path: str) -> dict[bytes, int]:
@@ -31,6 +37,26 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in (line.split() for line in lines if line.strip())}
 
 
+class _Tails(dict):
+    """What may end a prefix with these last bytes: (length, token), longest first; of tokens over ``TAIL`` bytes the length only."""
+
+    def __init__(self, ranks: dict[bytes, int]):
+        super().__init__()
+        self.ranks = ranks
+        self.longer: dict[bytes, set[int]] = {}
+        for token in ranks:
+            if len(token) > TAIL:
+                self.longer.setdefault(token[-TAIL:], set()).add(len(token))
+
+    def __missing__(self, last: bytes) -> tuple[tuple[int, int], ...]:
+        own = [(n, -1) for n in sorted(self.longer.get(last, ()), reverse=True)]
+        own += [(n, self.ranks[last[-n:]]) for n in range(len(last), 0, -1) if last[-n:] in self.ranks]
+        if len(self) >= REMEMBERED:
+            self.clear()
+        self[last] = tuple(own)
+        return self[last]
+
+
 class PrefixEncoder:
     """Encodes byte strings with the ranks of a byte-level vocabulary."""
 
@@ -38,48 +64,73 @@ class PrefixEncoder:
         self.ranks = ranks
         self.token = {rank: token for token, rank in ranks.items()}
         self.longest = max(map(len, ranks))
-        lengths: dict[bytes, set[int]] = {}
-        for token in ranks:
-            if len(token) > 2:
-                lengths.setdefault(token[-3:], set()).add(len(token))
-        #: Lengths to try for a last token, by the three bytes before its end, longest first.
-        self.lengths = {last: (*sorted(own, reverse=True), 2, 1) for last, own in lengths.items()}
+        self.tails = _Tails(ranks)
+        self.heads: dict[bytes, list[int]] = {}
         self.pairs: dict[tuple[int, int], bool] = {}
-        self.whole: dict[int, bool] = {}
-
-    def merged(self, data: bytes) -> list[bytes]:
-        """Plain BPE of a few bytes: the lowest rank first, leftmost on ties."""
+        self.made_of: dict[int, tuple[int, int] | None] = {}
+        # All tokens' bytes in one row, for decoding by one gather.
+        sizes = np.zeros(max(self.token) + 2, np.int64)
+        sizes[np.array(list(self.token)) + 1] = [len(t) for t in self.token.values()]
+        self.starts = np.cumsum(sizes)
+        self.joined = np.frombuffer(b"".join(self.token[i] for i in sorted(self.token)), np.uint8)
+
+    def merged(self, data: bytes, below: int = 1 << 62) -> list[bytes]:
+        """Plain BPE of a few bytes by merges of rank under ``below``: the lowest rank first, leftmost on ties."""
         parts = [data[i : i + 1] for i in range(len(data))]
         while len(parts) > 1:
             ranks = [self.ranks.get(a + b, 1 << 62) for a, b in zip(parts, parts[1:])]
             least = min(ranks)
-            if least == 1 << 62:
+            if least >= below:
                 break
             i = ranks.index(least)
             parts[i : i + 2] = [parts[i] + parts[i + 1]]
         return parts
 
+    def halves(self, token: int) -> tuple[int, int] | None:
+        """The two tokens whose merge made a token; None for a byte and for a token that no merges make."""
+        found = self.made_of.get(token, 0)
+        if found == 0:
+            data = self.token[token]
+            parts = self.merged(data, token) if len(data) > 1 else []
+            found = (self.ranks[parts[0]], self.ranks[parts[1]]) if len(parts) == 2 else None
+            self.made_of[token] = found
+        return found
+
     def reachable(self, token: int) -> bool:
         """Whether a token encodes to itself."""
-        if token not in self.whole:
-            self.whole[token] = len(self.merged(self.token[token])) == 1
-        return self.whole[token]
+        return len(self.token[token]) == 1 or self.halves(token) is not None
 
     def compatible(self, left: int, right: int) -> bool:
         found = self.pairs.get((left, right))
         if found is None:
-            a, b = self.token[left], self.token[right]
             if len(self.pairs) >= REMEMBERED:
                 self.pairs.clear()
-            found = self.pairs[left, right] = self.merged(a + b) == [a, b]
+            found = self.pairs[left, right] = self.reachable(left) and self.reachable(right) and self._apart(left, right)
         return found
 
+    def _apart(self, left: int, right: int) -> bool:
+        # Going back in time: the border tokens may merge only later than the merge undone last. A merge of
+        # equal rank to the left comes first, to the right it comes after the border's.
+        before = len(self.token) << 1
+        while True:
+            joint = self.ranks.get(self.token[left] + self.token[right])
+            if joint is not None and joint << 1 | 1 < before:
+                return False
+            a, b = self.halves(left), self.halves(right)
+            if a is None and b is None:
+                return True
+            if b is None or a is not None and left > right:
+                before, left = left << 1 | 1, a[1]
+            else:
+                before, right = (right << 1) + 2, b[0]
+
     def _last(self, data: bytes, table: list[int], end: int) -> int:
         # A token that is compatible with one before it also encodes to itself.
-        for length in self.lengths.get(data[end - 3 : end], (2, 1)) if end > 2 else (2, 1):
-            token = self.ranks.get(data[end - length : end]) if length <= end else None
-            if token is None:
-                continue
+        for length, token in self.tails[data[max(0, end - TAIL) : end]]:
+            if length > TAIL:
+                token = self.ranks.get(data[end - length : end]) if length <= end else None
+                if token is None:
+                    continue
             if length == end:
                 if self.reachable(token):
                     return token
@@ -93,8 +144,9 @@ class PrefixEncoder:
     def table(self, data: bytes, known: list[int] | None = None) -> list[int]:
         """Last token of every prefix (entry i is for i + 1 bytes); ``known`` entries are taken over."""
         table = list(known or ())
+        last = self._last
         for end in range(len(table) + 1, len(data) + 1):
-            table.append(self._last(data, table, end))
+            table.append(last(data, table, end))
         return table
 
     def append(self, data: bytes, table: list[int], more: bytes) -> list[int]:
@@ -126,23 +178,45 @@ class PrefixEncoder:
         return ids[::-1]
 
     def encode(self, data: bytes) -> list[int]:
-        return [self.ranks[data]] if data in self.ranks and self.reachable(self.ranks[data]) else self.read(self.table(data))
-
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.token.__getitem__, ids))
+        whole = self.ranks.get(data)
+        if whole is not None:
+            return [whole]
+        if len(data) <= HEAD:
+            return self.read(self.table(data))
+        # Words begin alike: the table of a beginning is remembered, and the rest appended.
+        head = data[:HEAD]
+        known = self.heads.get(head)
+        if known is None:
+            if len(self.heads) >= REMEMBERED:
+                self.heads.clear()
+            known = self.heads[head] = self.table(head)
+        return self.read(self.table(data, known))
+
+    def decode(self, ids: np.ndarray | list[int]) -> bytes:
+        ids = np.asarray(ids, np.int64)
+        first = self.starts[ids]
+        sizes = self.starts[ids + 1] - first
+        ends = np.cumsum(sizes)
+        return self.joined[np.repeat(first - ends + sizes, sizes) + np.arange(ends[-1] if len(ids) else 0)].tobytes()
 
 
 class _Pieces(dict):
-    """Little-endian 32-bit ids of pieces, remembered while they are short."""
+    """Little-endian 32-bit ids of pieces, remembered while they are short.
+
+    When it is full, what it holds becomes the older half: pieces that occur again come back from there.
+    """
 
     def __init__(self, encoder: PrefixEncoder):
         super().__init__()
-        self.encoder = encoder
+        self.encoder, self.older = encoder, {}
 
     def __missing__(self, piece: str) -> bytes:
-        own = np.array(self.encoder.encode(utf8(piece)), "<u4").tobytes()
+        own = self.older.get(piece)
+        if own is None:
+            own = np.array(self.encoder.encode(utf8(piece)), "<u4").tobytes()
         if len(piece) <= LONGEST_REMEMBERED:
             if len(self) >= REMEMBERED:
+                self.older = dict(self)
                 self.clear()
             self[piece] = own
         return own
@@ -164,7 +238,7 @@ def text_encoder(path: str, pattern: str):
         return b"".join(map(pieces.__getitem__, split(text or "")))
 
     def decode(ids: bytes) -> bytes:
-        return encoder.decode(np.frombuffer(ids, "<u4").tolist())
+        return encoder.decode(np.frombuffer(ids, "<u4"))
 
     return encode, decode
 
