@@ -3,7 +3,10 @@
 Three plain patterns give the base spans. Beyond them, source and configuration syntax is read into
 (name, expression) pairs: ``name = "a" + b``, ``"name": 'x'``, ``name => x``, ``cfg["name"] := x``. A type
 between name and ``=`` is skipped (``name: str = "a"``, ``var name string = "a"``), as are prefixes of
-literals (``b"a"``). Names, blanks before operators and expressions may have any length. Literals
+literals (``b"a"``) and the scheme before a credential (``"Bearer x"``). Literals among a call's arguments
+(``os.getenv("NAME", "a")``), triple-quoted literals and element texts (``<password>a</password>``) are
+values, too. A run without blanks is read whole once, and by the operators within it up to the next one,
+so the time is in proportion to the text. Names, blanks before operators and expressions may have any length. Literals
 bound to names are remembered, so a secret that reaches a sensitive name through constants or
 concatenation is found where its literals stand. A pair is reported when its name is sensitive and its
 value looks like a secret; the score is the product of both.
@@ -14,7 +17,7 @@ equal rows give equal results.
 
 from __future__ import annotations
 
-import hashlib
+import functools
 import math
 import re
 import string
@@ -38,7 +41,7 @@ HEX = re.compile(r"[0-9a-f]+")
 MIN_VALUE, MIN_ACCESS, MIN_HEX = 6, 20, 24
 # Parts of names and what they say of a secret (1 is certain).
 SENSITIVE = {
-    "password": 1.0, "passwd": 1.0, "pwd": 1.0, "passphrase": 1.0, "secret": 1.0, "token": 0.9, "apikey": 1.0,
+    "password": 1.0, "passwd": 1.0, "pwd": 1.0, "pass": 0.9, "authorization": 0.9, "passphrase": 1.0, "secret": 1.0, "token": 0.9, "apikey": 1.0,
     "credential": 0.9, "credentials": 0.9, "auth": 0.6, "bearer": 0.8, "privatekey": 1.0, "accesskey": 1.0,
     "signingkey": 0.9, "encryptionkey": 0.9, "connectionstring": 0.7, "dsn": 0.6, "webhook": 0.6, "salt": 0.5, "pin": 0.4,
 }
@@ -53,9 +56,16 @@ _IS_HEX = np.zeros(256, bool)
 _IS_HEX[[*b"0123456789abcdef"]] = True
 _BLANKS, _NAME_CHARS, _NOT_FIRST = " \t", string.ascii_letters + string.digits + "_.-", string.digits + ".-"
 _OPERATOR = re.compile(r":=|=>|==|::|=|:")
-_ATOM = re.compile(
-    r"""[ \t]*(?:(?:[bBfFrRuUtTcLN]|[bBfFuU][rR]|[rR][bBfF]|u8R?|[LU]R|b?r\#*|[@$]{1,2})?(?:"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`)|([A-Za-z_][A-Za-z0-9_.-]*)(?![A-Za-z0-9+/=_-])|([^\s,;(){}\[\]"'`]+))"""
-)
+_LITERAL = r"""[ \t]*(?:(?:[bBfFrRuUtTcLN]|[bBfFuU][rR]|[rR][bBfF]|u8R?|[LU]R|b?r\#*|[@$]{1,2})?(?:(?:\"{3}|'{3})((?:[^"'\\]|\\[\s\S]|["'](?!["']{2}))*+)(?:\"{3}|'{3})|"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`)|([A-Za-z_][A-Za-z0-9_.-]*+)(?![A-Za-z0-9+/=_-])|(%s))"""
+_ATOM = re.compile(_LITERAL % r"""[^\s,;(){}\[\]"'`]+""")
+#: Within an unquoted run that an earlier operator has read whole, a value ends where the next pair may begin.
+_INNER_ATOM = re.compile(_LITERAL % r"""[^\s,;(){}\[\]"'`&=:?]+(?:={1,2}(?![^\s,;(){}\[\]"'`&]))?""")
+#: Literals in the arguments of a call, up to its end or the end of the line.
+_ARGUMENT = re.compile(r"""[^"'`()\n]*+(?:([()])|"((?:[^"\\\n]|\\.)*)"|'((?:[^'\\\n]|\\.)*)'|`([^`\n]*)`)""")
+_IDENTIFIER = re.compile(r"[A-Z][A-Z0-9_]*|[a-z][a-z_./-]*")
+_ELEMENT = re.compile(r"<([A-Za-z_][A-Za-z0-9_.:-]*+)>[ \t\n]*+([^<>\s][^<>]*+)</")
+#: Names of schemes that stand before a credential.
+_SCHEME = re.compile(r"(?:Bearer|Basic|Token|bearer|basic|token)[ \t]+(?=\S+$)")
 _PLUS = re.compile(r"[ \t]*(?:\+|\.\.)[ \t]*(?=[\"'`A-Za-z_]|[@$]{1,2}\")")
 _BRACKETS = re.compile(r"[<(\[]|[>)\]]|[^<>()\[\]]+")
 #: A type whose brackets are written as one word: ``str``, ``&'static str``, ``string | null``, ``"Key"``, ``String?``.
@@ -87,6 +97,7 @@ def base_spans(text: str, maybe_hex: bool = True) -> list[Span]:
     return spans
 
 
+@functools.lru_cache(maxsize=4096)
 def name_weight(name: str) -> float:
     """How sensitive a target name is, by its parts (snake, kebab, dotted or camel case)."""
     parts = [p.lower() for p in _PARTS.findall(name)]
@@ -98,14 +109,23 @@ class Value:
     """Literals and earlier values in a row, with what the score needs of their joined text.
 
     Only the parts themselves are held, not the literals below them, so a value of values stays small.
+    A value of literals alone is measured when it is first asked for: most names are not sensitive.
     """
 
     __slots__ = ("parts", "length", "counts", "head", "plain", "score")
 
     def __init__(self, parts: list[Value | tuple[str, int, int, bool]]):
-        self.parts, self.length, self.counts, self.head, self.plain, self.score = parts, 0, Counter(), "", True, 0.0
-        for part in parts:
+        self.parts, self.length, self.score = parts, -1, 0.0
+        if any(isinstance(part, Value) for part in parts):
+            self.measure()
+
+    def measure(self) -> Value:
+        if self.length >= 0:
+            return self
+        self.length, self.counts, self.head, self.plain = 0, Counter(), "", True
+        for part in self.parts:
             if isinstance(part, Value):
+                part.measure()
                 length, counts, text, plain = part.length, part.counts, part.head, part.plain
             else:
                 text, _, _, quoted = part
@@ -118,10 +138,11 @@ class Value:
         if self.length > 1 << 60:  # doubled over and over: only the shares of the characters count from here
             self.counts = Counter({c: n * (1 << 30) / self.length for c, n in self.counts.items()})
             self.length = 1 << 30
+        return self
 
 
 def literal_weight(value: Value) -> float:
-    """How much a value looks like a secret: length, kinds of characters, entropy."""
+    """How much a measured value looks like a secret: length, kinds of characters, entropy."""
     if value.length < MIN_VALUE or value.length < HEAD and value.head.lower() in PLACEHOLDERS:
         return 0.0
     if value.head[:1] in "<$%{" or any(c.isspace() for c in value.counts):
@@ -180,36 +201,61 @@ def _declared_before(text: str, start: int) -> str | None:
     return None
 
 
-def _expression(text: str, at: int, bound: dict[str, Value]) -> Value | None:
-    """The value of the literals and names joined by plus from ``at``; None if one is a call or there is none."""
-    parts, constant = [], True
+def _literal(text: str, start: int, end: int) -> tuple[str, int, int, bool]:
+    """A quoted literal without the name of a scheme before its credential."""
+    own = text[start:end]
+    scheme = _SCHEME.match(own)
+    skip = scheme.end() if scheme else 0
+    return own[skip:], start + skip, end, True
+
+
+def _expression(text: str, at: int, bound: dict[str, Value], atom: re.Pattern) -> tuple[Value | None, int, int]:
+    """(value, end of unquoted runs, call) of the literals and names joined by plus from ``at``.
+
+    The value is None if a part is a call (its opening bracket is returned, else -1) or there is none.
+    """
+    parts, reach, call = [], 0, -1
     while True:
-        m = _ATOM.match(text, at)
+        m = atom.match(text, at)
         if not m:
             break
         kind = m.lastindex
-        if kind == 4 and m.group(4) in bound:
-            parts.append(bound[m.group(4)])
-        elif kind in (1, 2, 3):
-            parts.append((m.group(kind), m.start(kind), m.end(kind), True))
-        elif kind == 5 or not text[m.end() : m.end() + 1] == "(":
+        if kind == 5 and m.group(5) in bound:
+            parts.append(bound[m.group(5)])
+        elif kind < 5:
+            parts.append(_literal(text, m.start(kind), m.end(kind)))
+        elif kind == 6 or not text[m.end() : m.end() + 1] == "(":
             parts.append((m.group(kind), m.start(kind), m.end(kind), False))
+            reach = m.end()
         else:
-            constant = False
+            call = m.end()
         plus = _PLUS.match(text, m.end())
         if not plus:
             break
         at = plus.end()
-    return Value(parts) if constant and parts else None
+    return Value(parts) if parts and call < 0 else None, reach, call
+
+
+def _arguments(text: str, at: int):
+    """Values of the literals in a call whose bracket opens at ``at``, up to the next bracket; a key's name is none."""
+    at += 1
+    first = True
+    while (m := _ARGUMENT.match(text, at)) and not m.group(1):
+        literal = m.group(m.lastindex)
+        if not (first and _IDENTIFIER.fullmatch(literal)):
+            yield Value([_literal(text, m.start(m.lastindex), m.end(m.lastindex))])
+        first, at = False, m.end()
 
 
 def lexed_pairs(text: str):
-    """(name, value) of every assignment, in order of the source.
+    """(name, value) of every assignment, in order of the source, then of elements.
 
     Names in expressions stand for the value last bound to them. What stands between a colon and ``=`` may
     be a type or a name (``Error: password = "x"``), so the expression is given to the names before both.
+    The literals among the arguments of a call are values of the name that it is assigned to.
     """
     bound: dict[str, Value] = {}
+    reach = 0
     ops = [op for op in _OPERATOR.finditer(text) if op.group() != "::"]
     for k, op in enumerate(ops):
         if op.group() == "==":
@@ -230,12 +276,22 @@ def lexed_pairs(text: str):
                 names.append(other)
         if not names:
             continue
-        value = _expression(text, op.end(), {} if typed else bound)
-        if value:
+        # A run without blanks is read whole once; operators within it read up to the next one.
+        inner = op.start() < reach
+        value, end, call = _expression(text, op.end(), {} if typed else bound, _INNER_ATOM if inner else _ATOM)
+        reach = max(reach, end)
+        if call >= 0 and any(map(name_weight, names)):
+            for value in _arguments(text, call):
+                yield from ((name, value) for name in dict.fromkeys(names))
+        elif value:
             for name in dict.fromkeys(names):
                 if not typed:
                     bound[name] = value
                 yield name, value
+    for m in _ELEMENT.finditer(text):
+        if name_weight(m.group(1)):
+            own = m.group(2).rstrip()
+            yield m.group(1), Value([(own, m.start(2), m.start(2) + len(own), True)])
 
 
 def _is_type_line(text: str, start: int, end: int) -> bool:
@@ -244,14 +300,14 @@ def _is_type_line(text: str, start: int, end: int) -> bool:
 
 def method_spans(text: str) -> list[Span]:
     """Literals that reach a sensitive name, directly or through constants."""
-    if "=" not in text and ":" not in text:
+    if "=" not in text and ":" not in text and "</" not in text:
         return []
     values = {}
     for name, value in lexed_pairs(text):
         values[id(value)] = value
         weight = name_weight(name)
         # A bare word after a colon is prose; unquoted values must hold a digit or a sign.
-        if weight and not value.plain:
+        if weight and not value.measure().plain:
             score = weight * literal_weight(value)
             value.score = max(value.score, score if score >= LEAST_SCORE else 0.0)
     found = {}
@@ -328,11 +384,3 @@ def scan_secrets(docs: DataFrame, redact: bool = False) -> DataFrame:
 
     schema = T.StructType([*own, T.StructField("spans", T.ArrayType(SPAN))])
     return arrow_map(docs.select(*names), scan, schema)
-
-
-def joined(spans: list) -> str:
-    return ",".join(f"{s['kind']}:{s['start']}:{s['end']}" for s in spans)
-
-
-def digest(text: str) -> str:
-    return hashlib.sha256(text.encode()).hexdigest()

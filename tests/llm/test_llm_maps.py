@@ -1,7 +1,9 @@
 """Secrets, packing, BPE, toxicity, neighbours, revisits and the pipeline on small and odd tables."""
 
 import base64
+import hashlib
 import re
+import time
 import zlib
 
 import numpy as np
@@ -67,6 +69,90 @@ def test_long_expressions_and_types_without_values():
     assert secret_scan.find_secrets(text) == []
 
 
+MORE_FORMS = [
+    'password = os.environ.get("APP_PASSWORD", "%s")', "token = getenv('TOKEN', '%s')", 'key = 1\nsecret = wrap("%s")', '"Authorization": "Bearer %s"',
+    "headers['Authorization'] = 'Basic %s'", "<password>%s</password>", "<db:secret>\n  %s \n</db:secret>", "DB_PASS=%s", 'signing_key = """%s"""',
+    "signing_key = '''%s'''", "https://x.org/?user=7&api_token=%s&n=1", "a=b=signing_key=%s", "signing_key=%s==",
+]
+
+
+@pytest.mark.parametrize("form", MORE_FORMS)
+def test_more_forms_of_assignment(form):
+    text = form % SECRET
+    spans = secret_scan.find_secrets(text)
+    assert any(SECRET in text[s.start : s.end] for s in spans if s.kind == "literal"), spans
+    assert SECRET not in secret_scan.redacted(text, spans)
+
+
+def test_names_of_keys_are_no_secrets():
+    for text in ('token = os.environ.get("API_TOKEN")', 'password = config("db.password")', "secret = load('path/to/secret')"):
+        assert [s for s in secret_scan.find_secrets(text) if s.kind == "literal"] == []
+
+
+@pytest.mark.parametrize(
+    "unit", ["a=1&", "a=a=a=", "a:b:c:", "token=1&", "token:x1:", "key=f(", 'key="', "a='b\"", '="""', "<a>", "<a>b", "a::", "x://a:", "password=x9?", "var a b", "a: b = "]
+)
+def test_long_unbroken_text_takes_linear_time(unit):
+    text = unit * (1_000_000 // len(unit))
+    started = time.process_time()
+    secret_scan.find_secrets(text)
+    assert time.process_time() - started < 25
+
+
+def independent_base(text):
+    """Base spans by stepping through every start, without the patterns."""
+    text, out, at, low = text or "", [], 0, (text or "").translate({i: i + 32 for i in range(65, 91)})
+    value = set("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_.=-")
+    while at < len(text):
+        name = next((n for n in ("password", "passwd", "secret", "token", "api_key", "apikey") if low.startswith(n, at)), None)
+        end = None
+        if name:
+            i = at + len(name)
+            # An optional quote is taken if it is there: what follows cannot be one.
+            i += text[i : i + 1] in ('"', "'") and len(text[i : i + 1])
+            while text[i : i + 1] == " ":
+                i += 1
+            if text[i : i + 1] in (":", "=") and text[i : i + 1]:
+                i += 1
+                while text[i : i + 1] == " ":
+                    i += 1
+                i += text[i : i + 1] in ('"', "'") and len(text[i : i + 1])
+                j = i
+                while j < len(text) and text[j] in value:
+                    j += 1
+                if j > i:
+                    end = j
+                    if j - i >= 6:
+                        out.append((at, 0, j))
+        at = end if end is not None else at + 1
+    for kind, chars, least, head in ((1, set("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 20, "AKIA"), (2, set("0123456789abcdef"), 24, "")):
+        at = 0
+        while at < len(text):
+            i = at + len(head)
+            if text.startswith(head, at) and i < len(text) and text[i] in chars:
+                while i < len(text) and text[i] in chars:
+                    i += 1
+                if i - at >= least:
+                    out.append((at, kind, i))
+                at = i
+            else:
+                at += 1
+    return [f"{('assign', 'access', 'hex')[k]}:{s}:{e}" for s, k, e in sorted(out)]
+
+
+def test_query_equals_independent_base_spans(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text").collect()
+    rows = {r.doc_id: r for r in queries.op1_secret_scan(spark, "/root/testdata/sf0.01").collect()}
+    for doc_id, text in docs:
+        base = independent_base(text)
+        row = rows[doc_id]
+        assert row.base_sha256 == hashlib.sha256(",".join(base).encode()).hexdigest()
+        counts = [sum(b.startswith(k) for b in base) for k in ("assign", "access", "hex")]
+        assert [row.n_assign, row.n_access, row.n_hex] == counts
+        assert set(base) <= set(row.spans.split(",")) | ({""} if not base else set())
+    assert len(rows) == len(docs) and sum(r.n_assign + r.n_access + r.n_hex for r in rows.values()) > 20
+
+
 def test_scan_and_redact(spark):
     rows = [t and t + " token = abcdef123456" for t in ODD] + ["ff" * 20, "0" * 23]
     out = secret_scan.scan_secrets(frame(spark, rows, "spans int"), redact=True).orderBy("doc_id").collect()
