@@ -10,7 +10,8 @@ a row leaving its task: the sweep yields rules (rank interval -> sequences, offs
 finds its place by its own rank, which one distributed range sort gives.
 
 Null and empty texts are one token (the end mark). Equal rows are separate documents. Results name
-the input's doc_id; other columns are not read.
+the input's doc_id; other columns are not read. The strings of special tokens in a text give their ids, as the
+tokenizer has it by default. ``pack`` keeps all columns of its pieces but ``sequence_id`` and ``offset``.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import arrow_map, dense_rank_rows
+from corvane.llm.common import arrow_map, dense_rank_rows, unused
 from corvane.session import materialise
 
 CAPACITY = 4096
@@ -31,6 +32,8 @@ END_ID = 1
 #: Words whose ids a worker remembers; then it starts afresh.
 REMEMBERED = 1_000_000
 LONGEST_REMEMBERED = 64
+#: Rules (48 bytes each) that are broadcast.
+BROADCAST_RULES = 200_000
 
 _encoders: dict[str, _Words] = {}
 
@@ -43,17 +46,17 @@ class _Words(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
-        # The strings of special tokens in a text are ordinary text.
-        self.tokenizer.encode_special_tokens = True
 
     def __missing__(self, word: str) -> bytes:
-        # The normalizer lower-cases, and a sign after a letter starts a new word.
-        if word.isascii():
-            low = word.lower()
-            if low != word:
-                return self[low]
-        if word[-1:] in (".", ",") and word[-2:-1].isalpha():
-            return self[word[:-1]] + self[word[-1]]
+        # The normalizer lower-cases, and a sign after a letter of ASCII starts a new word (other letters may
+        # end in a mark, which the sign would join). Strings of special tokens are left to the tokenizer.
+        if "<|" not in word:
+            if word.isascii():
+                low = word.lower()
+                if low != word:
+                    return self[low]
+            if word[-1:] in (".", ",") and word[-2:-1].isascii() and word[-2:-1].isalpha():
+                return self[word[:-1]] + self[word[-1]]
         ids = self.tokenizer.encode(word, add_special_tokens=False).ids if word else []
         own = b"".join(i.to_bytes(4, "little") for i in ids)
         if len(word) <= LONGEST_REMEMBERED:
@@ -149,24 +152,27 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     spark = pieces.sparkSession
     # The range sort reads its input twice; texts are tokenized once.
     pieces = materialise(pieces, "pieces")
-    ranked = dense_rank_rows(pieces, ["length", "doc_id", "piece"], "_rank")
+    rank = unused(pieces.columns, "_rank")
+    ranked = dense_rank_rows(pieces, ["length", "doc_id", "piece"], rank)
     # One row per length, at most the capacity.
-    runs = ranked.groupBy("length").agg(F.count(F.lit(1)).alias("n"), F.min("_rank").alias("first")).collect()
+    runs = ranked.groupBy("length").agg(F.count(F.lit(1)).alias("n"), F.min(rank).alias("first")).collect()
     if any(not 1 <= r["length"] <= capacity for r in runs):
         raise ValueError(f"pieces must have 1 to {capacity} tokens")
     first = {r["length"]: r["first"] for r in runs}
     rules, _ = sweep({r["length"]: r["n"] for r in runs}, capacity)
     rows = [(n, first[n] + rank, first[n] + rank + count, per, seq, offset) for n, rank, count, per, seq, offset in rules]
-    held = spark.createDataFrame(rows, "length bigint, _from bigint, _to bigint, _per bigint, _seq bigint, _offset bigint")
-    own = F.col("_rank") - F.col("_from")
-    within = (F.col("_rank") >= F.col("_from")) & (F.col("_rank") < F.col("_to"))
-    place = F.col("_offset") + own % F.col("_per") * F.col("p.length")
+    held = spark.createDataFrame(rows, "length bigint, first bigint, stop bigint, per bigint, seq bigint, offset bigint")
+    # Rules follow the lengths, not the rows; a common length is then not dealt to one task.
+    held = F.broadcast(held) if len(rows) <= BROADCAST_RULES else held
+    own = F.col(f"p.{rank}") - F.col("r.first")
+    within = (F.col(f"p.{rank}") >= F.col("r.first")) & (F.col(f"p.{rank}") < F.col("r.stop"))
+    place = F.col("r.offset") + own % F.col("r.per") * F.col("p.length")
     return (
         ranked.alias("p")
         .join(held.alias("r"), (F.col("p.length") == F.col("r.length")) & within)
         .select(
-            *(F.col(f"p.{c}") for c in pieces.columns),
-            (F.col("_seq") + F.floor(own / F.col("_per"))).cast("bigint").alias("sequence_id"),
+            *(F.col(f"p.{c}") for c in pieces.columns if c.lower() not in ("sequence_id", "offset")),
+            (F.col("r.seq") + F.floor(own / F.col("r.per"))).cast("bigint").alias("sequence_id"),
             place.cast("bigint").alias("offset"),
         )
     )
