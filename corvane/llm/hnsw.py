@@ -1,8 +1,10 @@
 """Nearest neighbours by inner product: one navigable small-world graph per shard, shard results merged.
 
-Vectors are dealt to shards by a hash of their id. Within a shard equal vectors are one node, and
-nodes lie on the sphere (one coordinate is added so that all have the longest one's length), which
-makes the largest inner product the nearest node. Layers are prefixes of one node order; every layer
+Vectors are dealt to shards by their length, in bands of a factor of two, and by a hash of their id.
+Within a shard equal vectors are one node, and nodes lie on the unit sphere (they are scaled by the
+longest one's length, and one coordinate is added so that all have it), which makes the largest inner
+product the nearest node. As a shard's lengths are alike, no long vector swallows the differences
+between the others. Layers are prefixes of one node order; every layer
 is a flat array of neighbour numbers (-1: none). Nodes are inserted in batches that double the
 layer, searched together, and linked by the diversity rule. Searches run many queries in step.
 
@@ -36,10 +38,12 @@ BATCH = 512
 
 
 def on_sphere(vectors: np.ndarray) -> np.ndarray:
-    """Vectors with one more coordinate that gives all the length of the longest."""
-    squares = (vectors.astype(np.float64) ** 2).sum(axis=1)
-    rest = np.sqrt(np.maximum(squares.max() - squares, 0.0))
-    return np.hstack([vectors, rest[:, None]]).astype(np.float32)
+    """Vectors over the longest one's length, with one more coordinate that gives all the length 1."""
+    wide = vectors.astype(np.float64)
+    squares = (wide**2).sum(axis=1)
+    most = squares.max()
+    rest = np.sqrt(np.maximum(1.0 - squares / most, 0.0))
+    return np.hstack([wide / np.sqrt(most), rest[:, None]]).astype(np.float32)
 
 
 def beam_search(x: np.ndarray, links: np.ndarray, queries: np.ndarray, entry: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -206,9 +210,16 @@ def valid_vectors(df: DataFrame, id_col: str = "vec_id", vector: str = "embeddin
 
 
 def build_index(vectors: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
-    """One row per shard (of about ``shard_rows`` vectors) and vector length."""
-    total = vectors.count()
-    shards = max(1, -(-total // shard_rows))
+    """One row per shard: about ``shard_rows`` vectors of one width and band of lengths."""
+    squares = F.aggregate("v", F.lit(0.0), lambda sum_, x: sum_ + x.cast("double") * x.cast("double"))
+    vectors = vectors.withColumn("band", F.floor(F.log2(squares) / 2).cast("int"))
+    # One row per vector width and power of two: a few hundred for each width.
+    counts = sorted(tuple(r) for r in vectors.groupBy("dim", "band").agg(F.count(F.lit(1)).alias("n")).collect())
+    bands, shards = [], 0
+    for dim, band, n in counts:
+        bands.append((dim, band, shards, -(-n // shard_rows)))
+        shards += bands[-1][3]
+    held = vectors.sparkSession.createDataFrame(bands, "dim int, band int, first int, parts int")
 
     def build(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("vec_id", kind="stable")
@@ -231,7 +242,8 @@ def build_index(vectors: DataFrame, shard_rows: int = SHARD_ROWS) -> DataFrame:
             }
         )
 
-    dealt = vectors.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int"))
+    own = (F.col("first") + F.pmod(F.xxhash64("vec_id"), F.col("parts"))).cast("int").alias("shard")
+    dealt = vectors.join(F.broadcast(held), ["dim", "band"]).select("vec_id", "v", "dim", own)
     return dealt.groupBy("shard", "dim").applyInPandas(build, INDEX)
 
 
@@ -247,7 +259,9 @@ class Shard:
 
     def nearest(self, queries: np.ndarray, k: int, width: int) -> tuple[np.ndarray, np.ndarray]:
         """(nodes, exact scores), best first; -1 where there are fewer."""
-        flat = np.hstack([queries, np.zeros((len(queries), 1), np.float32)]).astype(np.float32)
+        wide = queries.astype(np.float64)
+        unit = wide / np.maximum(np.sqrt((wide**2).sum(axis=1, keepdims=True)), 1e-300)
+        flat = np.hstack([unit, np.zeros((len(unit), 1))]).astype(np.float32)
         entry = descend(self.x, self.layers, flat, 0) if len(self.layers) > 1 else np.zeros((len(flat), 1), int)
         nodes, _ = beam_search(self.x, self.layers[0], flat, entry, max(width, k))
         scores = (self.vectors[nodes].astype(np.float64) * queries[:, None, :].astype(np.float64)).sum(axis=2)
