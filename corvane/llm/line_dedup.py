@@ -12,7 +12,7 @@ A line's key is the line without white space (0x20, 0x09-0x0D) at both ends and
    stay where they are; only the others meet their list of keys.
 
 Null and empty texts are one empty line. Equal rows are separate documents, as are rows that share an
-id. All columns of the input are kept; ``text``, ``n_lines`` and ``n_dropped`` are the operator's.
+id. All columns of the input are kept, whatever their names; ``text``, ``n_lines`` and ``n_dropped`` are the operator's.
 """
 
 from __future__ import annotations
@@ -36,6 +36,7 @@ from corvane.llm.common import (
     key_filter,
     merged_filter,
     mix,
+    unused,
     utf8,
 )
 from corvane.session import materialise
@@ -169,7 +170,8 @@ def dedup_lines(
     log2_bits = filter_bits(ids.count(), 26)
     held = docs.sparkSession.sparkContext.broadcast(key_filter(ids, log2_bits))
     extra = [T.StructField("n_lines", T.LongType()), T.StructField("n_dropped", T.LongType())]
-    marked = T.StructType([*own, T.StructField("_mark", T.BinaryType())])
+    mark_name, lost_name, first_name = (unused([f.name for f in own], c) for c in ("_mark", "_lost", "_first"))
+    marked = T.StructType([*own, T.StructField(mark_name, T.BinaryType())])
     result = T.StructType([*own, *extra])
     at = [f.name for f in own].index("text")
 
@@ -194,14 +196,14 @@ def dedup_lines(
         for batch in batches:
             batch = batch.filter(pa.array(touched(batch)))
             marks = [_row_mark(d, t) for d, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist())]
-            names = [f.name for f in own] + ["_mark"]
+            names = [f.name for f in own] + [mark_name]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(marks, pa.binary())], names)
 
     def drop(batches):
         for batch in batches:
             texts, lines, dropped = [], [], []
-            columns = (batch.column(c).to_pylist() for c in ("text", "_lost", "_first", "_mark"))
-            for text, gone, first, _ in zip(*columns):
+            columns = (batch.column(c).to_pylist() for c in ("text", lost_name, first_name))
+            for text, gone, first in zip(*columns):
                 gone, spare = set(gone or ()), set(first or ()) if keep_first or sized else set()
                 kept, all_ = [], (text or "").split("\n")
                 for line, key in zip(all_, line_keys(text)):
@@ -217,6 +219,6 @@ def dedup_lines(
 
     clean = arrow_map(docs, untouched, result)
     rest = arrow_map(docs, mark, marked)
-    lost = lost.select(F.col("mark").alias("_mark"), "_lost", "_first")
-    rest = arrow_map(rest.join(lost, "_mark", "left").select(*(f.name for f in own), "_lost", "_first", "_mark"), drop, result)
+    lost = lost.select(F.col("mark").alias(mark_name), F.col("_lost").alias(lost_name), F.col("_first").alias(first_name))
+    rest = arrow_map(rest.join(lost, mark_name, "left").select(*(f.name for f in own), lost_name, first_name), drop, result)
     return clean.unionByName(rest)

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.llm.common import arrow_map
+from corvane.llm.common import arrow_map, unused
 from corvane.session import materialise
 
 #: Most labelled documents that are learned from, and most entries of the lexicon.
@@ -130,9 +130,9 @@ class ToxicityModel:
     constant: float = 0.0
 
 
-def with_features(docs: DataFrame, lexicon: dict[str, float]) -> DataFrame:
-    """``docs`` plus ``_features`` (array of double)."""
-    own = [f for f in docs.schema.fields if f.name not in ("_features", "score")]
+def with_features(docs: DataFrame, lexicon: dict[str, float], name: str = "_features") -> DataFrame:
+    """``docs`` plus ``name`` (array of double)."""
+    own = [f for f in docs.schema.fields if f.name != "score"]
     names = [f.name for f in own]
     held = docs.sparkSession.sparkContext.broadcast(lexicon)
 
@@ -140,9 +140,9 @@ def with_features(docs: DataFrame, lexicon: dict[str, float]) -> DataFrame:
         remembered: dict[str, tuple[str, float]] = {}
         for batch in batches:
             values = [features(t, held.value, remembered) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.list_(pa.float64()))], [*names, "_features"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.list_(pa.float64()))], [*names, name])
 
-    return arrow_map(docs.select(*names), run, T.StructType([*own, T.StructField("_features", T.ArrayType(T.DoubleType()))]))
+    return arrow_map(docs.select(*names), run, T.StructType([*own, T.StructField(name, T.ArrayType(T.DoubleType()))]))
 
 
 def learn_lexicon(rows: DataFrame) -> dict[str, float]:
@@ -211,12 +211,13 @@ def score_documents(docs: DataFrame, model: ToxicityModel) -> DataFrame:
     names = [c for c in docs.columns if c != "score"]
     if model.trees is None:
         return docs.select(*names, F.lit(model.constant).alias("score"))
-    rows = with_features(docs, model.lexicon).withColumn("_vector", array_to_vector("_features"))
-    trees = model.trees.copy().setFeaturesCol("_vector").setPredictionCol("_label").setProbabilityCol("_p").setRawPredictionCol("_r")
-    rows = trees.transform(rows).withColumn("_raw", vector_to_array("_p")[1])
-    score = F.col("_raw")
+    listed, vector, label, p, r, raw, curved = (unused(names, c) for c in ("_features", "_vector", "_label", "_p", "_r", "_raw", "_curved"))
+    rows = with_features(docs, model.lexicon, listed).withColumn(vector, array_to_vector(listed))
+    trees = model.trees.copy().setFeaturesCol(vector).setPredictionCol(label).setProbabilityCol(p).setRawPredictionCol(r)
+    rows = trees.transform(rows).withColumn(raw, vector_to_array(p)[1])
+    score = F.col(raw)
     if model.calibration is not None:
-        rows = model.calibration.copy().setFeaturesCol("_raw").setPredictionCol("_score").transform(rows)
+        rows = model.calibration.copy().setFeaturesCol(raw).setPredictionCol(curved).transform(rows)
         # The curve has steps; the trees order documents within one.
-        score = 0.999 * F.col("_score") + 0.001 * F.col("_raw")
+        score = 0.999 * F.col(curved) + 0.001 * F.col(raw)
     return rows.select(*names, F.least(F.lit(1.0), F.greatest(F.lit(0.0), score)).alias("score"))
