@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from corvane.session import materialise
 
@@ -19,17 +20,18 @@ SEGMENT_BYTES = 16 << 10
 MAX_FILTER_BITS = 28
 
 
-def small_batches(spark: SparkSession, rows: int = 256) -> None:
-    """Bound the rows of an Arrow batch: texts are wide, and a worker holds whole batches."""
-    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(key)) <= rows:
-        spark.conf.set(key, str(rows))
-
-
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def unused(taken: Iterable[str], name: str) -> str:
+    """``name``, lengthened until no column has it (Spark tells no case apart)."""
+    taken = {c.lower() for c in taken}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name
+
+
 def utf8(value: str | None) -> bytes:
     return (value or "").encode("utf-8", "surrogatepass")
 
@@ -196,6 +198,33 @@ def components(edges: DataFrame) -> DataFrame:
     return children.unionByName(roots)
 
 
+def unit_starts(columns: list[np.ndarray]) -> np.ndarray:
+    n = len(columns[0])
+    new = np.zeros(n, bool)
+    new[:1] = True
+    for c in columns:
+        new[1:] |= c[1:] != c[:-1]
+    return np.flatnonzero(new)
+
+
+def whole_units(batches, order: list[str], rows: int = 1 << 16) -> Iterator[pa.RecordBatch]:
+    """The rows of a sorted partition in batches of about ``rows`` that do not part a unit (equal ``order`` columns)."""
+    held: list[pa.RecordBatch] = []
+    count = 0
+    for batch in batches:
+        if batch.num_rows:
+            held.append(batch)
+            count += batch.num_rows
+        if count >= rows:
+            whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+            last = int(unit_starts([whole.column(c).to_numpy() for c in order])[-1])
+            if last:
+                yield whole.slice(0, last)
+            held, count = [whole.slice(last)], whole.num_rows - last
+    if count:
+        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+
+
 def dense_rank_rows(df: DataFrame, keys: list[str | Column], name: str) -> DataFrame:
     """``name``: the row's place from 0 in the order of ``keys``, without a single-task sort.
 
@@ -204,23 +233,20 @@ def dense_rank_rows(df: DataFrame, keys: list[str | Column], name: str) -> DataF
     partitions before theirs: one row per partition. Equal rows get different places.
     """
     low = F.monotonically_increasing_id()
+    part, at, before = (unused([*df.columns, name], c) for c in ("_rank_part", "_rank_at", "_rank_before"))
     placed = materialise(
         df.repartitionByRange(*keys)
         .sortWithinPartitions(*keys)
-        .select("*", F.shiftright(low, 33).cast("int").alias("_rank_part"), low.bitwiseAND((1 << 33) - 1).alias("_rank_at")),
+        .select("*", F.shiftright(low, 33).cast("int").alias(part), low.bitwiseAND((1 << 33) - 1).alias(at)),
         "ranked",
     )
-    sizes = sorted((r["_rank_part"], r["n"]) for r in placed.groupBy("_rank_part").agg(F.count(F.lit(1)).alias("n")).collect())
-    rows, before = [], 0
-    for part, n in sizes:
-        rows.append((part, before))
-        before += n
-    shift = df.sparkSession.createDataFrame(rows, "_rank_part int, _rank_before bigint")
-    return (
-        placed.join(F.broadcast(shift), "_rank_part")
-        .withColumn(name, F.col("_rank_before") + F.col("_rank_at"))
-        .drop("_rank_part", "_rank_at", "_rank_before")
-    )
+    sizes = sorted((r[part], r["n"]) for r in placed.groupBy(part).agg(F.count(F.lit(1)).alias("n")).collect())
+    rows, seen = [], 0
+    for number, n in sizes:
+        rows.append((number, seen))
+        seen += n
+    shift = df.sparkSession.createDataFrame(rows, f"{part} int, {before} bigint")
+    return placed.join(F.broadcast(shift), part).withColumn(name, F.col(before) + F.col(at)).drop(part, at, before)
 
 
 def range_bucket(df: DataFrame, key: str, rows_per_bucket: int, most: int = 1 << 17) -> tuple[Column, int]:
@@ -245,7 +271,17 @@ def range_bucket(df: DataFrame, key: str, rows_per_bucket: int, most: int = 1 <<
     return F.aggregate(F.array(*map(F.lit, steps)), F.lit(0), bisect), len(bounds) + 1
 
 
-def arrow_map(df: DataFrame, fn: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
-    """``mapInArrow`` with bounded batches."""
-    small_batches(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+def arrow_map(
+    df: DataFrame, fn: Callable[[Iterable[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType, rows: int = 256
+) -> DataFrame:
+    """``mapInArrow`` in batches of at most ``rows``: texts are wide, and a worker turns whole batches into objects.
+
+    The session's own batch size stays as it is; Spark bounds it by bytes, too.
+    """
+
+    def sliced(batches):
+        for batch in batches:
+            for at in range(0, batch.num_rows, rows):
+                yield batch.slice(at, rows)
+
+    return df.mapInArrow(lambda batches: fn(sliced(batches)), schema)

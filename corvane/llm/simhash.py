@@ -32,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corvane.llm.common import U64, arrow_map, components, text_buffers
+from corvane.llm.common import U64, arrow_map, components, text_buffers, unit_starts, whole_units
 from corvane.session import materialise
 
 RADIUS = 3
@@ -40,9 +40,8 @@ WORDS_PER_SHINGLE = 3
 SEED = 42
 #: Bytes of a text hashed at a time.
 CHUNK = 1 << 20
-#: Nodes of a tile, rows compared at a time, and planes added between two looks at what can be abandoned.
+#: Nodes of a tile, and planes added between two looks at what can be abandoned.
 TILE = 8192
-ROWS = 1 << 16
 PLANES = 8
 _SPACES = b" \t\n\x0b\x0c\r"
 
@@ -261,34 +260,7 @@ def near_links(nodes: DataFrame, radius: int = RADIUS) -> DataFrame:
             u, v = joining_links(values, ends, columns[2] != columns[3], columns[4] == columns[3], radius)
             yield pa.RecordBatch.from_arrays([pa.array(columns[5][u]), pa.array(columns[5][v])], ["u", "v"])
 
-    return arrow_map(units, compare, "u bigint, v bigint").distinct()
-
-
-def unit_starts(columns: list[np.ndarray]) -> np.ndarray:
-    n = len(columns[0])
-    new = np.zeros(n, bool)
-    new[:1] = True
-    for c in columns:
-        new[1:] |= c[1:] != c[:-1]
-    return np.flatnonzero(new)
-
-
-def whole_units(batches, order: list[str]) -> Iterator[pa.RecordBatch]:
-    """The rows of a sorted partition in batches of about ``ROWS`` that do not part a unit."""
-    held: list[pa.RecordBatch] = []
-    count = 0
-    for batch in batches:
-        if batch.num_rows:
-            held.append(batch)
-            count += batch.num_rows
-        if count >= ROWS:
-            whole = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
-            last = int(unit_starts([whole.column(c).to_numpy() for c in order])[-1])
-            if last:
-                yield whole.slice(0, last)
-            held, count = [whole.slice(last)], whole.num_rows - last
-    if count:
-        yield pa.Table.from_batches(held).combine_chunks().to_batches()[0]
+    return arrow_map(units, compare, "u bigint, v bigint", 1 << 16).distinct()
 
 
 def near_components(docs: DataFrame, radius: int = RADIUS, words: int = WORDS_PER_SHINGLE) -> DataFrame:
