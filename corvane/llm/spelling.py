@@ -10,8 +10,9 @@ two as vectors of letter counts.
    cell, and visits as a query the cells of its length pair (its own length, the next longer one) whose
    box its distance bound reaches. The planes only steer the sizes of cells, not results.
 3. A task takes a cell's words, builds the k-d tree below that cell over their exact counts, and runs
-   the visitors in batches: subtrees whose bounding box is too far are pruned, and the words of the
-   leaves reached are compared in letter order. Visitors are streamed, never held as a whole.
+   the visitors in batches: subtrees whose box is too far are pruned; in the leaves reached, bit masks of
+   the letters, then the counts, then the order of the letters decide. Visitors are streamed, never held
+   as a whole.
 4. A word's form is its near word of the largest count, if that is at least twice its own; counts double
    along a chain, so roots are found by doubling pointers in few joins.
 
@@ -43,9 +44,10 @@ HELD_WORDS = 200_000
 SAMPLE = 1 << 16
 CELL = 4096
 MOST_CELLS = 4096
-LEAF = 48
-#: Numbers in a block of comparisons.
+LEAF = 128
+#: Numbers in a block of comparisons, and rows that a task reads or routes together.
 BLOCK = 1 << 22
+ROWS = 1 << 14
 #: Letters a to z and U+00C0 to U+00FF.
 LETTERS = 26 + 64
 _RUN = re.compile("[a-zÀ-ÿ]+")
@@ -148,46 +150,41 @@ class KdTree:
                 best = (int(uneven[d]), d, int(cut[d]))
         return best[1:] if best else None
 
-    def plane_boxes(self) -> tuple[np.ndarray, np.ndarray]:
-        """Every node's box as its planes give it: together the leaves fill the space."""
-        low = np.zeros((len(self.dim), LETTERS), np.int32)
-        high = np.full((len(self.dim), LETTERS), np.iinfo(np.int32).max, np.int32)
+    def bounds(self, dims: int) -> None:
+        """The box of every inner node along its own split letter, as the planes above it give it."""
+        low = {0: np.zeros(dims, np.int64)}
+        high = {0: np.full(dims, 1 << 40)}
+        self.low, self.high = np.zeros(len(self.dim), np.int64), np.zeros(len(self.dim), np.int64)
         for node, (d, cut, (left, right)) in enumerate(zip(self.dim, self.cut, self.child)):
+            own_low, own_high = low.pop(node), high.pop(node)
             if d >= 0:
-                low[left], high[left], low[right], high[right] = low[node], high[node], low[node], high[node]
-                high[left, d], low[right, d] = min(high[node, d], cut), max(low[node, d], cut + 1)
-        return low, high
-
-    def point_boxes(self, points: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Every node's bounding box of the points below it."""
-        low = np.zeros((len(self.dim), points.shape[1]), np.int32)
-        high = np.zeros_like(low)
-        for node in reversed(range(len(self.dim))):
-            if self.dim[node] >= 0:
-                left, right = self.child[node]
-                low[node], high[node] = np.minimum(low[left], low[right]), np.maximum(high[left], high[right])
-            else:
-                k = self.leaf[node]
-                own = points[self.order[self.ends[k] : self.ends[k + 1]]]
-                low[node], high[node] = own.min(axis=0), own.max(axis=0)
-        return low, high
-
-    def reached(self, boxes: tuple[np.ndarray, np.ndarray], queries: np.ndarray, down: int) -> Iterator[tuple[int, np.ndarray]]:
-        """(leaf, queries) of all leaves whose box holds a point that has at most one letter more and ``down`` fewer."""
-        low, high = boxes
-        stack = [(0, np.arange(len(queries)))]
+                self.low[node], self.high[node] = own_low[d], own_high[d]
+                low[left], high[left], low[right], high[right] = own_low, own_high.copy(), own_low.copy(), own_high
+                high[left][d], low[right][d] = min(own_high[d], cut), max(own_low[d], cut + 1)
+
+    def reached(self, queries: np.ndarray, down: int) -> Iterator[tuple[int, np.ndarray]]:
+        """(leaf, queries) of all leaves whose box holds a point that has at most one letter more and ``down`` fewer.
+
+        A plane moves the box along one letter, so only that letter's part of the distances changes.
+        """
+        if not hasattr(self, "low"):
+            self.bounds(queries.shape[1])
+        none = np.zeros(len(queries), np.int32)
+        stack = [(0, np.arange(len(queries)), none, none)]
         while stack:
-            node, own = stack.pop()
-            q = queries[own]
-            near = np.maximum(low[node] - q, 0).sum(axis=1) <= 1
-            near &= np.maximum(q - high[node], 0).sum(axis=1) <= down
-            own = own[near]
-            if not len(own):
-                continue
-            if self.dim[node] < 0:
+            node, own, more, fewer = stack.pop()
+            d, cut = self.dim[node], self.cut[node]
+            if d < 0:
                 yield self.leaf[node], own
-            else:
-                stack += [(child, own) for child in self.child[node]]
+                continue
+            q = queries[own, d]
+            over = fewer + np.maximum(q - cut, 0) - np.maximum(q - self.high[node], 0)
+            under = more + np.maximum(cut + 1 - q, 0) - np.maximum(self.low[node] - q, 0)
+            left, right = over <= down, under <= 1
+            if left.any():
+                stack.append((self.child[node][0], own[left], more[left], over[left]))
+            if right.any():
+                stack.append((self.child[node][1], own[right], under[right], fewer[right]))
 
 
 class Router:
@@ -208,9 +205,7 @@ class Router:
         if tree is None:
             yield 0, np.arange(len(counts))
             return
-        if not hasattr(tree, "boxes"):
-            tree.boxes = tree.plane_boxes()
-        yield from tree.reached(tree.boxes, counts, down)
+        yield from tree.reached(counts, down)
 
     def home(self, length: int, counts: np.ndarray) -> np.ndarray:
         """The cell of every word."""
@@ -259,7 +254,8 @@ def visits(words: DataFrame) -> DataFrame:
                             arrays += [pa.array(words[who], pa.string()), pa.array(n[who])]
                             yield pa.RecordBatch.from_arrays(arrays, [f.split()[0] for f in VISITS.split(", ")])
 
-    return arrow_map(words, send, VISITS)
+    # Routing is work of its own: a bounded number of words a task, however few bytes they are.
+    return arrow_map(words.repartition(max(1, -(-total // ROWS)), "word"), send, VISITS, ROWS)
 
 
 def one_edit(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -271,40 +267,61 @@ def one_edit(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return head + tail >= a.shape[1]
 
 
+def letter_masks(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Bits of the letters that occur, and of those that occur twice; some rare letters share a bit.
+
+    A letter more sets at most one further bit of each, a letter fewer clears at most one.
+    """
+    bits = np.uint64(1) << np.where(np.arange(LETTERS) < 26, np.arange(LETTERS), 26 + np.arange(LETTERS) % 38).astype(np.uint64)
+    return tuple(np.bitwise_or.reduce(np.where(counts >= k, bits, np.uint64(0)), axis=1) for k in (1, 2))
+
+
+def near_masks(q: np.ndarray, t: np.ndarray, down: int) -> np.ndarray:
+    return (np.bitwise_count(t & ~q) <= 1) & (np.bitwise_count(q & ~t) <= down)
+
+
 class Cell:
     """The words of a cell, all of one length, under a k-d tree of their letter counts."""
 
     def __init__(self, words: list[str], n: list[int]):
         self.words, self.n = np.array(words, object), np.array(n, np.int64)
         self.codes = codes_of(words)
-        counts = letter_counts(self.codes)
-        # Letters that no word of the cell has are one further dimension.
-        self.used = np.flatnonzero(counts.any(axis=0))
-        self.counts = np.pad(counts[:, self.used], ((0, 0), (0, 1)))
+        self.counts = letter_counts(self.codes)
         self.tree = KdTree(self.counts, LEAF)
-        self.boxes = self.tree.point_boxes(self.counts)
+        # In the order of the leaves.
+        order = self.tree.order
+        self.words, self.n, self.codes, self.counts = self.words[order], self.n[order], self.codes[order], self.counts[order]
+        self.masks = letter_masks(self.counts)
 
     def near(self, words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(row of ``words``, row of the cell) of all near pairs; ``words`` have the cell's length or one less."""
         codes = codes_of(words)
         down = int(codes.shape[1] == self.codes.shape[1])
-        counts = letter_counts(codes)
-        queries = np.column_stack([counts[:, self.used], codes.shape[1] - counts[:, self.used].sum(axis=1)]).astype(np.int32)
-        for k, who in self.tree.reached(self.boxes, queries, down):
-            there = self.tree.order[self.tree.ends[k] : self.tree.ends[k + 1]]
-            step = max(1, BLOCK // (len(there) * queries.shape[1]))
+        queries = letter_counts(codes)
+        once, twice = letter_masks(queries)
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        for k, who in self.tree.reached(queries, down):
+            low, high = self.tree.ends[k], self.tree.ends[k + 1]
+            step = max(1, BLOCK // (high - low))
             for at in range(0, len(who), step):
                 some = who[at : at + step]
-                off = self.counts[there][None] - queries[some][:, None]
-                close = (np.maximum(off, 0).sum(axis=2) <= 1) & (np.maximum(-off, 0).sum(axis=2) <= down)
-                i, j = np.nonzero(close)
-                i, j = some[i], there[j]
-                width = max(1, BLOCK // codes.shape[1])
-                for low in range(0, len(i), width):
-                    a, b = i[low : low + width], j[low : low + width]
-                    same = one_edit(codes[a], self.codes[b])
-                    if same.any():
-                        yield a[same], b[same]
+                i, j = np.nonzero(near_masks(once[some, None], self.masks[0][None, low:high], down))
+                if len(i):
+                    found.append((some[i], low + j))
+        if not found:
+            return
+        i, j = (np.concatenate(x) for x in zip(*found))
+        keep = near_masks(twice[i], self.masks[1][j], down)
+        i, j = i[keep], j[keep]
+        width = max(1, BLOCK // max(LETTERS, codes.shape[1]))
+        for low in range(0, len(i), width):
+            a, b = i[low : low + width], j[low : low + width]
+            off = self.counts[b] - queries[a]
+            close = (np.maximum(off, 0).sum(axis=1) <= 1) & (np.maximum(-off, 0).sum(axis=1) <= down)
+            a, b = a[close], b[close]
+            same = one_edit(codes[a], self.codes[b])
+            if same.any():
+                yield a[same], b[same]
 
 
 def near_words(words: DataFrame) -> DataFrame:
@@ -357,7 +374,7 @@ def near_words(words: DataFrame) -> DataFrame:
                         yield from pairs(found[at : at + step], n[at : at + step], bool(kinds[low] == 2))
         yield from built()
 
-    return arrow_map(rows, search, "word string, n bigint, near string, near_n bigint")
+    return arrow_map(rows, search, "word string, n bigint, near string, near_n bigint", ROWS)
 
 
 def forms(words: DataFrame, factor: int = FACTOR) -> DataFrame:
