@@ -32,44 +32,48 @@ GRID_VALUES = 8_000_000
 
 
 def best_rows(score_batch: Callable, n: int) -> Callable:
-    """Worker function: batches and a query block in, one batch with the best rows out."""
+    """Worker function: batches and a query block in, one batch with the best rows out.
+
+    A block may name each query's ``floor``, a score that ``n`` rows elsewhere reach: lower rows do not leave
+    the task; and the place ``after`` which a page continues (``after_score``, ``after_id``).
+    """
 
     def run(batches, block):
         import numpy as np
         import pyarrow as pa
 
-        query_ids = block["query_ids"]
-        best_scores = [np.empty(0) for _ in query_ids]
-        best_ids = [np.empty(0, dtype="int64") for _ in query_ids]
-        step = block["step"]
+        queries = np.asarray(block["query_ids"], dtype="int64")
+        floor = np.array(block["floor"], dtype="float64") if "floor" in block else np.full(len(queries), -np.inf)
+        held = [(np.zeros(0, "int64"), np.zeros(0, "int64"), np.zeros(0))]
+        room = max(1 << 18, 4 * n * len(queries))
+
+        def best():
+            q, i, s = (np.concatenate(x) for x in zip(*held))
+            order = np.lexsort((i, -s, q))
+            q, i, s = q[order], i[order], s[order]
+            place = np.arange(len(q)) - np.searchsorted(q, q)
+            last = place == n - 1
+            floor[q[last]] = np.maximum(floor[q[last]], s[last])
+            keep = place < n
+            return q[keep], i[keep], s[keep]
+
         for batch in batches:
-            for low in range(0, batch.num_rows, step):
-                part = batch.slice(low, step)
+            for low in range(0, batch.num_rows, block["step"]):
+                part = batch.slice(low, block["step"])
                 ids = part.column(0).to_numpy(zero_copy_only=False)
                 scores = score_batch(part, block)
-                for q in range(len(query_ids)):
-                    found = scores[:, q]
-                    floor = best_scores[q][-1] if len(best_scores[q]) == n else -np.inf
-                    # Rows equal to the floor stay: a smaller id wins a tie.
-                    keep = np.flatnonzero((found >= floor) & (found > -np.inf))
-                    if len(keep) > n:
-                        cut = np.partition(found[keep], len(keep) - n)[len(keep) - n]
-                        keep = keep[found[keep] >= cut]
-                    if len(keep) == 0:
-                        continue
-                    s = np.concatenate([best_scores[q], found[keep]])
-                    i = np.concatenate([best_ids[q], ids[keep]])
-                    order = np.lexsort((i, -s))[:n]
-                    best_scores[q], best_ids[q] = s[order], i[order]
-        counts = [len(s) for s in best_scores]
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array(np.repeat(np.asarray(query_ids, dtype="int64"), counts)),
-                pa.array(np.concatenate([np.empty(0, dtype="int64"), *best_ids])),
-                pa.array(np.concatenate([np.empty(0), *best_scores])),
-            ],
-            names=["query_id", "id", "score"],
-        )
+                if "after_score" in block:
+                    later = (scores < block["after_score"]) | ((scores == block["after_score"]) & (ids[:, None] > block["after_id"]))
+                    scores = np.where(later, scores, -np.inf)
+                if len(ids) > n:
+                    # The n-th best of these rows alone is a floor, too. Rows equal to it stay: ids decide.
+                    floor = np.maximum(floor, np.partition(scores, len(ids) - n, axis=0)[len(ids) - n])
+                r, q = np.nonzero((scores >= floor) & (scores > -np.inf))
+                held.append((q, ids[r], scores[r, q]))
+                if sum(len(x[0]) for x in held) > room:
+                    held[:] = [best()]
+        q, i, s = best()
+        yield pa.RecordBatch.from_arrays([pa.array(queries[q]), pa.array(i.astype("int64")), pa.array(s)], names=["query_id", "id", "score"])
 
     return run
 

@@ -105,6 +105,11 @@ def _builder() -> Callable:
     return build
 
 
+def query_block(table) -> dict:
+    """The query block of weighted terms (Arrow), made on the driver."""
+    return _builder()(table)
+
+
 def _scorer(avg_len: float, k1: float, b: float, digits: int) -> Callable:
     """Worker function: BM25 of a batch (id, doc_len, terms[, tfs]) with every query of a block."""
 
@@ -140,7 +145,7 @@ def _scorer(avg_len: float, k1: float, b: float, digits: int) -> Callable:
     return score
 
 
-def weigh_queries(query_terms: DataFrame, stats: DataFrame, n_docs: int, avg_len: float, idf: bool = True) -> DataFrame:
+def weigh_queries(asked: DataFrame, stats: DataFrame, n_docs: int, avg_len: float, idf: bool = True) -> DataFrame:
     """(query_id, term, weight): IDF of each distinct term, or its saturated count without IDF.
 
     Terms that no document holds drop out. With IDF off, the query side is weighted the way a
@@ -151,7 +156,14 @@ def weigh_queries(query_terms: DataFrame, stats: DataFrame, n_docs: int, avg_len
         weight = F.log(1 + (n_docs - F.col("df") + 0.5) / (F.col("df") + 0.5))
     else:
         weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / avg_len))
-    return query_terms.join(stats, "term").select("query_id", "term", weight.alias("weight"))
+    return asked.join(stats, "term").select("query_id", "term", weight.alias("weight"))
+
+
+def query_terms(queries: DataFrame) -> DataFrame:
+    """(query_id, query_len, term, tf) of ``queries`` (query_id, text)."""
+    tokens = queries.select("query_id", tokenize(F.col("text")).alias("t"))
+    split = tokens.select("query_id", F.size("t").alias("query_len"), F.explode("t").alias("term"))
+    return split.groupBy("query_id", "query_len", "term").agg(F.count("*").alias("tf"))
 
 
 def bm25_topk(
@@ -178,23 +190,18 @@ def bm25_topk(
     rows = rows.select(*[c for c in ("id", "doc_len", "terms", "tfs") if c in rows.columns])
     queries = queries.select("query_id", "text")
     local = queries if measured else bounded_local(queries, max_queries, blockscore.MAX_QUERY_BYTES)
-    tokens = (queries if local is None else local).select("query_id", tokenize(F.col("text")).alias("t"))
-    query_terms = (
-        tokens.select("query_id", F.size("t").alias("query_len"), F.explode("t").alias("term"))
-        .groupBy("query_id", "query_len", "term")
-        .agg(F.count("*").alias("tf"))
-    )
+    asked = query_terms(queries if local is None else local)
     if local is not None:
         # The batch is small: fetch only its own words' statistics, and weigh it locally.
-        query_terms = spark.createDataFrame(query_terms.toArrow(), query_terms.schema)
-        words = query_terms.select("term").union(spark.createDataFrame([(TOTALS,)], "term string"))
+        asked = spark.createDataFrame(asked.toArrow(), asked.schema)
+        words = asked.select("term").union(spark.createDataFrame([(TOTALS,)], "term string"))
         stats = stats.join(F.broadcast(words.distinct()), "term", "left_semi")
         stats = spark.createDataFrame(stats.toArrow(), stats.schema)
     totals = stats.where(F.col("term") == TOTALS).first()
     if totals is None or not totals["total_len"]:
         return blockscore.top_n_per_key(spark.createDataFrame([], blockscore.HITS), n)
     avg_len = totals["total_len"] / totals["df"]
-    weighted = weigh_queries(query_terms, stats, totals["df"], avg_len, idf)
+    weighted = weigh_queries(asked, stats, totals["df"], avg_len, idf)
     build, score = _builder(), _scorer(avg_len, K1, B, SCORE_DIGITS)
     if local is None:
         # Rows are copied once per query block: send counted terms, not every token.

@@ -13,7 +13,7 @@ from corvane.operators import curate, dedupe, dense, fusion, lexical, stats
 from corvane.plans import index as index_plans
 from corvane.plans import ingest as ingest_plans
 from corvane.plans import search as search_plans
-from corvane.plans import views
+from corvane.plans import store, views
 from corvane.session import scratch_dir, spread
 from corvane.sources import curated as curated_io
 from corvane.sources import repositories
@@ -503,14 +503,63 @@ def search_text_embedded(spark: SparkSession, sf: str) -> DataFrame:
     return search_plans.search(queries, found, mode="semantic").hits.select(*HIT)
 
 
+def _stored(spark: SparkSession, sf: str, cells: int = 0) -> search_plans.Index:
+    path = scratch_dir(spark, "index")
+    store.write_index(views.doc_index(spark, sf), path, cells)
+    return store.read_index(spark, path)
+
+
 @register
 def stored_index_search(spark: SparkSession, sf: str) -> DataFrame:
-    """The same hybrid search against index tables that were written and read back."""
+    """The same hybrid search against an index that was written and read back: postings, floors, versions."""
+    return search_plans.search(views.query_batch(spark, sf), _stored(spark, sf)).hits.select(*HIT)
+
+
+@register
+def stored_search_filtered(spark: SparkSession, sf: str) -> DataFrame:
+    """Filters inside the stored postings and vectors."""
+    options = {"language": "en", "min_stars": 1000}
+    return search_plans.search(views.query_batch(spark, sf), _stored(spark, sf), **options).hits.select(*HIT)
+
+
+@register
+def search_ann(spark: SparkSession, sf: str) -> DataFrame:
+    """Hybrid search through stored vector cells, with every cell probed: equal to the exact search."""
+    return search_plans.search(views.query_batch(spark, sf), _stored(spark, sf, cells=16), probes=16).hits.select(*HIT)
+
+
+@register
+def index_refresh(spark: SparkSession, sf: str) -> DataFrame:
+    """An index of an earlier state, brought to the tables' state by changes: equal to one built from scratch.
+
+    The earlier state lacks every fifth document, has other texts and languages for every third, and holds
+    documents that are gone now.
+    """
+    now = views.curated_docs(spark, sf)
+    other = F.col("id") % 3 == 0
+    before = now.where("id % 5 != 4").withColumns(
+        {
+            "synthesized_text": F.when(other, F.concat(F.lit("outdated words "), "synthesized_text")).otherwise(F.col("synthesized_text")),
+            "primary_language": F.when(other, F.lit("xx")).otherwise(F.col("primary_language")),
+        }
+    )
+    before = before.unionByName(now.where("id % 7 = 1").withColumn("id", F.col("id") + 10_000_000))
+    stored = views.table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
+
+    def build(curated: DataFrame) -> search_plans.Index:
+        return index_plans.build_index(curated, embed=lambda texts: texts.join(stored, "id"))
+
     path = scratch_dir(spark, "index")
-    built = views.doc_index(spark, sf)
-    counted = search_plans.Index(built.repositories, built.vectors, lexical.count_terms(built.doc_terms))
-    index_plans.write_index(counted, path)
-    return search_plans.search(views.query_batch(spark, sf), index_plans.read_index(spark, path)).hits.select(*HIT)
+    store.sync_index(spark, path, before, build)
+    store.sync_index(spark, path, now, build)
+    return search_plans.search(views.query_batch(spark, sf), store.read_index(spark, path)).hits.select(*HIT)
+
+
+@register
+def dense_topk_floors(spark: SparkSession, sf: str) -> DataFrame:
+    """The exact top-k by parts, each giving the next one its floors."""
+    stored = views.vectors(spark, sf)
+    return dense.threshold_topk(views.query_batch(spark, sf), stored, fusion.candidate_limit(0, 20), stored.count())
 
 
 @register

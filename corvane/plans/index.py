@@ -1,21 +1,19 @@
-"""Build, store, refresh and load the search index."""
+"""Build the tables of a search index from curated records; ``store`` writes and refreshes them."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions.vectors import embed_hashed
 from corvane.operators.curate import payload
-from corvane.operators.lexical import count_terms, doc_tokens, term_stats
+from corvane.operators.lexical import count_terms, doc_tokens
 from corvane.plans.search import Index
-from corvane.sources.curated import upsert_by_key
 
 # Columns the index tables carry beside their own, so that filters reach their scans.
 FILTERS = ["primary_language", "stars"]
-TABLES = ["repositories", "vectors", "doc_terms"]
 
 
 def build_index(curated: DataFrame, embed: Callable[[DataFrame], DataFrame] | None = None) -> Index:
@@ -26,7 +24,12 @@ def build_index(curated: DataFrame, embed: Callable[[DataFrame], DataFrame] | No
     texts = curated.select("id", *FILTERS, F.col("synthesized_text").alias("text"))
     vectors = (embed or embed_hashed)(texts).select("id", "embedding", *FILTERS)
     terms = count_terms(doc_tokens(texts)).select("id", "doc_len", "terms", "tfs", *FILTERS)
-    return Index(payload(curated), vectors, terms)
+    return Index(payload(curated), vectors, terms, digests=with_digest(curated).select("id", "digest"))
+
+
+def with_digest(curated: DataFrame) -> DataFrame:
+    """``curated`` plus ``digest``, a hash of all its columns, by which a refresh tells what has changed."""
+    return curated.withColumn("digest", F.xxhash64(*sorted(c for c in curated.columns if c != "digest")))
 
 
 def index_rows(index: Index) -> DataFrame:
@@ -36,26 +39,3 @@ def index_rows(index: Index) -> DataFrame:
         .join(index.vectors.select("id", F.size("embedding").alias("dim")), "id", "left")
         .join(index.doc_terms.select("id", "doc_len", F.size("terms").alias("n_terms")), "id", "left")
     )
-
-
-def write_index(index: Index, path: str) -> None:
-    """Write the index tables, and the term statistics sorted by term for row-group skipping."""
-    for name in TABLES:
-        table = getattr(index, name)
-        table.sortWithinPartitions("primary_language", "stars").write.mode("overwrite").parquet(f"{path}/{name}")
-    write_term_stats(index.repositories.sparkSession, path)
-
-
-def write_term_stats(spark: SparkSession, path: str) -> None:
-    """Recompute document frequencies and totals from the stored term rows."""
-    stats = term_stats(spark.read.parquet(f"{path}/doc_terms"))
-    stats.repartitionByRange("term").sortWithinPartitions("term").write.mode("overwrite").parquet(f"{path}/term_stats")
-
-
-def read_index(spark: SparkSession, path: str) -> Index:
-    return Index(**{name: spark.read.parquet(f"{path}/{name}") for name in [*TABLES, "term_stats"]})
-
-
-def upsert_index(existing: Index, new: Index) -> Index:
-    """Replace rows by id and keep the rest, vanished ids included; write it to a new path."""
-    return Index(*[upsert_by_key(getattr(existing, name), getattr(new, name), "id") for name in TABLES])

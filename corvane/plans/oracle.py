@@ -366,5 +366,8 @@ ORACLES |= {
         SELECT source, total, greatest(1, ceil(total / 15.0))::BIGINT AS total_pages, least(31, total) AS start_row,
           least(45, total) AS end_row FROM t""",
 }
-ORACLES["stored_index_search"] = ORACLES["search_hybrid"]
+for same in ("stored_index_search", "search_ann", "index_refresh"):
+    ORACLES[same] = ORACLES["search_hybrid"]
+ORACLES["stored_search_filtered"] = ORACLES["search_hybrid_filtered"]
+ORACLES["dense_topk_floors"] = ORACLES["dense_topk"]
 ORACLES["ann_topk_all_cells"] = ORACLES["dense_topk"]

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 
 from corvane.operators import fusion
 from corvane.operators.blockscore import MAX_QUERIES, MAX_QUERY_BYTES
-from corvane.operators.dense import dense_topk
+from corvane.operators.dense import ann_topk, dense_topk, threshold_topk
 from corvane.operators.lexical import bm25_topk
+from corvane.operators.postings import blocks_topk
 from corvane.operators.stats import filter_hits
 from corvane.session import bounded_local
 
@@ -26,13 +27,21 @@ class Index:
 
     ``repositories``: one record per id, without the long text. ``vectors(id, embedding)`` and
     ``doc_terms(id, doc_len, terms[, tfs])`` also carry ``primary_language`` and ``stars``, so a
-    filter is applied in their own scans. ``term_stats`` is optional and saves a corpus pass.
+    filter is applied in their own scans. ``term_stats`` is optional and saves a corpus pass. A stored index
+    (``store.read_index``) also has ``blocks``, postings of which a search reads its own terms, with the
+    documents that do not count any more (``dead``); the number of stored vectors (``rows``); ``centres`` if
+    its vectors lie in cells; and ``digests(id, digest)`` of the records.
     """
 
     repositories: DataFrame
     vectors: DataFrame
     doc_terms: DataFrame
     term_stats: DataFrame | None = None
+    blocks: DataFrame | None = None
+    dead: DataFrame | None = None
+    digests: DataFrame | None = None
+    centres: object | None = None
+    rows: int | None = None
 
 
 @dataclass(frozen=True)
@@ -43,7 +52,7 @@ class SearchResult:
     summary: DataFrame
 
 
-def _check(mode: str, sort_by: str, limit: int, offset: int) -> None:
+def _check(index: Index, mode: str, sort_by: str, limit: int, offset: int, probes: int | None) -> None:
     if mode not in MODES:
         raise ValueError(f"mode must be one of {MODES}, not {mode!r}")
     fusion.sort_key(sort_by)
@@ -51,6 +60,8 @@ def _check(mode: str, sort_by: str, limit: int, offset: int) -> None:
         raise ValueError(f"limit must be between 1 and {MAX_LIMIT}, not {limit}")
     if offset < 0:
         raise ValueError("offset must not be negative")
+    if probes is not None and (probes < 1 or index.centres is None):
+        raise ValueError("probes needs an index whose vectors are stored in cells, and must be positive")
 
 
 def retrieve(
@@ -62,11 +73,20 @@ def retrieve(
     min_stars: int = 0,
     idf: bool = True,
     measured: bool = False,
+    probes: int | None = None,
 ) -> DataFrame:
     """Candidates of every query: (query_id, id, score, rank), at most ``n`` each."""
     if mode != "lexical":
-        dense = dense_topk(queries, filter_hits(index.vectors, language, min_stars), n, measured=measured)
-    if mode != "semantic":
+        vectors = filter_hits(index.vectors, language, min_stars)
+        if probes:
+            dense = ann_topk(queries, vectors, index.centres, n, probes, measured=measured)
+        elif index.rows is not None:
+            dense = threshold_topk(queries, vectors, n, index.rows, measured=measured)
+        else:
+            dense = dense_topk(queries, vectors, n, measured=measured)
+    if mode != "semantic" and index.blocks is not None and measured:
+        lexical = blocks_topk(queries, index.blocks, index.term_stats, n, idf, language, min_stars, index.dead, measured=True)
+    elif mode != "semantic":
         lexical = bm25_topk(
             queries,
             index.doc_terms,
@@ -94,13 +114,14 @@ def score_candidates(
     limit: int = 20,
     offset: int = 0,
     idf: bool = True,
+    probes: int | None = None,
 ) -> DataFrame:
     """The whole candidate window of every query, blended and in final order (``position``)."""
-    _check(mode, sort_by, limit, offset)
+    _check(index, mode, sort_by, limit, offset, probes)
     n = fusion.candidate_limit(offset, limit)
     local = bounded_local(queries, MAX_QUERIES, MAX_QUERY_BYTES)
     queries = queries if local is None else local
-    found = retrieve(queries, index, mode, n, language, min_stars, idf, measured=local is not None)
+    found = retrieve(queries, index, mode, n, language, min_stars, idf, measured=local is not None, probes=probes)
     found = fusion.minmax_normalise(found)
     found = found.select("query_id", "id", "rank", "norm", "total")
     if local is not None and local.count() * n <= BROADCAST_HITS:
@@ -119,13 +140,17 @@ def search(
     limit: int = 20,
     offset: int = 0,
     idf: bool = True,
+    probes: int | None = None,
 ) -> SearchResult:
     """Answer every row of ``queries(query_id, text, embedding)``.
 
+    ``probes`` is the number of vector cells to look into, for an index that has them; without it every
+    vector is compared.
+
     Filters apply before ranking. ``total`` is the size of the candidate window, and sorting by
     anything but relevance orders that window, not the corpus.
     """
-    scored = score_candidates(queries, index, mode, language, min_stars, sort_by, limit, offset, idf)
+    scored = score_candidates(queries, index, mode, language, min_stars, sort_by, limit, offset, idf, probes)
     totals = scored.where("position = 1").select("query_id", "total")
     total = F.coalesce("total", F.lit(0).cast("bigint"))
     shown = F.greatest(F.lit(0).cast("bigint"), F.least(F.lit(limit).cast("bigint"), total - offset))

@@ -158,6 +158,12 @@ def doc_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def curated_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as curated records with their text, as an index is built from."""
+    texts = doc_texts(spark, sf_dir).select("id", F.col("text").alias("synthesized_text"))
+    return docs(spark, sf_dir).join(texts, "id")
+
+
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Stored vectors of documents, with the columns a search filters on."""
     stored = table(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding")

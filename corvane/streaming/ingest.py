@@ -8,11 +8,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming.query import StreamingQuery
 
-from corvane.operators.lexical import term_stats
-from corvane.plans.index import TABLES, build_index
+from corvane.plans.index import build_index
 from corvane.plans.ingest import load_batch
 from corvane.plans.search import Index
-from corvane.sources.curated import append_load, path_exists
+from corvane.plans.store import compact_index, index_versions, manifest, read_index, refresh_index, write_index
+from corvane.session import materialise
 from corvane.sources.repositories import scan_position, with_order
 from corvane.sources.schemas import RAW_SCHEMA, STORED_SCHEMA
 
@@ -49,27 +49,32 @@ def stream_index(
     out: str,
     checkpoint: str,
     embed: Callable[[DataFrame], DataFrame] | None = None,
+    compact_above: int = 32,
 ) -> StreamingQuery:
     """Index the rows of loads that have arrived since the last run, then stop.
 
-    Document frequencies are a batch step over the stored term rows (``read_streamed_index``).
+    Every micro-batch is one change of the index store, named by the stream and the batch, so a replay adds
+    nothing; its rows replace those of the same id. More than ``compact_above`` segments become one.
     """
 
     def index(batch: DataFrame, batch_id: int) -> None:
-        tables = build_index(batch, embed)
-        for name in TABLES:
-            append_load(getattr(tables, name), f"{out}/{name}", stream_load(checkpoint, batch_id))
+        name = stream_load(checkpoint, batch_id)
+        built = build_index(materialise(batch, "arrived"), embed)
+        if not index_versions(spark, out):
+            write_index(Index(*(t.limit(0) for t in (built.repositories, built.vectors, built.doc_terms)), digests=built.digests.limit(0)), out)
+        refresh_index(spark, out, built, name=name)
+        if len(manifest(spark, out)["segments"]) > compact_above:
+            compact_index(spark, out)
 
     rows = spark.readStream.schema(STORED_SCHEMA).parquet(curated).drop("load_id")
     return _run(rows, index, checkpoint)
 
 
 def read_streamed_index(spark: SparkSession, out: str) -> Index:
-    """The streamed index with freshly computed term statistics."""
-    if not path_exists(spark, f"{out}/doc_terms"):
+    """The latest version of a streamed index."""
+    if not index_versions(spark, out):
         raise ValueError(f"nothing indexed yet under {out!r}")
-    tables = {name: spark.read.parquet(f"{out}/{name}").drop("load_id") for name in TABLES}
-    return Index(**tables, term_stats=term_stats(tables["doc_terms"]))
+    return read_index(spark, out)
 
 
 def _run(rows: DataFrame, each: Callable[[DataFrame, int], None], checkpoint: str) -> StreamingQuery:

@@ -1,4 +1,4 @@
-"""Batch job: read records, load what is new, rebuild the search index.
+"""Batch job: read records, load what is new, bring the search index up to date.
 
     spark-submit --py-files corvane.zip jobs/build.py --dataset records.json --out warehouse/
 """
@@ -15,8 +15,9 @@ sys.path.insert(0, os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
 from pyspark.sql import SparkSession
 
 from corvane import build_session
-from corvane.plans.index import build_index, write_index
+from corvane.plans.index import build_index
 from corvane.plans.ingest import LoadReport, ingest_path
+from corvane.plans.store import sync_index
 from corvane.sources.curated import path_exists
 from corvane.sources.schemas import STORED_SCHEMA
 
@@ -50,7 +51,7 @@ def run(spark: SparkSession, options: argparse.Namespace) -> LoadReport:
     )
     if not options.skip_index:
         curated = spark.read.schema(STORED_SCHEMA).parquet(table).drop("load_id")
-        write_index(build_index(curated), f"{options.out.rstrip('/')}/index")
+        sync_index(spark, f"{options.out.rstrip('/')}/index", curated, build_index)
     return report
 
 

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from corvane.functions import scores, vectors
 from corvane.plans import search as plans
-from corvane.plans.index import read_index
+from corvane.plans.store import read_index
 from corvane.sources.repositories import array_to_lines, read_repositories
 
 SPEC = importlib.util.spec_from_file_location("build_job", Path(__file__).parents[1] / "jobs" / "build.py")

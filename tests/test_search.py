@@ -9,6 +9,7 @@ from corvane.functions import vectors
 from corvane.operators import stats
 from corvane.plans import index as index_plans
 from corvane.plans import search as plans
+from corvane.plans import store
 from corvane.sources.schemas import CURATED_SCHEMA
 
 SERVICE = [
@@ -69,8 +70,8 @@ def test_staleness_tolerance(spark, indexed, stored, stale):
 
 
 def test_written_index_answers_like_the_built_one(spark, service, tmp_path):
-    index_plans.write_index(service, str(tmp_path))
-    stored = index_plans.read_index(spark, str(tmp_path))
+    store.write_index(service, str(tmp_path))
+    stored = store.read_index(spark, str(tmp_path))
     queries = batch(spark, "async web framework python", "user interfaces")
     for mode in plans.MODES:
         want = sorted(map(tuple, plans.search(queries, service, mode).hits.select("query_id", "position", "id", "score").collect()))
