@@ -41,11 +41,12 @@ def to_flag(col: Column) -> Column:
 def names_of(col: Column, lower: bool = False) -> Column:
     """Cleaned names from an array whose items are JSON objects with a name, or plain text.
 
-    An item is kept when its raw name is non-empty, even if cleaning leaves ''.
+    An item is kept when its raw name is non-empty, even if cleaning leaves ''. Text that begins like an
+    object but is none is plain text.
     """
     raw = F.transform(
         F.coalesce(col, F.array().cast("array<string>")),
-        lambda x: F.when(F.ltrim(x).startswith("{"), F.get_json_object(x, "$.name")).otherwise(x),
+        lambda x: F.when(F.ltrim(x).startswith("{") & F.try_parse_json(x).isNotNull(), F.get_json_object(x, "$.name")).otherwise(x),
     )
     kept = F.filter(raw, lambda x: x.isNotNull() & (x != ""))
     return F.transform(kept, lambda x: F.lower(clean_text(x)) if lower else clean_text(x))

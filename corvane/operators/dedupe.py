@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from corvane.operators.curate import COUNTS
 from corvane.session import BROADCAST_KEYS, materialise, small_side
 from corvane.sources.schemas import MAX_LENGTHS, REQUIRED
 
@@ -86,6 +87,16 @@ def violations() -> list[Column]:
     return checks
 
 
+def unreadable() -> Column:
+    """Of a raw record: one entry per count whose text is no number, with the text; such a count would become 0."""
+    checks = []
+    for raw, name in COUNTS.items():
+        text = F.trim(F.col(raw))
+        bad = text.isNotNull() & (text != "") & text.try_cast("decimal(38,6)").isNull()
+        checks.append(F.when(bad, F.concat(F.lit(f"unreadable:{name}="), text)))
+    return F.array_compact(F.array(*checks))
+
+
 def validate(df: DataFrame, key: str = "name_with_owner") -> tuple[DataFrame, DataFrame]:
     """Split rows into those that meet the table's constraints and those that do not.
 

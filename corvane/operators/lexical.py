@@ -176,13 +176,14 @@ def bm25_topk(
     max_queries: int = blockscore.MAX_QUERIES,
     block_values: int = blockscore.GRID_VALUES,
     measured: bool = False,
+    after: dict[int, tuple[float, int]] | None = None,
 ) -> DataFrame:
     """BM25 top ``n`` per query: (query_id, id, score, rank); only rows that share a term.
 
     ``queries(query_id, text)``; ``doc_terms(id, doc_len, terms[, tfs])`` from ``doc_tokens`` or
     ``count_terms``. Statistics cover all of ``doc_terms`` (or come ready-made in ``stats``);
     ``candidates`` is the filtered part to rank, by default all. ``measured`` says that ``queries``
-    already comes from ``bounded_local``.
+    already comes from ``bounded_local``. ``after`` names the (score, id) that a measured query continues behind.
     """
     spark = queries.sparkSession
     stats = term_stats(doc_terms) if stats is None else stats
@@ -208,5 +209,20 @@ def bm25_topk(
         rows = rows if "tfs" in rows.columns else count_terms(rows)
         hits = blockscore.grid_top(rows, weighted, build, score, n, "terms", block_values, max_queries)
     else:
-        hits = blockscore.broadcast_top(rows, weighted.toArrow(), build, score, n)
+        hits = blockscore.broadcast_top(rows, weighted.toArrow(), continued(build, after), score, n)
     return blockscore.top_n_per_key(hits, n)
+
+
+def continued(build: Callable, after: dict[int, tuple[float, int]] | None) -> Callable:
+    """``build`` with the places that pages continue behind."""
+
+    def built(table):
+        import numpy as np
+
+        block = build(table)
+        if after is not None:
+            places = [after.get(int(q), (np.inf, -1)) for q in block["query_ids"]]
+            block["after_score"], block["after_id"] = (np.array(x) for x in zip(*places))
+        return block
+
+    return built

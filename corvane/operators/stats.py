@@ -70,10 +70,7 @@ def languages(df: DataFrame) -> DataFrame:
 
 def stats_record(df: DataFrame, index: DataFrame, n: int = 10) -> DataFrame:
     """One row: table statistics, indexed rows and the top languages as an array of ``n`` structs."""
-    ordered = F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("less"), "language")))
-    ranked = top_languages(df, n).agg(
-        F.transform(ordered, lambda x: F.struct(x["language"].alias("language"), (-x["less"]).alias("count")))
-    )
+    ranked = _listed(top_languages(df, n))
     return table_stats(df).select(
         "*",
         index.agg(F.count("*")).scalar().alias("indexed_in_search"),
@@ -92,3 +89,37 @@ def index_freshness(index: DataFrame, table: DataFrame) -> DataFrame:
         (~fresh).alias("stale"),
         F.when(F.col("indexed") > 0, F.lit("ready")).otherwise("warming_up").alias("status"),
     )
+
+
+def load_states(df: DataFrame) -> DataFrame:
+    """What the statistics of a load need, by language: sums and counts that add up over loads."""
+    return df.groupBy("primary_language").agg(
+        F.count("*").alias("n"),
+        F.sum("stars").alias("stars"),
+        F.count("stars").alias("n_stars"),
+        F.sum("activity_score").alias("activity"),
+        F.count("activity_score").alias("n_activity"),
+    )
+
+
+def stats_from_states(states: DataFrame, index: DataFrame, n: int = 10) -> DataFrame:
+    """``stats_record`` from the states of all loads: one row per load and language is read, no record."""
+    merged = states.groupBy("primary_language").agg(*(F.sum(c).alias(c) for c in ("n", "stars", "n_stars", "activity", "n_activity")))
+
+    def mean(total: str, count: str, digits: int) -> Column:
+        return F.round(F.coalesce(F.try_divide(F.sum(total), F.sum(count)), F.lit(0.0)), digits)
+
+    totals = merged.agg(
+        F.coalesce(F.sum("n"), F.lit(0).cast("bigint")).alias("total_repositories"),
+        mean("stars", "n_stars", 2).alias("avg_stars"),
+        mean("activity", "n_activity", 4).alias("avg_activity_score"),
+    )
+    top = known_language(merged).select(F.col("primary_language").alias("language"), F.col("n").alias("count"))
+    top = top.orderBy(F.desc("count"), "language").limit(n)
+    return totals.select("*", index.agg(F.count("*")).scalar().alias("indexed_in_search"), _listed(top).scalar().alias("top_languages"))
+
+
+def _listed(ranked: DataFrame) -> DataFrame:
+    """(language, count) rows as one array, the most frequent first."""
+    ordered = F.array_sort(F.collect_list(F.struct((-F.col("count")).alias("less"), "language")))
+    return ranked.agg(F.transform(ordered, lambda x: F.struct(x["language"].alias("language"), (-x["less"]).alias("count"))))

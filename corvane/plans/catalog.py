@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,10 +15,10 @@ from corvane.plans import index as index_plans
 from corvane.plans import ingest as ingest_plans
 from corvane.plans import search as search_plans
 from corvane.plans import store, views
-from corvane.session import scratch_dir, spread
+from corvane.session import materialise, scratch_dir, spread
 from corvane.sources import curated as curated_io
 from corvane.sources import repositories
-from corvane.sources.schemas import CURATED_SCHEMA, RAW_SCHEMA
+from corvane.sources.schemas import CURATED_SCHEMA, RAW_SCHEMA, STORED_SCHEMA
 from corvane.streaming import ingest as streaming
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -285,6 +286,74 @@ def batch_loads(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.parquet(path).select("id", "name_with_owner", "stars", F.col("load_id").cast("int").alias("load_id"))
 
 
+@register
+def load_report(spark: SparkSession, sf: str) -> DataFrame:
+    """The reports of three loads: the first hundred records, all others, and the same again."""
+    source, path = _arrival_files(spark, sf), scratch_dir(spark, "curated")
+    reports = [ingest_plans.ingest_path(spark, source, path, load_id=k, n=n) for k, n in enumerate((100, None, None))]
+    rows = [(k, r.existing, r.saved, r.rejected) for k, r in enumerate(reports)]
+    return spark.createDataFrame(rows, "load_id int, existing bigint, saved bigint, rejected bigint")
+
+
+@register
+def stats_from_loads(spark: SparkSession, sf: str) -> DataFrame:
+    """Statistics of the table from what each of its loads has kept."""
+    source, path = _arrival_files(spark, sf), scratch_dir(spark, "curated")
+    for k, n in enumerate((100, None)):
+        ingest_plans.ingest_path(spark, source, path, load_id=k, n=n)
+    record = stats.stats_from_states(spark.read.parquet(f"{path}-stats"), views.table(spark, sf, "embeddings"))
+    spelled = F.transform("top_languages", lambda x: F.concat(x["language"], F.lit("="), x["count"].cast("string")))
+    return record.withColumn("top_languages", F.array_join(spelled, ","))
+
+
+@register
+def job_reruns(spark: SparkSession, sf: str) -> DataFrame:
+    """Four loads: even documents, all, the first one again with every fourth only, and all again.
+
+    Keys that the second run of the first load lets go come back in the last load, with the ids they had.
+    """
+    raw, path = views.raw_arrivals(spark, sf), scratch_dir(spark, "curated")
+    for load_id, rows in (("a", raw.where("seq % 2 = 0")), ("b", raw), ("a", raw.where("seq % 4 = 0")), ("c", raw)):
+        ingest_plans.load_batch(rows, path, load_id)
+    return spark.read.schema(STORED_SCHEMA).parquet(path).select("id", "name_with_owner", "stars", "load_id")
+
+
+@register
+def unreadable_counts(spark: SparkSession, sf: str) -> DataFrame:
+    """Raw records with a count that is no number, with its text."""
+    raw = views.raw_repos(spark, sf).withColumn("stars", F.format_number(F.col("stars").cast("bigint"), 0))
+    return raw.select("seq", F.array_join(dedupe.unreadable(), ";").alias("unreadable")).where("unreadable <> ''")
+
+
+@register
+def mixed_lists(spark: SparkSession, sf: str) -> DataFrame:
+    """Names from lists of objects, strings, numbers, flags, lists and nulls, read from files."""
+    path = scratch_dir(spark, "lines")
+    key, segment = F.col("c_custkey").cast("string"), F.col("c_mktsegment")
+    first = F.concat(F.lit('{"nameWithOwner": "c/'), key, F.lit('", "languages": ["Go", 5, true, ["'), segment, F.lit('"], {"name": "'), segment)
+    line = F.concat(first, F.lit('", "size": 3}, null, 1.5, "'), segment, F.lit('"], "topics": [{"title": "x"}, "{", "5", '), key, F.lit(", {}]}"))
+    views.table(spark, sf, "customer").select(line.alias("value")).write.text(path)
+    read = repositories.read_repositories(spark, path, "lines")
+    return read.select(
+        F.col("nameWithOwner").alias("name_with_owner"),
+        F.array_join(text.names_of(F.col("languages")), ",").alias("languages"),
+        F.array_join(text.names_of(F.col("topics"), lower=True), ",").alias("topics"),
+    )
+
+
+@register
+def json_array_pretty(spark: SparkSession, sf: str) -> DataFrame:
+    """Indented arrays with other elements between the records, and strings full of brackets and quotes."""
+    path = scratch_dir(spark, "array")
+    raw = views.raw_repos(spark, sf).withColumn("license", F.concat(F.lit('a "}{][" \\ b'), F.nullif("license", F.lit(""))))
+    item = F.regexp_replace(F.to_json(F.struct(*RAW_SCHEMA.fieldNames())), '(?<=[^\\\\]),"', ',\n    "')
+    arrays = raw.groupBy(F.floor(F.col("seq") / 500)).agg(F.array_join(F.collect_list(item), ",\n  ").alias("items"))
+    arrays.select(F.concat(F.lit('[\n  7, "{", [{"nested": 1}],\n  '), "items", F.lit("\n]\n")).alias("value")).write.option(
+        "maxRecordsPerFile", 1
+    ).text(path)
+    return _curated_again(repositories.read_repositories(spark, path, "array"))
+
+
 @register
 def stream_loads(spark: SparkSession, sf: str) -> DataFrame:
     """Files arriving one by one through the streaming load."""
@@ -555,6 +624,21 @@ def index_refresh(spark: SparkSession, sf: str) -> DataFrame:
     return search_plans.search(views.query_batch(spark, sf), store.read_index(spark, path)).hits.select(*HIT)
 
 
+@register
+def page_cursor(spark: SparkSession, sf: str) -> DataFrame:
+    """Four pages of sixty rows, each continued behind the last row of the one before."""
+    queries, found, pages = views.query_batch(spark, sf), views.doc_index(spark, sf), []
+    for mode in ("semantic", "lexical"):
+        after = None
+        for k in range(4):
+            # A query whose last page was not full has no further one.
+            asked = queries if after is None else queries.join(after.select("query_id"), "query_id", "left_semi")
+            page = materialise(search_plans.page_after(asked, found, after, mode, limit=60), "page")
+            pages.append(page.select(F.lit(mode).alias("mode"), "query_id", (F.col("rank") + 60 * k).alias("rank"), "id", "score"))
+            after = page.where("rank = 60")
+    return functools.reduce(DataFrame.unionByName, pages)
+
+
 @register
 def dense_topk_floors(spark: SparkSession, sf: str) -> DataFrame:
     """The exact top-k by parts, each giving the next one its floors."""

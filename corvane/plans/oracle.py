@@ -119,6 +119,10 @@ ORACLES |= {
         nullif({clean('license')}, '') AS license, coalesce(pulls > issues, false) AS is_fork, false AS is_archived,
         stars, coalesce(forks, 0) AS forks, 0::BIGINT AS watchers, coalesce(pulls, 0) AS pull_requests,
         coalesce(issues, 0) AS issues, coalesce(commits, 0) AS commits, disk AS disk_usage_kb FROM raw""",
+    "unreadable_counts": """SELECT c_custkey AS seq, 'unreadable:stars=' || format('{:,}', floor(c_acctbal)::BIGINT) AS unreadable
+        FROM customer WHERE floor(c_acctbal) >= 1000""",
+    "mixed_lists": """SELECT 'c/' || c_custkey AS name_with_owner, 'Go,' || c_mktsegment || ',' || c_mktsegment AS languages,
+        '{,5' AS topics FROM customer""",
     "nested_names": f"""WITH {RAW} SELECT seq, array_to_string({names('languages')}, ',') AS languages,
         array_to_string(list_transform({names('topics')}, lambda x: lower(x)), ',') AS topics FROM raw""",
     "parse_timestamps": """SELECT event_id, CASE event_type WHEN 'click' THEN epoch_us(ts)
@@ -167,6 +171,9 @@ ORACLES |= {
 for _name in ("json_lines_roundtrip", "json_array_roundtrip", "json_array_to_lines"):
     ORACLES[_name] = f"{REPOS} SELECT {TEXT_LISTS.replace('*', '* EXCLUDE (id)', 1)} FROM repos"
 
+PREFIXED = TEXT_LISTS.replace("* REPLACE (", """* EXCLUDE (id) REPLACE ('a "}{][" \\ b' || license AS license, """, 1)
+ORACLES["json_array_pretty"] = f"{REPOS} SELECT {PREFIXED} FROM repos"
+
 # --- documents as arrivals ------------------------------------------------------------------
 
 ARRIVALS = f"""
@@ -197,6 +204,20 @@ ORACLES |= {
         FROM documents) SELECT * FROM d WHERE violations <> ''""",
     "batch_loads": f"""WITH {ARRIVALS} SELECT row_number() OVER (ORDER BY seq) AS id, name_with_owner, stars,
         CASE WHEN row_number() OVER (ORDER BY seq) <= 100 THEN 0 ELSE 1 END AS load_id FROM first""",
+    "load_report": f"""WITH {ARRIVALS}, n AS (SELECT count(*) AS c, least(100, count(*)) AS h FROM first)
+        SELECT 0 AS load_id, 0::BIGINT AS existing, h AS saved, 0::BIGINT AS rejected FROM n
+        UNION ALL SELECT 1, h, c - h, 0 FROM n UNION ALL SELECT 2, c, 0, 0 FROM n""",
+    "stats_from_loads": f"""WITH {ARRIVALS}, top AS (SELECT primary_language AS l, count(*) AS c FROM scored
+          WHERE primary_language <> 'Unknown' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 10)
+        SELECT count(*) AS total_repositories, round(coalesce(avg(stars), 0), 2) AS avg_stars,
+          round(coalesce(avg(activity_score), 0), 4) AS avg_activity_score,
+          (SELECT count(*) FROM embeddings) AS indexed_in_search,
+          (SELECT string_agg(l || '=' || c, ',' ORDER BY c DESC, l) FROM top) AS top_languages FROM scored""",
+    "job_reruns": f"""WITH {ARRIVALS},
+        f AS (SELECT name_with_owner, any_value(stars) AS stars, min(seq) FILTER (seq % 2 = 0) AS even, min(seq) AS any_,
+          min(seq) FILTER (seq % 4 = 0) AS fourth FROM a GROUP BY 1)
+        SELECT row_number() OVER (ORDER BY even IS NULL, coalesce(even, any_)) AS id, name_with_owner, stars,
+          CASE WHEN fourth IS NOT NULL THEN 'a' WHEN even IS NULL THEN 'b' ELSE 'c' END AS load_id FROM f""",
     "stream_loads": f"WITH {ARRIVALS} SELECT name_with_owner, owner, stars FROM first",
     "stream_index_terms": f"""WITH {ARRIVALS},
         t AS (SELECT seq, unnest({TOKENS.format(ARRIVAL_TEXT)}) AS term FROM scored),
@@ -368,6 +389,8 @@ ORACLES |= {
 }
 for same in ("stored_index_search", "search_ann", "index_refresh"):
     ORACLES[same] = ORACLES["search_hybrid"]
+ORACLES["page_cursor"] = f"""WITH {QUERIES}, {cosine()}, {rank('cos', 240, 'dense')}, {bm25(True, queries='q')}, {rank('bm', 240, 'lexical')}
+    SELECT 'semantic' AS mode, query_id, rank, id, score FROM dense UNION ALL SELECT 'lexical', query_id, rank, id, score FROM lexical"""
 ORACLES["stored_search_filtered"] = ORACLES["search_hybrid_filtered"]
 ORACLES["dense_topk_floors"] = ORACLES["dense_topk"]
 ORACLES["ann_topk_all_cells"] = ORACLES["dense_topk"]

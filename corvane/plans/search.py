@@ -166,6 +166,38 @@ def search(
     return SearchResult(hits=fusion.page(scored, offset, limit), summary=summary)
 
 
+def page_after(
+    queries: DataFrame,
+    index: Index,
+    after: DataFrame | None = None,
+    mode: str = "semantic",
+    limit: int = 20,
+    language: str | None = None,
+    min_stars: int = 0,
+    idf: bool = True,
+) -> DataFrame:
+    """The next ``limit`` rows of every query's whole ranking: (query_id, id, score, rank in the page).
+
+    ``after(query_id, score, id)`` is the last row of the page before; a query without one starts at the top.
+    No window ends the pages: each is found by the place it continues behind, and reads no page before it.
+    Fused ranks depend on both whole lists, so ``hybrid`` has no such pages.
+    """
+    _check(index, mode, "relevance", limit, 0, None)
+    if mode == "hybrid":
+        raise ValueError("pages continue in 'semantic' or 'lexical' mode")
+    local = bounded_local(queries, MAX_QUERIES, MAX_QUERY_BYTES)
+    if local is None:
+        raise ValueError(f"pages continue for at most {MAX_QUERIES} queries at a time")
+    # One row per query of the measured batch.
+    places = {} if after is None else {r["query_id"]: (r["score"], r["id"]) for r in after.select("query_id", "score", "id").collect()}
+    if mode == "lexical":
+        kept = filter_hits(index.doc_terms, language, min_stars)
+        return bm25_topk(local, index.doc_terms, limit, idf, index.term_stats, kept, measured=True, after=places)
+    rows = [(q, s, i) for q, (s, i) in places.items()]
+    held = queries.sparkSession.createDataFrame(rows, "query_id bigint, after_score double, after_id bigint")
+    return dense_topk(local.join(held, "query_id", "left"), filter_hits(index.vectors, language, min_stars), limit, measured=True)
+
+
 def search_report(queries: DataFrame, index: Index, top: int = 3, **options) -> DataFrame:
     """Per query: its total and the name, language, stars and scores of its first hits."""
     hits = search(queries, index, limit=top, **options).hits.select(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import urllib.parse
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,6 +16,15 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target)
 
 
+def stored_loads(spark: SparkSession, path: str) -> list[str]:
+    """The loads of a curated table whose rows were stored whole."""
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs
+    target = hadoop.Path(f"{path.rstrip('/')}/load_id=*/_SUCCESS")
+    found = target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).globStatus(target)
+    names = [f.getPath().getParent().getName().removeprefix("load_id=") for f in found or []]
+    return [urllib.parse.unquote(n) for n in names]
+
+
 def write_curated(
     df: DataFrame,
     path: str,

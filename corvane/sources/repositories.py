@@ -5,10 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from corvane.sources.schemas import RAW_SCHEMA
-
-SEQ = "seq"
-
+from corvane.sources.arrays import SEQ, array_elements
+from corvane.sources.schemas import LIST_FIELDS, TEXT_SCHEMA
 
 def scan_position() -> list[Column]:
     """File and split start of a row; only valid directly on a file scan."""
@@ -21,29 +19,28 @@ def with_order(df: DataFrame) -> DataFrame:
     return df.withColumn(SEQ, order).drop("file", "block")
 
 
+def typed_lists(df: DataFrame) -> DataFrame:
+    """Lists that were read as JSON text as arrays of their objects (as text) and strings; other items are left out."""
+
+    def kept(text: Column) -> Column:
+        kinds = F.transform(F.from_json(text, "array<variant>"), F.schema_of_variant)
+        both = F.arrays_zip(F.from_json(text, "array<string>").alias("item"), kinds.alias("kind"))
+        named = F.filter(both, lambda x: (x["kind"] == "STRING") | x["kind"].startswith("OBJECT"))
+        return F.transform(named, lambda x: x["item"])
+
+    return df.withColumns({c: kept(F.col(c)) for c in LIST_FIELDS})
+
+
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
     """One JSON object per line, splittable; unreadable lines become all-NULL rows."""
-    scan = spark.read.schema(RAW_SCHEMA).json(path)
-    return with_order(scan.select(*RAW_SCHEMA.fieldNames(), *scan_position()))
+    scan = spark.read.schema(TEXT_SCHEMA).json(path)
+    return typed_lists(with_order(scan.select(*TEXT_SCHEMA.fieldNames(), *scan_position())))
 
 
 def read_array(spark: SparkSession, path: str) -> DataFrame:
-    """Files that each hold one JSON array; elements that are not objects are skipped.
-
-    A file is one JVM value here (at most 2 GB): read larger arrays as ``array_lines``.
-    """
-    items = (
-        spark.read.text(path, wholetext=True)
-        .select(
-            F.col("_metadata.file_path").alias("file"),
-            F.from_json("value", "array<string>").alias("items"),
-        )
-        # The outer form keeps Spark from parsing twice, once to test for empty arrays.
-        .select("file", F.posexplode_outer("items").alias("pos", "item"))
-        .where(F.ltrim("item").startswith("{"))
-    )
-    order = F.struct(F.col("file"), F.lit(0).cast("bigint").alias("block"), F.col("pos").cast("bigint").alias("row"))
-    return items.select(F.from_json("item", RAW_SCHEMA).alias("r"), order.alias(SEQ)).select("r.*", SEQ)
+    """Files that each hold one JSON array, of any size and layout; elements that are not objects are skipped."""
+    items = array_elements(spark, path)
+    return typed_lists(items.select(F.from_json("item", TEXT_SCHEMA).alias("r"), SEQ).select("r.*", SEQ))
 
 
 def _line_items(line: Column) -> Column:
@@ -69,7 +66,8 @@ def read_array_lines(spark: SparkSession, path: str) -> DataFrame:
     """Array files of any size whose lines hold whole elements; see ``array_to_lines``."""
     lines = spark.read.text(path).select(F.explode_outer(_line_items(F.col("value"))).alias("item"), *scan_position())
     items = lines.where(F.ltrim("item").startswith("{"))
-    return with_order(items.select(F.from_json("item", RAW_SCHEMA).alias("r"), "file", "block").select("r.*", "file", "block"))
+    rows = items.select(F.from_json("item", TEXT_SCHEMA).alias("r"), "file", "block").select("r.*", "file", "block")
+    return typed_lists(with_order(rows))
 
 
 def read_repositories(spark: SparkSession, path: str, layout: str = "lines") -> DataFrame:

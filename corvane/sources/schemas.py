@@ -24,6 +24,10 @@ RAW_SCHEMA = T.StructType(
     + [T.StructField(name, T.StringType()) for name in ("isFork", "isArchived", "createdAt", "pushedAt", "license")]
 )
 
+LIST_FIELDS = ["languages", "topics"]
+# As the files are read: a list comes as its JSON text, which still tells strings from other items.
+TEXT_SCHEMA = T.StructType([T.StructField(f.name, T.StringType()) for f in RAW_SCHEMA.fields])
+
 CURATED_SCHEMA = T.StructType(
     [T.StructField(name, T.StringType()) for name in ("name_with_owner", "owner", "name", "description", "primary_language")]
     + [T.StructField(name, T.ArrayType(T.StringType())) for name in ("languages", "topics")]

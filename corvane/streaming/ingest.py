@@ -13,8 +13,8 @@ from corvane.plans.ingest import load_batch
 from corvane.plans.search import Index
 from corvane.plans.store import compact_index, index_versions, manifest, read_index, refresh_index, write_index
 from corvane.session import materialise
-from corvane.sources.repositories import scan_position, with_order
-from corvane.sources.schemas import RAW_SCHEMA, STORED_SCHEMA
+from corvane.sources.repositories import scan_position, typed_lists, with_order
+from corvane.sources.schemas import STORED_SCHEMA, TEXT_SCHEMA
 
 
 def stream_load(checkpoint: str, batch_id: int) -> str:
@@ -27,19 +27,20 @@ def stream_ingest(
 ) -> StreamingQuery:
     """Load every file that has arrived since the last run, each key once, then stop.
 
-    Stored keys live in the table, not in streaming state, which would grow without bound. Every
+    Stored keys live in the key table, not in streaming state, which would grow without bound; a small
+    micro-batch reads the buckets of its own keys. Every
     micro-batch owns a folder named by the stream's checkpoint and the batch and compares with all
     the others, so a replay after a crash rebuilds the same rows, and batch loads and other streams
     into the same table are never replaced.
     """
 
     def load(batch: DataFrame, batch_id: int) -> None:
-        load_batch(with_order(batch), path, stream_load(checkpoint, batch_id))
+        load_batch(typed_lists(with_order(batch)), path, stream_load(checkpoint, batch_id))
 
-    reader = spark.readStream.schema(RAW_SCHEMA)
+    reader = spark.readStream.schema(TEXT_SCHEMA)
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    records = reader.json(source).select(*RAW_SCHEMA.fieldNames(), *scan_position())
+    records = reader.json(source).select(*TEXT_SCHEMA.fieldNames(), *scan_position())
     return _run(records, load, checkpoint)
 
 

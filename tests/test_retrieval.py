@@ -12,9 +12,9 @@ from corvane.functions import vectors
 from corvane.operators import blockscore, dense, fusion, lexical
 
 CORPUS = [
-    (1, "PostgreSQL vector database search with pgvector extension"),
-    (2, "React frontend responsive user interface dashboard"),
-    (3, "PyTorch convolutional neural networks for image classification"),
+    (1, "Harbour gauges report the tide every ten minutes"),
+    (2, "A ferry timetable for the northern islands"),
+    (3, "Salt marsh birds counted from the dyke at dawn"),
 ]
 
 
@@ -77,7 +77,7 @@ def test_bm25_equals_brute_force(spark, idf, max_queries, block_values, counted)
 
 def test_bm25_golden(spark):
     docs = lexical.doc_tokens(spark.createDataFrame(CORPUS, "id long, text string"))
-    queries = spark.createDataFrame([(0, "postgres vector pgvector"), (1, "react frontend")], "query_id long, text string")
+    queries = spark.createDataFrame([(0, "tide gauges, harbour"), (1, "ferry islands")], "query_id long, text string")
     top = {r["query_id"]: r["id"] for r in lexical.bm25_topk(queries, docs, 1).collect()}
     assert top == {0: 1, 1: 2}
 

@@ -13,8 +13,8 @@ from corvane.plans import store
 from corvane.sources.schemas import CURATED_SCHEMA
 
 SERVICE = [
-    ("tiangolo/fastapi", "Python", 70000, 6000, 3500, 0.92, 0.95, "FastAPI framework, async web framework for python"),
-    ("facebook/react", "JavaScript", 220000, 45000, 16000, 0.98, 0.99, "Library for user interfaces"),
+    ("tidewater/marlin", "Julia", 8650, 740, 2310, 0.81, 0.7, "Harbour tide forecasts from gauge readings in julia"),
+    ("northlight/ferry", "Kotlin", 310, 25, 640, 0.4, 0.4, "Timetables of island ferries"),
 ]
 
 
@@ -50,11 +50,11 @@ def larger(spark):
 
 
 def test_hybrid_finds_the_expected_record(spark, service):
-    result = plans.search(batch(spark, "async web framework python"), service)
+    result = plans.search(batch(spark, "harbour tide forecasts"), service)
     hits = result.hits.orderBy("position").collect()
-    assert hits[0]["name_with_owner"] == "tiangolo/fastapi"
+    assert hits[0]["name_with_owner"] == "tidewater/marlin"
     assert result.summary.first()["total"] == 2
-    assert {h["name_with_owner"]: h["metadata_score"] for h in hits} == {"tiangolo/fastapi": 0.9445, "facebook/react": 0.99}
+    assert {h["name_with_owner"]: h["metadata_score"] for h in hits} == {"tidewater/marlin": 0.7987, "northlight/ferry": 0.4493}
 
 
 def test_index_is_ready_and_fresh(spark, service):
@@ -72,7 +72,7 @@ def test_staleness_tolerance(spark, indexed, stored, stale):
 def test_written_index_answers_like_the_built_one(spark, service, tmp_path):
     store.write_index(service, str(tmp_path))
     stored = store.read_index(spark, str(tmp_path))
-    queries = batch(spark, "async web framework python", "user interfaces")
+    queries = batch(spark, "harbour tide forecasts", "island ferries")
     for mode in plans.MODES:
         want = sorted(map(tuple, plans.search(queries, service, mode).hits.select("query_id", "position", "id", "score").collect()))
         got = sorted(map(tuple, plans.search(queries, stored, mode).hits.select("query_id", "position", "id", "score").collect()))
