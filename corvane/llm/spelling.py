@@ -11,7 +11,7 @@ two as vectors of letter counts.
    box its distance bound reaches. The planes only steer the sizes of cells, not results.
 3. A task takes a cell's words, builds the k-d tree below that cell over their exact counts, and runs
    the visitors in batches: subtrees whose box is too far are pruned; in the leaves reached, bit masks of
-   the letters, then the counts, then the order of the letters decide. Visitors are streamed, never held
+   the letters, then their order decide. Visitors are streamed, never held
    as a whole.
 4. A word's form is its near word of the largest count, if that is at least twice its own; counts double
    along a chain, so roots are found by doubling pointers in few joins.
@@ -44,7 +44,7 @@ HELD_WORDS = 200_000
 SAMPLE = 1 << 16
 CELL = 4096
 MOST_CELLS = 4096
-LEAF = 128
+LEAF = 64
 #: Numbers in a block of comparisons, and rows that a task reads or routes together.
 BLOCK = 1 << 22
 ROWS = 1 << 14
@@ -105,11 +105,15 @@ def codes_of(words: list[str]) -> np.ndarray:
     return np.frombuffer("".join(words).encode("utf-16-le"), np.uint16).reshape(len(words), -1)
 
 
+def letter_numbers(codes: np.ndarray) -> np.ndarray:
+    """Letters as numbers from 0."""
+    return np.where(codes < 128, codes.astype(np.int64) - 97, codes.astype(np.int64) - 0xC0 + 26)
+
+
 def letter_counts(codes: np.ndarray) -> np.ndarray:
     """Rows of letter counts."""
-    dims = np.where(codes < 128, codes.astype(np.int64) - 97, codes.astype(np.int64) - 0xC0 + 26)
-    flat = (np.arange(len(codes))[:, None] * LETTERS + dims).ravel()
-    return np.bincount(flat, minlength=len(codes) * LETTERS).reshape(-1, LETTERS).astype(np.int32)
+    flat = (np.arange(len(codes))[:, None] * LETTERS + letter_numbers(codes)).ravel()
+    return np.bincount(flat, minlength=len(codes) * LETTERS).reshape(-1, LETTERS)
 
 
 class KdTree:
@@ -169,7 +173,7 @@ class KdTree:
         """
         if not hasattr(self, "low"):
             self.bounds(queries.shape[1])
-        none = np.zeros(len(queries), np.int32)
+        none = np.zeros(len(queries), np.int64)
         stack = [(0, np.arange(len(queries)), none, none)]
         while stack:
             node, own, more, fewer = stack.pop()
@@ -267,13 +271,15 @@ def one_edit(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return head + tail >= a.shape[1]
 
 
-def letter_masks(counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def letter_masks(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Bits of the letters that occur, and of those that occur twice; some rare letters share a bit.
 
     A letter more sets at most one further bit of each, a letter fewer clears at most one.
     """
-    bits = np.uint64(1) << np.where(np.arange(LETTERS) < 26, np.arange(LETTERS), 26 + np.arange(LETTERS) % 38).astype(np.uint64)
-    return tuple(np.bitwise_or.reduce(np.where(counts >= k, bits, np.uint64(0)), axis=1) for k in (1, 2))
+    numbers = np.sort(letter_numbers(codes), axis=1)
+    bits = np.uint64(1) << np.where(numbers < 26, numbers, 26 + numbers % 38).astype(np.uint64)
+    again = np.where(numbers[:, 1:] == numbers[:, :-1], bits[:, 1:], np.uint64(0))
+    return np.bitwise_or.reduce(bits, axis=1), np.bitwise_or.reduce(again, axis=1)
 
 
 def near_masks(q: np.ndarray, t: np.ndarray, down: int) -> np.ndarray:
@@ -286,19 +292,18 @@ class Cell:
     def __init__(self, words: list[str], n: list[int]):
         self.words, self.n = np.array(words, object), np.array(n, np.int64)
         self.codes = codes_of(words)
-        self.counts = letter_counts(self.codes)
-        self.tree = KdTree(self.counts, LEAF)
+        self.tree = KdTree(letter_counts(self.codes), LEAF)
         # In the order of the leaves.
         order = self.tree.order
-        self.words, self.n, self.codes, self.counts = self.words[order], self.n[order], self.codes[order], self.counts[order]
-        self.masks = letter_masks(self.counts)
+        self.words, self.n, self.codes = self.words[order], self.n[order], self.codes[order]
+        self.masks = letter_masks(self.codes)
 
     def near(self, words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         """(row of ``words``, row of the cell) of all near pairs; ``words`` have the cell's length or one less."""
         codes = codes_of(words)
         down = int(codes.shape[1] == self.codes.shape[1])
         queries = letter_counts(codes)
-        once, twice = letter_masks(queries)
+        once, twice = letter_masks(codes)
         found: list[tuple[np.ndarray, np.ndarray]] = []
         for k, who in self.tree.reached(queries, down):
             low, high = self.tree.ends[k], self.tree.ends[k + 1]
@@ -313,12 +318,9 @@ class Cell:
         i, j = (np.concatenate(x) for x in zip(*found))
         keep = near_masks(twice[i], self.masks[1][j], down)
         i, j = i[keep], j[keep]
-        width = max(1, BLOCK // max(LETTERS, codes.shape[1]))
+        width = max(1, BLOCK // codes.shape[1])
         for low in range(0, len(i), width):
             a, b = i[low : low + width], j[low : low + width]
-            off = self.counts[b] - queries[a]
-            close = (np.maximum(off, 0).sum(axis=1) <= 1) & (np.maximum(-off, 0).sum(axis=1) <= down)
-            a, b = a[close], b[close]
             same = one_edit(codes[a], self.codes[b])
             if same.any():
                 yield a[same], b[same]
