@@ -3,61 +3,61 @@
 A document's set holds its distinct shingles of five words. Two sets link when
 ``100 * |intersection| >= threshold * |union|`` (threshold in per cent, 80 by default).
 
-1. One pass counts all shingles into a fixed table of counters. (counter, hash) is one total order
-   for all documents, rare first; counters only steer the order, so their collisions cost no result.
-2. A second pass sorts each set in that order and keeps its prefix: linked sets share a prefix
-   shingle. Two Bloom filters over all prefixes tell which prefix shingles may occur twice; only
-   those are emitted.
-3. Equal sets (copies) become one node. Postings meet by shingle with partial aggregates.
-4. Within a bucket the nodes are first compared with one leader, twice with different leaders, and
-   linked nodes become components; only nodes of different components that still share a bucket are
-   then compared with each other. A group of near copies so costs a star, not all its pairs, and
-   every link between two components is still found.
-5. A pair is verified once: length and positional filters act in the postings and the join, the suffix filter (an
-   upper bound of the overlap from counts in fixed partitions of the sets) before the sets are
-   fetched, and the exact intersection decides.
+1. One pass counts all shingles into a fixed table of counters, kept as one byte each on a logarithmic
+   scale, and names every set. (counter, hash) is one total order for all documents, rare first;
+   counters only steer the order, so neither their collisions nor their scale cost a result.
+2. A second pass sorts each set in that order and keeps its prefix: linked sets share a prefix shingle.
+   Equal sets (copies) become one node by a partial aggregate, before anything is posted.
+3. Every prefix shingle is posted under a key of 48 bits of its hash, and tasks read whole buckets in
+   order. The counters tell which shingles are so common that their bucket is dealt to several tasks.
+   Every member meets the bucket's first node (the smallest set that can lead off a linked pair), so a
+   group of near copies costs a star, not all its pairs. Buckets of three or more stay open.
+4. Linked nodes become components. In open buckets that still hold nodes of different components every two
+   of these are compared by the filters, in tiles of bounded size. A first round verifies only pairs that
+   would join a tile's components, at most one for each node; what still lies in different components after
+   that is compared whole, without the pairs that failed, so every link between two components is found.
+5. Length and positional filters act where a pair is made, then the suffix filter (an upper bound of the
+   overlap from counts in fixed partitions of the sets), before sets are fetched. A pair is verified
+   once, by the exact intersection.
 
 Nulls and texts without words: empty set, linked with nothing, component of their own. Shorter texts
 (1 to 4 words): the whole sequence is the one shingle. Equal rows give equal output rows; rows that
 share a doc_id share its component. A null doc_id counts as no candidate for the component's name.
+``keep_one`` keeps all columns, whatever their names; the others read ``doc_id`` and ``text`` alone.
 """
 
 from __future__ import annotations
 
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.llm.common import (
-    FILTER_FIELDS,
-    U64,
-    SeenTwice,
-    arrow_map,
-    builders,
-    components,
-    filter_batch,
-    filter_bits,
-    key_filter,
-    merged_filter,
-    mix,
-    squeezed,
-)
+from corvane.llm.common import U64, SeenTwice, arrow_map, components, filter_bits, key_filter, mix, squeezed, unit_starts, unused, whole_units
 from corvane.llm.ngrams import all_shingles, set_id, shingle_sets
 from corvane.session import materialise
 
 THRESHOLD = 80
-#: Counters of the frequency table (64 MB as it is sent out) and partitions of the suffix filter.
-COUNTER_BITS = 25
-PARTS = 32
-#: Counters in one row while the tasks' tables are summed.
-COUNTER_SEGMENT = 16384
-STAR_ROUNDS = 2
-#: Earlier shingles of a posting that tell whether a pair meets in an earlier bucket too.
-EARLIER = 16
+#: Counters of the frequency table (16 MB as it is sent out), steps of their scale to a doubling, and
+#: counters in one row while the tasks' tables are summed.
+COUNTER_BITS = 24
+SCALE = 10
+COUNTER_SEGMENT = 1 << 16
+#: Partitions of the suffix filter, and how many of them are joined into one for its first look.
+PARTS = 256
+FOLD = 8
+#: The low bits of a key number the shares of a common shingle's bucket (0: not shared out); aimed-at rows of a share.
+SHARE_BITS = 16
+SHARE_ROWS = 50_000
+#: Nodes of a tile where all of a bucket are compared, and pairs looked at together.
+TILE = 1024
+BLOCK = 1 << 18
+#: Rounds that verify one pair for each node and tile; then one of all pairs that are left.
+ROUNDS = 1
 
 
 def prefix_length(n: int, threshold: int) -> int:
@@ -65,178 +65,275 @@ def prefix_length(n: int, threshold: int) -> int:
     return n - (threshold * n + 99) // 100 + 1
 
 
-def shingle_counts(docs: DataFrame) -> tuple[np.ndarray, int]:
-    """Counters of all shingles of all documents, by the upper bits of the hash, and their sum."""
-    shift = U64(64 - COUNTER_BITS)
+def least_overlap(n: np.ndarray, m: np.ndarray, threshold: int) -> np.ndarray:
+    """Least overlap of linked sets of these sizes."""
+    return -(-(threshold * (n + m)) // (100 + threshold))
 
-    def count(batches):
-        table = np.zeros(1 << COUNTER_BITS, np.uint32)
-        for batch in batches:
-            joined, starts, n = all_shingles(batch.column("text"))
-            valid = np.zeros(len(joined) + 1, np.int64)
-            some = n > 0
-            np.add.at(valid, starts[some], 1)
-            np.add.at(valid, (starts + n)[some], -1)
-            np.add.at(table, joined[np.cumsum(valid)[:-1] > 0] >> shift, 1)
-        parts = [(i, table[i : i + COUNTER_SEGMENT]) for i in range(0, len(table), COUNTER_SEGMENT)]
-        parts = [(i // COUNTER_SEGMENT, squeezed(p)) for i, p in parts if p.any()]
-        if parts:
-            segment, counts = zip(*parts)
-            yield pa.RecordBatch.from_arrays([pa.array(segment, pa.int32()), pa.array(counts, pa.binary())], ["segment", "counts"])
 
-    def total(pdf):
-        both = sum(np.frombuffer(zlib.decompress(c), np.uint32).astype(np.uint64) for c in pdf["counts"])
-        most = np.minimum(both, 65535).astype(np.uint16)
-        return type(pdf)({"segment": [pdf["segment"].iloc[0]], "counts": [most.tobytes()], "total": [int(both.sum())]})
+def may_link(n: np.ndarray, i: np.ndarray, m: np.ndarray, j: np.ndarray, threshold: int) -> np.ndarray:
+    """Length and positional filter: places i and j can be the first common ones of sets of n and m shingles."""
+    near = 100 * np.minimum(n, m) >= threshold * np.maximum(n, m)
+    return near & (np.minimum(n - i, m - j) >= least_overlap(n, m, threshold))
 
-    parts = arrow_map(builders(docs.select("text")), count, "segment int, counts binary")
-    table, shingles = np.zeros(1 << COUNTER_BITS, np.uint16), 0
-    for row in parts.groupBy("segment").applyInPandas(total, "segment int, counts binary, total bigint").collect():
-        at = row["segment"] * COUNTER_SEGMENT
-        table[at : at + COUNTER_SEGMENT] = np.frombuffer(row["counts"], np.uint16)
-        shingles += row["total"]
-    return table, shingles
 
+def scaled(counts: np.ndarray) -> np.ndarray:
+    """Counts as one byte each, in steps of a tenth of a doubling."""
+    return np.minimum(np.rint(SCALE * np.log2(1.0 + counts)), 255).astype(np.uint8)
 
-SETS = "doc_id bigint, n bigint, node binary, prefix binary, parts binary, " + FILTER_FIELDS
 
+SETS = "doc_id bigint, n bigint, node binary, segment int, counts binary"
 
-def prefixes(docs: DataFrame, threshold: int) -> tuple[DataFrame, int]:
-    """(doc_id, n, node, prefix, parts) of every document and the twice-seen filter rows, written once."""
-    spark = docs.sparkSession
-    table, total = shingle_counts(docs)
-    held = spark.sparkContext.broadcast(table)
-    log2_bits = filter_bits(total * (100 - threshold) // 100)
+
+def named_sets(docs: DataFrame) -> DataFrame:
+    """(doc_id, n, node) of every document, and rows of each task's counters (segment, counts), written once."""
     shift = U64(64 - COUNTER_BITS)
-    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.binary()]
-    fields = [pa.field(c.split()[0], k) for c, k in zip(SETS.split(", "), kinds)]
+    kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
+    schema = pa.schema([pa.field(c.split()[0], k) for c, k in zip(SETS.split(", "), kinds)])
 
-    def order(batches):
-        counters, seen = held.value, SeenTwice(log2_bits)
-        for batch in batches:
-            rows = []
-            for own in shingle_sets(batch.column("text")):
-                n = len(own)
-                if not n:
-                    rows.append((0, None, None, None))
-                    continue
-                rare = np.argsort(counters[own >> shift], kind="stable")[: prefix_length(n, threshold)]
-                parts = np.bincount((own >> U64(7)) & U64(PARTS - 1), minlength=PARTS).astype(np.int32)
-                rows.append((n, set_id(own), own[rare], parts.tobytes()))
-            kept = [r[2] for r in rows if r[2] is not None]
-            if kept:
-                seen.add(np.concatenate(kept))
-            n, node, prefix, parts = zip(*rows) if rows else ((), (), (), ())
-            prefix = [None if p is None else p.tobytes() for p in prefix]
-            arrays = [batch.column("doc_id").cast(pa.int64()), pa.array(n, pa.int64())]
-            arrays += [pa.array(x, pa.binary()) for x in (node, prefix, parts)]
-            arrays += [pa.nulls(len(rows), f.type) for f in fields[5:]]
-            yield pa.RecordBatch.from_arrays(arrays, schema=pa.schema(fields))
-        yield from filter_batch(seen, fields)
-
-    return materialise(arrow_map(builders(docs.select("doc_id", "text")), order, SETS), "prefixes"), log2_bits
-
-
-def postings(sets: DataFrame, log2_bits: int) -> DataFrame:
-    """(shingle, node, n, pos) for every prefix shingle that the filter suspects to occur twice."""
-    spark = sets.sparkSession
-    parts = sets.where("segment is not null").select("segment", "once", "twice")
-    held = spark.sparkContext.broadcast(merged_filter(parts, log2_bits))
-
-    def emit(batches):
-        bits = held.value
+    def read(batches):
+        table = np.zeros(1 << COUNTER_BITS, np.uint32)
         for batch in batches:
-            keys, nodes, sizes, places = [], [], [], []
-            for node, n, prefix in zip(*(batch.column(c).to_pylist() for c in ("node", "n", "prefix"))):
-                own = np.frombuffer(prefix, np.uint64)
-                at = np.flatnonzero(SeenTwice.holds(bits, own, log2_bits))
-                keys.append(own[at].view(np.int64))
-                places.append(at.astype(np.int32))
-                nodes += [node] * len(at)
-                sizes.append(np.full(len(at), n, np.int32))
-            if nodes:
-                arrays = [np.concatenate(keys), pa.array(nodes, pa.binary()), np.concatenate(sizes), np.concatenate(places)]
-                yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["shingle", "node", "n", "pos"])
-
-    found = sets.where("node is not null").select("node", "n", "prefix")
-    rows = arrow_map(found, emit, "shingle bigint, node binary, n int, pos int")
-    # Copies of a set are one node; the partial aggregate takes them together before the shuffle.
-    return rows.groupBy("shingle", "node").agg(F.max("n").alias("n"), F.max("pos").alias("pos"))
-
-
-def _needed(n: Column, m: Column, threshold: int) -> Column:
-    """Least overlap of linked sets of these sizes."""
-    return F.ceil(threshold * (n + m) / F.lit(100 + threshold))
+            own = shingle_sets(batch.column("text"))
+            if own:
+                np.add.at(table, np.concatenate(own) >> shift, 1)
+            nodes = pa.array([set_id(s) if len(s) else None for s in own], pa.binary())
+            arrays = [batch.column("doc_id"), pa.array([len(s) for s in own], pa.int64()), nodes]
+            yield pa.RecordBatch.from_arrays([*arrays, *(pa.nulls(len(own), k) for k in kinds[3:])], schema=schema)
+        for at in range(0, len(table), COUNTER_SEGMENT):
+            part = table[at : at + COUNTER_SEGMENT]
+            if part.any():
+                arrays = [pa.nulls(1, k) for k in kinds[:3]]
+                arrays += [pa.array([at // COUNTER_SEGMENT], pa.int32()), pa.array([squeezed(part)], pa.binary())]
+                yield pa.RecordBatch.from_arrays(arrays, schema=schema)
 
+    return materialise(arrow_map(docs.select(F.col("doc_id").cast("bigint"), "text"), read, SETS), "sets")
 
-def _length_filter(n: Column, m: Column, threshold: int) -> Column:
-    return 100 * F.least(n, m) >= threshold * F.greatest(n, m)
 
+def shingle_counters(sets: DataFrame) -> np.ndarray:
+    """All tasks' counters in one table, by the upper bits of the hash, one byte each."""
 
-def _leads_off(n: Column, i: Column, threshold: int) -> Column:
-    """Whether a set's place can be the first common one with a set of at least its size."""
-    return n - i >= _needed(n, n, threshold)
+    def total(pdf):
+        both = sum(np.frombuffer(zlib.decompress(c), np.uint32).astype(np.uint64) for c in pdf["counts"])
+        return type(pdf)({"segment": [pdf["segment"].iloc[0]], "counts": [squeezed(scaled(both))]})
 
+    table = np.zeros(1 << COUNTER_BITS, np.uint8)
+    parts = sets.where("segment is not null").select("segment", "counts")
+    for row in parts.groupBy("segment").applyInPandas(total, "segment int, counts binary").toLocalIterator():
+        at = row["segment"] * COUNTER_SEGMENT
+        own = np.frombuffer(zlib.decompress(row["counts"]), np.uint8)
+        table[at : at + len(own)] = own
+    return table
 
-def bucket_members(rows: DataFrame, threshold: int) -> DataFrame:
-    """Postings that can be the first common one of a linked pair, each with the leader of its bucket.
 
-    The smaller set of a linked pair leads off at its first common shingle, so a posting that does
-    not lead off itself is of use only beside a smaller set that does.
-    """
-    early = _leads_off(F.col("n"), F.col("pos"), threshold)
-    leads = rows.groupBy("shingle").agg(
-        F.count(F.lit(1)).alias("c"),
-        F.min(F.when(early, F.struct("node", "n", "pos"))).alias("lead"),
-        F.min(F.when(early, F.col("n"))).alias("least"),
-    )
-    leads = leads.where("c > 1 and lead is not null").drop("c")
-    return materialise(rows.join(leads, "shingle").where(early | (F.col("n") > F.col("least"))).drop("least"), "buckets")
+def part_counts(shingles: np.ndarray) -> bytes | None:
+    """How many of a set lie in each partition, one byte each; None if one holds more than a byte tells."""
+    parts = np.bincount((shingles >> U64(7)) & U64(PARTS - 1), minlength=PARTS)
+    return parts.astype(np.uint8).tobytes() if parts.max() < 256 else None
 
 
-def star_pairs(members: DataFrame, threshold: int) -> DataFrame:
-    """(u, v): every node with its buckets' leaders, where this can be their first common shingle.
+def node_table(docs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """(num, node, doc_id, n, keys, parts) of every distinct set: a number, one document that has it, its prefix."""
+    table = shingle_counters(sets)
+    held = docs.sparkSession.sparkContext.broadcast(table)
+    shift = U64(64 - COUNTER_BITS)
+    names = ["node", "doc_id", "n", "keys", "parts"]
 
-    A pair left out here because an earlier bucket has another leader is met by ``cross_pairs``.
+    def order(batches):
+        counters = held.value
+        for batch in batches:
+            rows, ids = [], batch.column("doc_id").to_pylist()
+            for doc_id, own in zip(ids, shingle_sets(batch.column("text"))):
+                if len(own):
+                    count = counters[own >> shift]
+                    rare = own[np.argsort(count, kind="stable")[: prefix_length(len(own), threshold)]]
+                    node = set_id(own)
+                    common = np.exp2(counters[rare >> shift].astype(float) / SCALE) / SHARE_ROWS
+                    shares = np.minimum(np.ceil(common), (1 << SHARE_BITS) - 1).astype(np.uint64)
+                    share = np.where(shares > 1, 1 + int.from_bytes(node[:8], "little") % shares, 0).astype(np.uint64)
+                    keys = (rare >> U64(SHARE_BITS) << U64(SHARE_BITS)) | share
+                    rows.append((node, doc_id, len(own), keys.tobytes(), part_counts(own)))
+            columns = list(zip(*rows)) or [()] * 5
+            kinds = [pa.binary(), pa.int64(), pa.int64(), pa.binary(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+
+    rows = arrow_map(docs.select(F.col("doc_id").cast("bigint"), "text"), order, "node binary, doc_id bigint, n bigint, keys binary, parts binary")
+    one = [F.any_value(c).alias(c) for c in names[2:]]
+    nodes = rows.groupBy("node").agg(F.min("doc_id").alias("doc_id"), *one)
+    nodes = materialise(nodes.select(F.monotonically_increasing_id().alias("num"), *names), "nodes")
+    held.destroy()
+    return nodes
+
+
+def postings(nodes: DataFrame, threshold: int) -> DataFrame:
+    """(key, late, num, pos) of every prefix shingle; ``late`` orders a bucket: first those that can lead off a
+    linked pair (their place can be the first common one with a set of their size or more), by set size."""
+
+    def post(batches):
+        for batch in batches:
+            keys = [np.frombuffer(k, np.int64) for k in batch.column("keys").to_pylist()]
+            if not keys:
+                continue
+            sizes = np.array([len(k) for k in keys])
+            pos = np.concatenate([np.arange(s) for s in sizes])
+            n = np.repeat(batch.column("n").to_numpy(), sizes)
+            late = (n - pos < least_overlap(n, n, threshold)).astype(np.int64) << 32 | n
+            arrays = [np.concatenate(keys), late, np.repeat(batch.column("num").to_numpy(), sizes), pos.astype(np.int32)]
+            yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["key", "late", "num", "pos"])
+
+    return arrow_map(nodes.select("num", "n", "keys"), post, "key bigint, late bigint, num bigint, pos int")
+
+
+def first_round(nodes: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
+    """Pairs (u, v) of every bucket's first node with its members, and the postings of buckets that stay open."""
+    rows = postings(nodes, threshold).repartition("key").sortWithinPartitions("key", "late", "num")
+    names, kinds = ["u", "v", "key", "num", "n", "pos"], [pa.int64()] * 4 + [pa.int32()] * 2
+
+    def stars(batches):
+        for part in whole_units(batches, ["key"]):
+            key, late, num, pos = (part.column(c).to_numpy() for c in ("key", "late", "num", "pos"))
+            n, late, pos = late & ((1 << 32) - 1), late >> 32, pos.astype(np.int64)
+            new = np.ones(len(key), bool)
+            new[1:] = key[1:] != key[:-1]
+            starts = np.flatnonzero(new)
+            bucket = np.cumsum(new) - 1
+            lead = starts[bucket]
+            led = late[lead] == 0
+            fits = led & ~new & may_link(n, pos, n[lead], pos[lead], threshold)
+            pairs = np.unique(np.sort(np.column_stack([num[lead[fits]], num[fits]]), axis=1), axis=0)
+            # A late posting is of use beside a smaller set that leads off; other shares may hold that.
+            shared = (key & ((1 << SHARE_BITS) - 1)) != 0
+            useful = shared | led & ((late == 0) | (n > n[lead]))
+            count = np.add.reduceat(useful, starts) if len(starts) else starts
+            stay = np.flatnonzero(useful & (shared | (count[bucket] >= 3)))
+            if len(pairs):
+                none = [pa.nulls(len(pairs), k) for k in kinds[2:]]
+                yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), *none], names)
+            if len(stay):
+                none = [pa.nulls(len(stay), k) for k in kinds[:2]]
+                values = [key[stay] >> SHARE_BITS, num[stay], n[stay].astype(np.int32), pos[stay].astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([*none, *map(pa.array, values)], names)
+
+    found = materialise(arrow_map(rows, stars, "u bigint, v bigint, key bigint, num bigint, n int, pos int", 1 << 16), "buckets")
+    pairs = found.where("u is not null").select("u", "v").distinct()
+    return pairs, found.where("key is not null").select(F.col("key").alias("shingle"), "num", "n", "pos")
+
+
+def mixed_buckets(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Postings with their ``label`` in buckets that hold more than one component."""
+    own = rows.select("shingle", "num", "n", "pos").join(labels, "num", "left").withColumn("label", F.coalesce("label", "num"))
+    ends = own.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    return materialise(own.join(ends.where("low <> high").select("shingle"), "shingle", "left_semi"), "mixed")
+
+
+def overlap_bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """The most shingles that sets with these counts by partition can share."""
+    return np.minimum(a, b).sum(axis=1, dtype=np.int64)
+
+
+def joining_pairs(mixed: DataFrame, nodes: DataFrame, failed: DataFrame, threshold: int, every: bool = False) -> DataFrame:
+    """(u, v): pairs of different components that share a bucket and pass all filters, tile by tile.
+
+    Of a tile's pairs only those are given that would join its components if all of them held: at most one
+    for each node. ``failed`` (u, v) names pairs that were verified before and do not link. With ``every``
+    all pairs are given.
     """
-    n, m, i, j = F.col("n"), F.col("lead.n"), F.col("pos"), F.col("lead.pos")
-    fits = _length_filter(n, m, threshold) & (F.least(n - i, m - j) >= _needed(n, m, threshold))
-    rows = members.where((F.col("node") != F.col("lead.node")) & fits)
-    return rows.select(F.least("node", "lead.node").alias("u"), F.greatest("node", "lead.node").alias("v")).distinct()
+    counts = mixed.groupBy("shingle").agg(F.ceil(F.count(F.lit(1)) / TILE).cast("int").alias("tiles"))
+    both = failed.unionByName(failed.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    apart = both.groupBy(F.col("u").alias("num")).agg(F.collect_list("v").alias("apart"))
+    named = mixed.select("num").distinct().join(nodes.select("num", "parts"), "num").join(apart, "num", "left")
+    rows = mixed.join(counts, "shingle").join(named, "num")
+    rows = rows.withColumn("tile", F.pmod(F.xxhash64("num"), F.col("tiles")).cast("int"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    order = ["shingle", "a", "b"]
+    low, high = F.least("tile", "other").alias("a"), F.greatest("tile", "other").alias("b")
+    rows = rows.select("shingle", low, high, "tile", "num", "n", "pos", "label", "parts", "apart")
+    rows = rows.repartition(*order).sortWithinPartitions(*order, "tile", "num")
+
+    def candidates(part) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        tile, a, b, num, n, pos, label = (part.column(c).to_numpy().astype(np.int64) for c in ("tile", "a", "b", "num", "n", "pos", "label"))
+        known = part.column("parts").to_pylist()
+        parts = np.frombuffer(b"".join(p or bytes(PARTS) for p in known), np.uint8).reshape(-1, PARTS)
+        unknown = np.array([p is None for p in known])
+        folded = parts.reshape(len(parts), -1, FOLD).sum(axis=2, dtype=np.uint16)
+        not_linked = {(x, y) for x, own in zip(num.tolist(), part.column("apart").to_pylist()) for y in own or ()}
+        step = max(1, BLOCK // max(1, len(num)))
+        for low in range(0, len(num), step):
+            i, j = np.nonzero(label[low : low + step, None] != label[None])
+            i += low
+            keep = (i < j) & ((a[i] == b[i]) | (tile[i] != tile[j]))
+            i, j = i[keep], j[keep]
+            keep = may_link(n[i], pos[i], n[j], pos[j], threshold)
+            i, j = i[keep], j[keep]
+            for counts in (folded, parts):
+                least = least_overlap(n[i], n[j], threshold)
+                keep = unknown[i] | unknown[j] | (overlap_bound(counts[i], counts[j]) >= least)
+                i, j = i[keep], j[keep]
+            if not_linked:
+                keep = np.array([p not in not_linked for p in zip(num[i].tolist(), num[j].tolist())], bool)
+                i, j = i[keep], j[keep]
+            yield i, j
+
+    def chosen(part) -> list[tuple[int, int]]:
+        num, label = part.column("num").to_pylist(), part.column("label").to_pylist()
+        up: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while (y := up.get(x, x)) != x:
+                up[x] = x = up.get(y, y)
+            return x
+
+        pairs = []
+        for i, j in candidates(part):
+            for x, y in zip(i.tolist(), j.tolist()):
+                a, b = root(label[x]), root(label[y])
+                if every or a != b:
+                    up[max(a, b)] = min(a, b)
+                    pairs.append((min(num[x], num[y]), max(num[x], num[y])))
+        return pairs
+
+    def compare(batches):
+        for part in whole_units(batches, order, rows=TILE):
+            starts = np.append(unit_starts([part.column(c).to_numpy() for c in order]), part.num_rows).tolist()
+            pairs = sorted({p for x, y in zip(starts, starts[1:]) for p in chosen(part.slice(x, y - x))})
+            u, v = zip(*pairs) if pairs else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
+
+    return arrow_map(rows, compare, "u bigint, v bigint").distinct()
 
 
-def cross_pairs(members: DataFrame, threshold: int) -> DataFrame:
-    """(u, v): nodes of different components that share a bucket, by their first common shingle."""
-    # A pair whose nearest earlier shingles meet is left to an earlier bucket; its first one has none.
-    near = Window.partitionBy("node").orderBy("pos").rowsBetween(-EARLIER, -1)
-    members = members.withColumn("near", F.collect_list("shingle").over(near))
-    a = members.select("shingle", *(F.col(c).alias(f"{c}_a") for c in ("node", "n", "pos", "label", "near")))
-    b = members.select("shingle", *(F.col(c).alias(f"{c}_b") for c in ("node", "n", "pos", "label", "near")))
-    n, m, i, j = F.col("n_a"), F.col("n_b"), F.col("pos_a"), F.col("pos_b")
-    # All common shingles of a pair lie at or after its first one, so that one leaves room for enough of them.
-    fits = _length_filter(n, m, threshold) & (F.least(n - i, m - j) >= _needed(n, m, threshold))
-    fits &= ~F.arrays_overlap("near_a", "near_b")
-    pairs = a.join(b, "shingle").where((F.col("label_a") != F.col("label_b")) & (F.col("node_a") < F.col("node_b")) & fits)
-    return pairs.select(F.col("node_a").alias("u"), F.col("node_b").alias("v")).distinct()
+def suffix_filter(pairs: DataFrame, nodes: DataFrame, threshold: int) -> DataFrame:
+    """Pairs whose overlap can still suffice, by the counts of both sets in fixed partitions."""
 
+    def keep(batches):
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            sides = [batch.column(c) for c in ("parts_u", "parts_v")]
+            a, b = (np.frombuffer(b"".join(p or bytes(PARTS) for p in s.to_pylist()), np.uint8).reshape(-1, PARTS) for s in sides)
+            unknown = np.logical_or(*(s.is_null().to_numpy(zero_copy_only=False) for s in sides))
+            n, m = (batch.column(c).to_numpy() for c in ("n_u", "n_v"))
+            likely = unknown | (overlap_bound(a, b) >= least_overlap(n, m, threshold))
+            yield batch.filter(pa.array(likely)).select(["u", "v"])
 
-def node_table(sets: DataFrame) -> DataFrame:
-    """(node, doc_id, parts) of every node: one document stands for all with an equal set."""
-    rows = sets.where("node is not null").groupBy("node")
-    return materialise(rows.agg(F.min("doc_id").alias("doc_id"), F.any_value("parts").alias("parts")), "nodes")
+    def side(name: str) -> DataFrame:
+        return nodes.select(F.col("num").alias(name), F.col("parts").alias(f"parts_{name}"), F.col("n").alias(f"n_{name}"))
+
+    full = pairs.join(side("v"), "v").join(side("u"), "u")
+    return arrow_map(full.select("u", "v", "n_u", "n_v", "parts_u", "parts_v"), keep, "u bigint, v bigint")
 
 
 def node_sets(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(node, shingles) of every node in ``pairs``, read again from one document of each."""
+    """(num, shingles) of every node in ``pairs``, read again from one document of each."""
     spark = docs.sparkSession
-    named = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct()
-    wanted = materialise(named.join(nodes, "node").select("doc_id").distinct(), "wanted")
-    log2_bits = filter_bits(wanted.count(), 26)
-    held = spark.sparkContext.broadcast(key_filter(wanted, log2_bits))
+    named = pairs.select(F.col("u").alias("num")).unionByName(pairs.select(F.col("v").alias("num"))).distinct()
+    wanted = materialise(named.join(nodes, "num").select("num", "node", "doc_id"), "wanted")
+    ids = wanted.select("doc_id").where("doc_id is not null")
+    log2_bits = filter_bits(ids.count(), 26)
+    held = spark.sparkContext.broadcast(key_filter(ids, log2_bits))
 
     def fetch(batches):
         for batch in batches:
-            ids = batch.column("doc_id").cast(pa.int64())
+            ids = batch.column("doc_id")
             keys = mix(ids.fill_null(0).to_numpy(zero_copy_only=False).astype(np.int64).view(U64))
             # A node whose only documents have a null id is fetched with every null id.
             keep = SeenTwice.holds(held.value, keys, log2_bits) | ids.is_null().to_numpy(zero_copy_only=False)
@@ -245,28 +342,12 @@ def node_sets(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
             arrays = [pa.array([set_id(s) for s in own], pa.binary()), pa.array([s.tobytes() for s in own], pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, ["node", "shingles"])
 
-    return materialise(arrow_map(docs.select("doc_id", "text"), fetch, "node binary, shingles binary"), "sets")
-
-
-def suffix_filter(pairs: DataFrame, nodes: DataFrame, threshold: int) -> DataFrame:
-    """Pairs whose overlap can still suffice, by the counts of both sets in fixed partitions.
-
-    The counts are little-endian 32-bit numbers in one binary, compared in numpy.
-    """
-    def keep(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            a, b = (
-                np.frombuffer(b"".join(batch.column(c).to_pylist()), np.int32).reshape(-1, PARTS) for c in ("parts_u", "parts_v")
-            )
-            most = np.minimum(a, b).sum(axis=1, dtype=np.int64)
-            both = a.sum(axis=1, dtype=np.int64) + b.sum(axis=1, dtype=np.int64)
-            yield batch.filter(pa.array((100 + threshold) * most >= threshold * both)).select(["u", "v"])
-
-    full = pairs.join(nodes.select(F.col("node").alias("v"), F.col("parts").alias("parts_v")), "v")
-    full = full.join(nodes.select(F.col("node").alias("u"), F.col("parts").alias("parts_u")), "u")
-    return arrow_map(full.select("u", "v", "parts_u", "parts_v"), keep, "u binary, v binary")
+    # A narrow join: the sets of copies come as often as the filter lets them through, and one stays.
+    read = arrow_map(docs.select(F.col("doc_id").cast("bigint"), "text"), fetch, "node binary, shingles binary")
+    read = read.join(wanted.select("num", "node"), "node").groupBy("num").agg(F.any_value("shingles").alias("shingles"))
+    full = materialise(read, "fetched")
+    held.destroy()
+    return full
 
 
 def verify(pairs: DataFrame, full: DataFrame, threshold: int) -> DataFrame:
@@ -281,62 +362,48 @@ def verify(pairs: DataFrame, full: DataFrame, threshold: int) -> DataFrame:
                 linked.append(100 * common >= threshold * (len(a) + len(b) - common))
             yield batch.filter(pa.array(linked, pa.bool_())).select(["u", "v"])
 
-    both = pairs.join(full.select(F.col("node").alias("v"), F.col("shingles").alias("set_v")), "v")
-    both = both.join(full.select(F.col("node").alias("u"), F.col("shingles").alias("set_u")), "u")
-    return arrow_map(both.select("u", "v", "set_u", "set_v"), decide, "u binary, v binary").distinct()
-
-
-def joined_labels(labels: DataFrame, found: DataFrame) -> DataFrame:
-    """(node, label) after new links: only the components that they join are contracted."""
-    of_u = labels.select(F.col("node").alias("u"), F.col("label").alias("label_u"))
-    of_v = labels.select(F.col("node").alias("v"), F.col("label").alias("label_v"))
-    edges = found.join(of_u, "u").join(of_v, "v").select(F.col("label_u").alias("u"), F.col("label_v").alias("v"))
-    moved = components(edges).select(F.col("node").alias("label"), F.col("label").alias("to"))
-    return labels.join(moved, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
-
-
-def ngram_links(docs: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFrame, DataFrame]:
-    """Membership (doc_id, n, node) of all documents and the component label of every linked node."""
-    sets, log2_bits = prefixes(docs, threshold)
-    members = bucket_members(postings(sets, log2_bits), threshold)
-    nodes = node_table(sets)
-    labels = materialise(members.select("node").distinct().withColumn("label", F.col("node")), "labels")
-    checked = None
-    current = members
-    for turn in range(STAR_ROUNDS + 1):
+    both = pairs.join(full.select(F.col("num").alias("v"), F.col("shingles").alias("set_v")), "v")
+    both = both.join(full.select(F.col("num").alias("u"), F.col("shingles").alias("set_u")), "u")
+    return arrow_map(both.select("u", "v", "set_u", "set_v"), decide, "u bigint, v bigint")
+
+
+def ngram_links(docs: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Membership (doc_id, n, node) of all documents, the nodes, and (num, label) of every linked node.
+
+    ``label`` is the least number of the node's component.
+    """
+    sets = named_sets(docs)
+    nodes = node_table(docs, sets, threshold)
+    members = sets.where("segment is null").select("doc_id", "n", "node")
+    pairs, rows = first_round(nodes, threshold)
+    found = failed = docs.sparkSession.createDataFrame([], "u bigint, v bigint")
+    labels = found.select(F.col("u").alias("num"), F.col("v").alias("label"))
+    turn = 0
+    while True:
         if turn:
-            # Buckets that lie within one component are done, now and in all later rounds.
-            own = current.select("shingle", "node", "n", "pos").join(labels, "node")
-            ends = [F.min("label").alias("low"), F.max("label").alias("high")]
-            if turn < STAR_ROUNDS:
-                seeded = F.xxhash64("node", "shingle", F.lit(turn))
-                ends.append(F.min_by(F.struct("node", "n", "pos", "label"), seeded).alias("lead"))
-            mixed = own.groupBy("shingle").agg(*ends).where("low <> high").drop("low", "high")
-            current = materialise(own.join(mixed, "shingle"), "mixed")
-        if turn < STAR_ROUNDS:
-            open_ = current.where("label <> lead.label") if turn else current
-            pairs = star_pairs(open_, threshold)
-        else:
-            pairs = cross_pairs(current, threshold)
-        if checked is not None:
-            pairs = pairs.join(checked, ["u", "v"], "left_anti")
+            rows = mixed_buckets(rows, labels)
+            pairs = joining_pairs(rows, nodes, failed, threshold, every=turn > ROUNDS)
         pairs = materialise(pairs, "pairs")
-        checked = pairs if checked is None else checked.unionByName(pairs)
-        likely = materialise(suffix_filter(pairs, nodes, threshold), "likely")
-        if likely.isEmpty():
-            continue
-        found = materialise(verify(likely, node_sets(docs, nodes, likely), threshold), "found")
-        if not found.isEmpty():
-            labels = materialise(joined_labels(labels, found), "labels")
-    return sets.where("n is not null").select("doc_id", "n", "node"), labels
+        if turn and pairs.isEmpty():
+            break
+        # The pairs of later rounds have passed the suffix filter in their tiles.
+        likely = pairs if turn else materialise(suffix_filter(pairs, nodes, threshold), "likely")
+        linked = materialise(verify(likely, node_sets(docs, nodes, likely), threshold), "linked")
+        if not linked.isEmpty():
+            found = found.unionByName(linked)
+            labels = materialise(components(found).withColumnRenamed("node", "num"), "labels")
+        if turn > ROUNDS:
+            break
+        failed = materialise(failed.unionByName(likely.join(linked, ["u", "v"], "left_anti")), "failed")
+        turn += 1
+    return members, nodes, labels
 
 
 def node_components(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """(doc_id, node, n_shingles, component_id) for every row of ``docs`` (doc_id, text)."""
-    members, labels = ngram_links(docs, threshold)
-    nodes = members.where("node is not null").groupBy("node").agg(F.min("doc_id").alias("least"))
-    nodes = nodes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    least = nodes.groupBy("label").agg(F.min("least").alias("component_id"))
+    members, nodes, labels = ngram_links(docs, threshold)
+    nodes = nodes.select("num", "node", "doc_id").join(labels, "num", "left").withColumn("label", F.coalesce("label", "num"))
+    least = nodes.groupBy("label").agg(F.min("doc_id").alias("component_id"))
     named = nodes.join(least, "label").select("node", "component_id")
     return members.join(named, "node", "left").select(
         "doc_id", "node", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id")
@@ -351,16 +418,16 @@ def ngram_components(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     return node_components(docs, threshold).drop("node")
 
 
-def with_node(docs: DataFrame) -> DataFrame:
-    """``docs`` plus ``_node``, the name of the text's shingle set; null without words."""
-    columns = [*docs.columns, "_node"]
+def with_node(docs: DataFrame, name: str) -> DataFrame:
+    """``docs`` plus ``name``, the name of the text's shingle set; null without words."""
+    columns = [*docs.columns, name]
 
-    def name(batches):
+    def identify(batches):
         for batch in batches:
             nodes = [set_id(s) if len(s) else None for s in shingle_sets(batch.column("text"))]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(nodes, pa.binary())], columns)
 
-    return arrow_map(docs, name, T.StructType([*docs.schema.fields, T.StructField("_node", T.BinaryType())]))
+    return arrow_map(docs, identify, T.StructType([*docs.schema.fields, T.StructField(name, T.BinaryType())]))
 
 
 def keep_one(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
@@ -377,7 +444,8 @@ def keep_one(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     kept = docs.join(ids, "doc_id", "left_anti")
     if both.isEmpty():
         return kept
-    rest = with_node(docs.join(both, "doc_id", "left_semi").select(*docs.columns))
-    gone = gone.withColumnRenamed("node", "_node")
-    rest = rest.join(gone, ["doc_id", "_node"], "left_anti").drop("_node")
+    name = unused(docs.columns, "_node")
+    rest = with_node(docs.join(both, "doc_id", "left_semi").select(*docs.columns), name)
+    gone = gone.withColumnRenamed("node", name)
+    rest = rest.join(gone, ["doc_id", name], "left_anti").drop(name)
     return kept.unionByName(rest.select(*kept.columns))
