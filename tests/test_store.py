@@ -147,11 +147,13 @@ def changed(rows):
     return out + [(5000 + i, "C", 50, f"t{i} usual fresh") for i in range(30)]
 
 
-def same_index(spark, a, b):
-    terms = [sorted(map(tuple, x.term_stats.select("term", "df", "total_len").collect())) for x in (a, b)]
-    assert terms[0] == terms[1]
-    for options in ({}, {"mode": "lexical", "language": "Rust"}, {"mode": "semantic"}, {"idf": False, "min_stars": 10}):
-        assert hits(spark, a, **options) == hits(spark, b, **options)
+SEARCHES = ({}, {"mode": "lexical", "language": "Rust"}, {"mode": "semantic"}, {"idf": False, "min_stars": 10})
+
+
+def answers(spark, index):
+    """The statistics of an index and what it finds."""
+    stats = sorted(map(tuple, index.term_stats.select("term", "df", "total_len").collect()))
+    return stats, [hits(spark, index, **options) for options in SEARCHES]
 
 
 def test_changes_give_the_index_built_from_scratch(spark, tmp_path):
@@ -160,16 +162,16 @@ def test_changes_give_the_index_built_from_scratch(spark, tmp_path):
     now = records(spark, changed(before))
     assert store.sync_index(spark, path, now, build_index) == 2
     store.write_index(build_index(now), str(tmp_path / "scratch"))
-    scratch = store.read_index(spark, str(tmp_path / "scratch"))
-    same_index(spark, store.read_index(spark, path), scratch)
+    want = answers(spark, store.read_index(spark, str(tmp_path / "scratch")))
+    assert all(want[1]) and answers(spark, store.read_index(spark, path)) == want
     assert store.sync_index(spark, path, now, build_index) == 2
     # Back again, then one segment: still the same, and nothing is left of the changes.
     store.sync_index(spark, path, records(spark, before), build_index)
     store.sync_index(spark, path, now, build_index)
-    same_index(spark, store.read_index(spark, path), scratch)
+    assert answers(spark, store.read_index(spark, path)) == want
     version = store.compact_index(spark, path)
     assert len(store.manifest(spark, path)["segments"]) == 1 and version == 5
-    same_index(spark, store.read_index(spark, path), scratch)
+    assert answers(spark, store.read_index(spark, path)) == want
     store.refresh_index(spark, path, deleted=now.select("id").where("id < 100"))
     left = store.read_index(spark, path)
     assert left.repositories.where("id < 100").isEmpty() and left.term_stats.where("term = ''").first()["df"] == now.where("id >= 100").count()
