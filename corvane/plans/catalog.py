@@ -269,10 +269,16 @@ def format_roundtrip(spark: SparkSession, sf: str) -> DataFrame:
     return spark.read.schema(docs.schema).orc(path)
 
 
+#: About the most text of one arriving file; there are four files at least.
+ARRIVAL_BYTES = 128 << 20
+
+
 def _arrival_files(spark: SparkSession, sf: str) -> str:
     path = scratch_dir(spark, "arrivals")
+    size = views.table(spark, sf, "documents").agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    files = max(4, -(-size // ARRIVAL_BYTES))
     # Files in order of their names; sorted, so that file order is document order.
-    rows = views.raw_arrivals(spark, sf).repartitionByRange(4, "seq").sortWithinPartitions("seq")
+    rows = views.raw_arrivals(spark, sf).repartitionByRange(files, "seq").sortWithinPartitions("seq")
     rows.drop("seq").write.json(path)
     return path
 

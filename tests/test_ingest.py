@@ -1,6 +1,7 @@
 """Readers, de-duplication, incremental loads, ids, constraints and streaming."""
 
 import json
+import os
 
 import pytest
 from pyspark.sql import functions as F
@@ -283,3 +284,16 @@ def test_a_cut_off_array_is_an_error(spark, tmp_path):
     (folder / "a.json").write_text(json.dumps([record("a/b"), record("a/c")])[:-20])
     with pytest.raises(Exception, match="not a whole JSON array"):
         repositories.read_repositories(spark, str(folder), "array").collect()
+
+
+def test_arriving_files_follow_the_text_and_keep_its_order(spark, tmp_path, monkeypatch):
+    from corvane.plans import catalog
+
+    docs = [(i, "s", "en", f"{i:04d} " + "x" * 96, 100) for i in range(300)]
+    spark.createDataFrame(docs, "doc_id long, source string, lang string, text string, n_chars long").write.parquet(str(tmp_path / "documents.parquet"))
+    monkeypatch.setattr(catalog, "ARRIVAL_BYTES", 3000)
+    path = catalog._arrival_files(spark, str(tmp_path))
+    files = sorted(f for f in os.listdir(path) if f.endswith(".json"))
+    assert len(files) >= 8
+    texts = [json.loads(line)["description"] for f in files for line in open(f"{path}/{f}")]
+    assert texts == [d[3] for d in docs]
