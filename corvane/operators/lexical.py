@@ -15,6 +15,9 @@ from corvane.session import bounded_local
 K1 = 1.2
 B = 0.75
 SCORE_DIGITS = 6
+# Tokens counted at a time, and cells of a scored step: what a worker holds follows them, not the batch.
+COUNT_TOKENS = 250_000
+SCORE_CELLS = 1_000_000
 # ``term_stats`` keeps the corpus totals under the one key that no token can have.
 TOTALS = ""
 
@@ -60,12 +63,24 @@ def corpus_stats(tokens: DataFrame) -> DataFrame:
 
 def count_terms(tokens: DataFrame) -> DataFrame:
     """Compact index rows: each distinct term of a document once, with its count in ``tfs``."""
+    most = COUNT_TOKENS
+
+    def steps(batches):
+        import numpy as np
+
+        for batch in batches:
+            ends = np.cumsum(batch.column("terms").value_lengths().fill_null(0).to_numpy(zero_copy_only=False).astype("int64"))
+            low, done = 0, 0
+            while low < batch.num_rows:
+                high = max(low + 1, int(np.searchsorted(ends, done + most, "right")))
+                yield batch.slice(low, high - low)
+                low, done = high, ends[high - 1]
 
     def count(batches):
         import numpy as np
         import pyarrow as pa
 
-        for batch in batches:
+        for batch in steps(batches):
             terms = batch.column("terms")
             row = np.repeat(np.arange(batch.num_rows), terms.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
             words = terms.flatten().dictionary_encode()
@@ -84,6 +99,7 @@ def count_terms(tokens: DataFrame) -> DataFrame:
 
 def _builder() -> Callable:
     """Worker function: Arrow table (query_id, term, weight) to a query block."""
+    cells = SCORE_CELLS
 
     def build(table):
         import numpy as np
@@ -99,7 +115,7 @@ def _builder() -> Callable:
             "query": query[order],
             "weight": table.column("weight").to_numpy()[order],
             # A row matches each (query, term) at most once: this bounds cells and matches.
-            "step": max(1, 4_000_000 // max(1, len(ids), len(code))),
+            "step": max(1, cells // max(1, len(ids), len(code))),
         }
 
     return build

@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -254,3 +255,20 @@ def test_query_text(spark):
     df = spark.createDataFrame([("  two words\n",)], "t string")
     got = df.select(vectors.query_text(F.col("t")).alias("x")).first()["x"]
     assert got == "Represent this sentence for searching relevant passages: two words"
+
+
+def test_terms_are_counted_in_bounded_steps(spark, monkeypatch):
+    """What a worker turns into numbers at a time follows a bound, not the session's batch."""
+    monkeypatch.setattr(lexical, "COUNT_TOKENS", 7)
+    docs, _ = corpus(9, 90, 1)
+    docs = [*docs, (900, "long " * 50), (901, None), (902, "")]
+    tokens = lexical.doc_tokens(spark.createDataFrame(docs, "id long, text string").coalesce(1))
+    rows = lexical.count_terms(tokens).collect()
+    assert [r["id"] for r in rows] == [i for i, _ in docs]
+    for row in rows:
+        assert dict(zip(row["terms"], row["tfs"], strict=True)) == Counter((dict(docs)[row["id"]] or "").split())
+
+
+def test_a_scored_step_is_bounded():
+    table = pa.table({"query_id": pa.array(range(1000), pa.int64()), "term": [f"t{i}" for i in range(1000)], "weight": [1.0] * 1000})
+    assert lexical.query_block(table)["step"] * 1000 <= 1_000_000
