@@ -27,6 +27,11 @@ from corvane.session import bounded_local
 
 BLOCK_DOCS = 128
 SHARD_DOCS = 8192
+#: Postings of a shard, about: longer documents make smaller shards, as one task holds a shard.
+SHARD_ENTRIES = 1 << 20
+#: Postings of a written file, about, and of the sample that finds where files begin.
+FILE_ENTRIES = 1 << 21
+SAMPLED_ENTRIES = 200_000
 #: Terms that are pushed to the scan as a list; more are given by their range and a broadcast join.
 LISTED_TERMS = 2000
 #: Scores are rounded: a bound must miss a floor by more than that.
@@ -38,12 +43,22 @@ BLOCKS = (
 )
 
 
-def build_blocks(doc_terms: DataFrame, n_docs: int) -> DataFrame:
-    """``BLOCKS`` of counted documents (id, doc_len, terms, tfs, primary_language, stars); one shuffle of these rows."""
-    shards = max(1, -(-n_docs // SHARD_DOCS))
+def shard_count(n_docs: int, n_entries: int = 0) -> int:
+    """Shards of so many documents with so many postings."""
+    return max(1, -(-n_docs // SHARD_DOCS), -(-n_entries // SHARD_ENTRIES))
+
+
+def build_blocks(doc_terms: DataFrame, n_docs: int, n_entries: int = 0, bounds: list[tuple[str, int]] | None = None) -> DataFrame:
+    """``BLOCKS`` of counted documents (id, doc_len, terms, tfs, primary_language, stars); one shuffle of these rows.
+
+    With ``bounds``, sorted (term, shard), also ``part``: how many of them a block follows or equals.
+    """
+    shards = shard_count(n_docs, n_entries)
     size = BLOCK_DOCS
 
     def cut(table):
+        from bisect import bisect_right
+
         import numpy as np
         import pyarrow as pa
 
@@ -56,10 +71,17 @@ def build_blocks(doc_terms: DataFrame, n_docs: int) -> DataFrame:
         words = flat("terms").dictionary_encode()
         code, tf = words.indices.to_numpy(), flat("tfs").to_numpy()
         ids, lens = table.column("id").to_numpy(), table.column("doc_len").to_numpy()
-        order = np.lexsort((ids[row], lens[row], -tf, code))
+        # Documents by length and id: their places order the postings of a term and count.
+        by_length = np.empty(table.num_rows, np.int64)
+        by_length[np.lexsort((ids, lens))] = np.arange(table.num_rows)
+        largest = int(tf.max(initial=0))
+        if (len(words.dictionary) + 1) * (largest + 1) * (table.num_rows + 1) < 1 << 62:
+            order = np.argsort((code.astype(np.int64) * (largest + 1) + (largest - tf)) * table.num_rows + by_length[row])
+        else:
+            order = np.lexsort((by_length[row], -tf, code))
         row, code, tf = row[order], code[order], tf[order]
-        first = np.searchsorted(code, code)
-        place = np.arange(len(code)) - first
+        new = np.flatnonzero(np.diff(code, prepend=-1))
+        place = np.arange(len(code)) - np.repeat(new, np.diff(np.append(new, len(code))))
         starts = np.flatnonzero(place % size == 0)
         ends = pa.array(np.append(starts, len(code)).astype("int32"))
 
@@ -85,11 +107,36 @@ def build_blocks(doc_terms: DataFrame, n_docs: int) -> DataFrame:
             "languages": lists(table.column("primary_language").combine_chunks().take(taken)),
             "stars": lists(stars),
         }
+        if bounds is not None:
+            at = zip(columns["term"].to_pylist(), columns["shard"].to_pylist())
+            columns["part"] = pa.array([bisect_right(bounds, x) for x in at], pa.int32())
         return pa.table(columns)
 
     shard = F.pmod(F.xxhash64("id"), F.lit(shards)).cast("int").alias("shard")
     rows = doc_terms.select(shard, "id", "doc_len", "terms", "tfs", "primary_language", F.col("stars").cast("bigint").alias("stars"))
-    return rows.groupBy("shard").applyInArrow(cut, BLOCKS)
+    return rows.groupBy("shard").applyInArrow(cut, BLOCKS if bounds is None else f"{BLOCKS}, part int")
+
+
+def part_bounds(doc_terms: DataFrame, n_docs: int, n_entries: int, parts: int) -> list[tuple[str, int]]:
+    """(term, shard) at which about equal parts of the postings begin, from a sample of bounded size.
+
+    They steer the sizes of files only. A common term begins several parts.
+    """
+    if parts < 2:
+        return []
+    share = SAMPLED_ENTRIES / max(1, n_entries)
+    docs = doc_terms if share >= 1 else doc_terms.sample(fraction=share, seed=42)
+    shard = F.pmod(F.xxhash64("id"), F.lit(shard_count(n_docs, n_entries))).cast("int").alias("shard")
+    found = docs.select(F.explode("terms").alias("term"), shard).limit(4 * SAMPLED_ENTRIES).toArrow()
+    rows = sorted(zip(found.column("term").to_pylist(), found.column("shard").to_pylist()))
+    return sorted({rows[k * len(rows) // parts] for k in range(1, parts)}) if rows else []
+
+
+def block_stats(blocks: DataFrame) -> DataFrame:
+    """(term, df, total_len) of the documents in ``blocks``, as ``term_stats`` gives them for each term."""
+    length = F.aggregate("lens", F.lit(0).cast("bigint"), lambda total, x: total + x)
+    rows = blocks.select("term", F.size("ids").cast("bigint").alias("df"), length.alias("total_len"))
+    return rows.groupBy("term").agg(F.sum("df").alias("df"), F.sum("total_len").alias("total_len"))
 
 
 def gain(tf: Column, length: Column, avg_len: float) -> Column:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from corvane.operators.dense import assign_cells, train_cells
 from corvane.operators.lexical import TOTALS, count_terms, term_stats
-from corvane.operators.postings import build_blocks
+from corvane.operators.postings import FILE_ENTRIES, block_stats, build_blocks, part_bounds, shard_count
 from corvane.plans.search import Index
 from corvane.session import BROADCAST_KEYS, materialise, small_side
 
@@ -96,21 +96,24 @@ def _write_segment(index: Index, path: str, name: str, centres: np.ndarray | Non
     else:
         save(vectors.sortWithinPartitions("primary_language", "stars"), "vectors")
     terms = index.doc_terms if "tfs" in index.doc_terms.columns else count_terms(index.doc_terms)
-    save(terms.repartitionByRange("id").sortWithinPartitions("id"), "doc_terms")
+    # Sorted file by file: a range over all files would count every text twice, once to find its bounds.
+    save(terms.sortWithinPartitions("id"), "doc_terms")
     written = _read(spark, path, "doc_terms", [name]).drop("segment")
-    stats = term_stats(written)
+    docs, total, entries = written.agg(F.count(F.lit(1)), F.sum("doc_len"), F.coalesce(F.sum(F.size("terms")), F.lit(0))).first()
+    # The bounds of the files come from a sample, so that blocks are cut once.
+    parts = -(-entries // FILE_ENTRIES)
+    bounds = part_bounds(written, docs, entries, parts)
+    blocks = build_blocks(written, docs, entries, bounds).repartitionById(len(bounds) + 1, "part")
+    save(blocks.drop("part").sortWithinPartitions("term", "shard", "block"), "postings")
+    stats = block_stats(_read(spark, path, "postings", [name]))
+    if docs:
+        stats = stats.unionByName(spark.createDataFrame([(TOTALS, docs, total)], "term string, df bigint, total_len bigint"))
     save(stats.repartitionByRange("term").sortWithinPartitions("term"), "term_stats")
-    totals = _read(spark, path, "term_stats", [name]).where(F.col("term") == TOTALS).first()
-    docs = totals["df"] if totals else 0
-    blocks = build_blocks(written, docs)
-    save(blocks.repartitionByRange("term", "shard").sortWithinPartitions("term", "shard", "block"), "postings")
     digests = index.digests
     if digests is None:
         digests = index.repositories.select("id", F.lit(0).cast("bigint").alias("digest"))
     save(digests, "digests")
-    from corvane.operators.postings import SHARD_DOCS
-
-    return {"name": name, "docs": docs, "shards": max(1, -(-docs // SHARD_DOCS)), "vectors": _read(spark, path, "vectors", [name]).count()}
+    return {"name": name, "docs": docs, "shards": shard_count(docs, entries), "vectors": _read(spark, path, "vectors", [name]).count()}
 
 
 def _centres(spark: SparkSession, path: str, name: str | None) -> np.ndarray | None:
@@ -179,7 +182,7 @@ def _mark_deleted(spark: SparkSession, path: str, m: dict, ids: DataFrame, name:
     hit = spark.read.schema(DEAD).parquet(f"{root}/deletes/change={name}")
     n, low, high = hit.agg(F.count("*"), F.min("id"), F.max("id")).first()
     if n:
-        # Term rows are sorted by id: the range skips files and row groups.
+        # Term rows are sorted by id in each file: the range skips row groups and pages.
         rows = _read(spark, path, "doc_terms", names).where(F.col("id").between(low, high))
         gone = rows.join(F.broadcast(hit) if n <= BROADCAST_KEYS else hit, ["segment", "id"], "left_semi")
         less = term_stats(gone).select("term", (-F.col("df")).alias("df"), (-F.col("total_len")).alias("total_len"))
@@ -223,12 +226,14 @@ def sync_index(spark: SparkSession, path: str, curated: DataFrame, build) -> int
     """Bring the store to the state of ``curated``: new and changed records are indexed, vanished ones deleted.
 
     Records are compared by a digest of their columns, ids and digests alone. ``build`` makes an ``Index`` of the
-    records it is given (``build_index``). Without a store the first version is written.
+    records it is given (``build_index``). Without a store the first version is written. Records that are
+    indexed are written to the shared folder once, as every table of the index is made from them.
     """
     if not index_versions(spark, path):
-        return write_index(build(curated), path)
+        return write_index(build(materialise(curated, "records")), path)
     from corvane.plans.index import with_digest
 
+    curated = materialise(curated, "records")
     now = with_digest(curated).select("id", F.col("digest").alias("now"))
     stored = read_index(spark, path).digests.select("id", F.col("digest").alias("stored"))
     differ = now.join(stored, "id", "full").where(~F.col("now").eqNullSafe(F.col("stored")))
@@ -238,5 +243,5 @@ def sync_index(spark: SparkSession, path: str, curated: DataFrame, build) -> int
         return manifest(spark, path)["version"]
     fresh = differ.where("not vanished").select("id")
     fresh = F.broadcast(fresh) if counts.get(False, 0) <= BROADCAST_KEYS else fresh
-    index = build(curated.join(fresh, "id", "left_semi")) if counts.get(False) else None
+    index = build(materialise(curated.join(fresh, "id", "left_semi"), "changed")) if counts.get(False) else None
     return refresh_index(spark, path, index, differ.where("vanished").select("id") if counts.get(True) else None)

@@ -212,3 +212,38 @@ def test_readers_keep_their_version(spark, tmp_path, monkeypatch):
         store.read_index(spark, path, 9)
     with pytest.raises(ValueError, match="no index"):
         store.read_index(spark, str(tmp_path / "none"))
+
+
+def test_shards_of_long_documents_are_smaller(spark, built, monkeypatch):
+    """A task holds a shard: its size follows the postings, not only the documents."""
+    monkeypatch.setattr(postings, "SHARD_ENTRIES", 500)
+    entries = built.doc_terms.agg(F.sum(F.size("terms"))).first()[0]
+    blocks = postings.build_blocks(built.doc_terms, 900, entries)
+    largest = blocks.groupBy("shard").agg(F.sum(F.size("ids")).alias("n")).agg(F.max("n")).first()[0]
+    assert postings.shard_count(900, entries) > 1 and largest < 1000
+    got = postings.blocks_topk(batch(spark), blocks, lexical.term_stats(built.doc_terms), 15)
+    assert found(got) == found(lexical.bm25_topk(batch(spark), built.doc_terms, 15))
+
+
+def test_writing_counts_texts_and_cuts_blocks_once(spark, tmp_path, monkeypatch):
+    """Files by ranges of terms come from a sample; statistics come from the postings and equal those of the documents."""
+    monkeypatch.setattr(postings, "FILE_ENTRIES", 900)
+    monkeypatch.setattr(store, "FILE_ENTRIES", 900)
+    counted, cut = spark.sparkContext.accumulator(0), postings.build_blocks
+    seen = []
+    monkeypatch.setattr(store, "build_blocks", lambda *a: seen.append(a[3]) or cut(*a))
+
+    def count(batches):
+        for b in batches:
+            counted.add(b.num_rows)
+            yield b
+
+    index = build_index(records(spark, made(4, 500)))
+    terms = index.doc_terms.mapInArrow(count, index.doc_terms.schema)
+    store.write_index(plans.Index(index.repositories, index.vectors, terms, digests=index.digests), str(tmp_path / "i"))
+    assert counted.value == 500 and len(seen[0]) > 2
+    read = store.read_index(spark, str(tmp_path / "i"))
+    stats = [sorted(map(tuple, s.select("term", "df", "total_len").collect())) for s in (read.term_stats, lexical.term_stats(index.doc_terms))]
+    assert stats[0] == stats[1]
+    files = read.blocks.groupBy(F.input_file_name()).agg(F.min("term").alias("low"), F.max("term").alias("high")).orderBy("low").collect()
+    assert len(files) > 2 and all(a["high"] <= b["low"] for a, b in zip(files, files[1:]))
