@@ -633,7 +633,7 @@ def index_refresh(spark: SparkSession, sf: str) -> DataFrame:
 @register
 def page_cursor(spark: SparkSession, sf: str) -> DataFrame:
     """Four pages of sixty rows, each continued behind the last row of the one before."""
-    queries, found, pages = views.query_batch(spark, sf), views.doc_index(spark, sf), []
+    queries, found, pages = views.query_batch(spark, sf), index_plans.settled(views.doc_index(spark, sf)), []
     for mode in ("semantic", "lexical"):
         after = None
         for k in range(4):

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from corvane.functions.vectors import embed_hashed
 from corvane.operators.curate import payload
-from corvane.operators.lexical import count_terms, doc_tokens
+from corvane.operators.lexical import count_terms, doc_tokens, term_stats
 from corvane.plans.search import Index
+from corvane.session import materialise
 
 # Columns the index tables carry beside their own, so that filters reach their scans.
 FILTERS = ["primary_language", "stars"]
@@ -32,6 +34,14 @@ def with_digest(curated: DataFrame) -> DataFrame:
     return curated.withColumn("digest", F.xxhash64(*sorted(c for c in curated.columns if c != "digest")))
 
 
+def settled(index: Index) -> Index:
+    """``index`` with its vectors, counted terms and statistics written to the shared folder once, for many searches."""
+    terms = index.doc_terms if "tfs" in index.doc_terms.columns else count_terms(index.doc_terms)
+    terms = materialise(terms, "doc-terms")
+    stats = materialise(term_stats(terms) if index.term_stats is None else index.term_stats, "term-stats")
+    return replace(index, vectors=materialise(index.vectors, "vectors"), doc_terms=terms, term_stats=stats)
+
+
 def index_rows(index: Index) -> DataFrame:
     """Per id: vector width, distinct terms and text length, joined on id."""
     return (

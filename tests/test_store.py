@@ -247,3 +247,12 @@ def test_writing_counts_texts_and_cuts_blocks_once(spark, tmp_path, monkeypatch)
     assert stats[0] == stats[1]
     files = read.blocks.groupBy(F.input_file_name()).agg(F.min("term").alias("low"), F.max("term").alias("high")).orderBy("low").collect()
     assert len(files) > 2 and all(a["high"] <= b["low"] for a, b in zip(files, files[1:]))
+
+
+def test_pages_read_tables_that_are_written_once(spark, built):
+    from corvane.plans.index import settled
+
+    index = settled(plans.Index(built.repositories, built.vectors, lexical.doc_tokens(records(spark, made(1, 900)).selectExpr("id", "synthesized_text as text"))))
+    assert all("MapInArrow" not in t._jdf.queryExecution().executedPlan().toString() for t in (index.doc_terms, index.term_stats, index.vectors))
+    got, want = (found(plans.page_after(batch(spark), i, None, "lexical", limit=20)) for i in (index, built))
+    assert got == want and got
