@@ -111,7 +111,9 @@ def suspects(docs: DataFrame, min_chars: int, sized: bool = False) -> DataFrame:
 
     rows = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text")
     schema = "doc_id bigint, mark binary, key binary" + ", size bigint" * sized
-    return materialise(arrow_map(rows, emit, schema), "suspects")
+    found = materialise(arrow_map(rows, emit, schema), "suspects")
+    held.destroy()
+    return found
 
 
 def repeated_lines(found: DataFrame, min_docs: int) -> DataFrame:
