@@ -175,11 +175,11 @@ def components(edges: DataFrame) -> DataFrame:
 
     Alternating large-star and small-star rounds: every round is one aggregate and one join over the
     edges, written to the shared folder, and a chain halves with every round. The least neighbour
-    comes from a partial aggregate, so a node with many links sends one row per task.
+    comes from a partial aggregate, so a node with many links sends one row per task. Edges are narrow:
+    a task goes through several of their partitions, one after another.
     """
-    spark = edges.sparkSession
     flat = edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u <> v").distinct()
-    flat = materialise(flat, "links")
+    flat = materialise(builders(flat), "links")
     state = None
     while True:
         mark = flat.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
@@ -187,13 +187,13 @@ def components(edges: DataFrame) -> DataFrame:
             break
         state = tuple(mark)
         both = flat.unionByName(flat.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
+        least = builders(both.groupBy("u").agg(F.min("v").alias("m"))).select("u", F.least("u", "m").alias("m"))
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
-        large = large.distinct()
-        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        large = builders(large.distinct())
+        least = builders(large.groupBy("u").agg(F.min("v").alias("m")))
         small = large.join(least, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         small = small.unionByName(least.select("u", F.col("m").alias("v"))).where("u <> v").distinct()
-        flat = materialise(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")), "links")
+        flat = materialise(builders(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))), "links")
     children = flat.select(F.col("u").alias("node"), F.col("v").alias("label"))
     roots = flat.select(F.col("v").alias("node"), F.col("v").alias("label")).distinct()
     return children.unionByName(roots)

@@ -37,7 +37,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.llm.common import U64, SeenTwice, arrow_map, components, filter_bits, key_filter, mix, squeezed, unit_starts, unused, whole_units
+from corvane.llm.common import U64, SeenTwice, arrow_map, builders, components, filter_bits, key_filter, mix, squeezed, unit_starts, unused, whole_units
 from corvane.llm.ngrams import all_shingles, set_id, shingle_sets
 from corvane.session import materialise
 
@@ -53,6 +53,8 @@ FOLD = 8
 #: The low bits of a key number the shares of a common shingle's bucket (0: not shared out); aimed-at rows of a share.
 SHARE_BITS = 16
 SHARE_ROWS = 50_000
+#: The low bits of a posting's place in its bucket hold its place in the prefix.
+POS_BITS = 31
 #: Nodes of a tile where all of a bucket are compared, and pairs looked at together.
 TILE = 1024
 BLOCK = 1 << 18
@@ -81,32 +83,60 @@ def scaled(counts: np.ndarray) -> np.ndarray:
     return np.minimum(np.rint(SCALE * np.log2(1.0 + counts)), 255).astype(np.uint8)
 
 
+class ShingleCounts:
+    """A task's counters by the upper bits of the hash: 16 bits each, and what goes beyond them beside the table."""
+
+    HALF = 1 << 15
+
+    def __init__(self):
+        self.table = np.zeros(1 << COUNTER_BITS, np.uint16)
+        self.over: dict[int, int] = {}
+
+    def add(self, shingles: np.ndarray) -> None:
+        for low in range(0, len(shingles), self.HALF):
+            at = shingles[low : low + self.HALF] >> U64(64 - COUNTER_BITS)
+            np.add.at(self.table, at, 1)
+            full = np.unique(at[self.table[at] >= self.HALF])
+            self.table[full] -= np.uint16(self.HALF)
+            for place in full.tolist():
+                self.over[place] = self.over.get(place, 0) + self.HALF
+
+    def rows(self) -> Iterator[tuple[int, bytes]]:
+        beyond = np.array(sorted(self.over.items()), np.int64).reshape(-1, 2)
+        for low in range(0, len(self.table), COUNTER_SEGMENT):
+            part = self.table[low : low + COUNTER_SEGMENT].astype(np.uint32)
+            own = beyond[np.searchsorted(beyond[:, 0], low) : np.searchsorted(beyond[:, 0], low + COUNTER_SEGMENT)]
+            part[own[:, 0] - low] += own[:, 1].astype(np.uint32)
+            if part.any():
+                yield low // COUNTER_SEGMENT, squeezed(part)
+
+
 SETS = "doc_id bigint, n bigint, node binary, segment int, counts binary"
 
 
 def named_sets(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, node) of every document, and rows of each task's counters (segment, counts), written once."""
-    shift = U64(64 - COUNTER_BITS)
+    """(doc_id, n, node) of every document, and rows of each task's counters (segment, counts), written once.
+
+    The tasks are as many as the cores, so what their counters take on disk does not grow with the documents.
+    """
     kinds = [pa.int64(), pa.int64(), pa.binary(), pa.int32(), pa.binary()]
     schema = pa.schema([pa.field(c.split()[0], k) for c, k in zip(SETS.split(", "), kinds)])
 
     def read(batches):
-        table = np.zeros(1 << COUNTER_BITS, np.uint32)
+        counts = ShingleCounts()
         for batch in batches:
             own = shingle_sets(batch.column("text"))
             if own:
-                np.add.at(table, np.concatenate(own) >> shift, 1)
+                counts.add(np.concatenate(own))
             nodes = pa.array([set_id(s) if len(s) else None for s in own], pa.binary())
             arrays = [batch.column("doc_id"), pa.array([len(s) for s in own], pa.int64()), nodes]
             yield pa.RecordBatch.from_arrays([*arrays, *(pa.nulls(len(own), k) for k in kinds[3:])], schema=schema)
-        for at in range(0, len(table), COUNTER_SEGMENT):
-            part = table[at : at + COUNTER_SEGMENT]
-            if part.any():
-                arrays = [pa.nulls(1, k) for k in kinds[:3]]
-                arrays += [pa.array([at // COUNTER_SEGMENT], pa.int32()), pa.array([squeezed(part)], pa.binary())]
-                yield pa.RecordBatch.from_arrays(arrays, schema=schema)
+        for segment, part in counts.rows():
+            arrays = [pa.nulls(1, k) for k in kinds[:3]]
+            arrays += [pa.array([segment], pa.int32()), pa.array([part], pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, schema=schema)
 
-    return materialise(arrow_map(docs.select(F.col("doc_id").cast("bigint"), "text"), read, SETS), "sets")
+    return materialise(arrow_map(builders(docs.select(F.col("doc_id").cast("bigint"), "text")), read, SETS), "sets")
 
 
 def shingle_counters(sets: DataFrame) -> np.ndarray:
@@ -118,7 +148,7 @@ def shingle_counters(sets: DataFrame) -> np.ndarray:
 
     table = np.zeros(1 << COUNTER_BITS, np.uint8)
     parts = sets.where("segment is not null").select("segment", "counts")
-    for row in parts.groupBy("segment").applyInPandas(total, "segment int, counts binary").toLocalIterator():
+    for row in parts.groupBy("segment").applyInPandas(total, "segment int, counts binary").collect():
         at = row["segment"] * COUNTER_SEGMENT
         own = np.frombuffer(zlib.decompress(row["counts"]), np.uint8)
         table[at : at + len(own)] = own
@@ -126,9 +156,15 @@ def shingle_counters(sets: DataFrame) -> np.ndarray:
 
 
 def part_counts(shingles: np.ndarray) -> bytes | None:
-    """How many of a set lie in each partition, one byte each; None if one holds more than a byte tells."""
+    """How many of a set lie in each partition, one byte each, compressed; None if one holds more than a byte tells."""
     parts = np.bincount((shingles >> U64(7)) & U64(PARTS - 1), minlength=PARTS)
-    return parts.astype(np.uint8).tobytes() if parts.max() < 256 else None
+    return squeezed(parts.astype(np.uint8)) if parts.max() < 256 else None
+
+
+def part_table(parts: list[bytes | None]) -> np.ndarray:
+    """One row of counts for each set; zeros where they are not known."""
+    rows = [zlib.decompress(p) if p else bytes(PARTS) for p in parts]
+    return np.frombuffer(b"".join(rows), np.uint8).reshape(-1, PARTS)
 
 
 def node_table(docs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
@@ -165,8 +201,11 @@ def node_table(docs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
 
 
 def postings(nodes: DataFrame, threshold: int) -> DataFrame:
-    """(key, late, num, pos) of every prefix shingle; ``late`` orders a bucket: first those that can lead off a
-    linked pair (their place can be the first common one with a set of their size or more), by set size."""
+    """(key, place, num) of every prefix shingle; ``place`` orders a bucket: first those that can lead off a
+    linked pair (their place can be the first common one with a set of their size or more), by set size.
+
+    It holds, from the upper bits down, whether the posting comes late, the size and the place in the prefix.
+    """
 
     def post(batches):
         for batch in batches:
@@ -176,22 +215,22 @@ def postings(nodes: DataFrame, threshold: int) -> DataFrame:
             sizes = np.array([len(k) for k in keys])
             pos = np.concatenate([np.arange(s) for s in sizes])
             n = np.repeat(batch.column("n").to_numpy(), sizes)
-            late = (n - pos < least_overlap(n, n, threshold)).astype(np.int64) << 32 | n
-            arrays = [np.concatenate(keys), late, np.repeat(batch.column("num").to_numpy(), sizes), pos.astype(np.int32)]
-            yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["key", "late", "num", "pos"])
+            late = (n - pos < least_overlap(n, n, threshold)).astype(np.int64)
+            arrays = [np.concatenate(keys), late << 62 | n << POS_BITS | pos, np.repeat(batch.column("num").to_numpy(), sizes)]
+            yield pa.RecordBatch.from_arrays([pa.array(a) for a in arrays], ["key", "place", "num"])
 
-    return arrow_map(nodes.select("num", "n", "keys"), post, "key bigint, late bigint, num bigint, pos int")
+    return arrow_map(nodes.select("num", "n", "keys"), post, "key bigint, place bigint, num bigint")
 
 
 def first_round(nodes: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]:
     """Pairs (u, v) of every bucket's first node with its members, and the postings of buckets that stay open."""
-    rows = postings(nodes, threshold).repartition("key").sortWithinPartitions("key", "late", "num")
+    rows = postings(nodes, threshold).repartition("key").sortWithinPartitions("key", "place", "num")
     names, kinds = ["u", "v", "key", "num", "n", "pos"], [pa.int64()] * 4 + [pa.int32()] * 2
 
     def stars(batches):
         for part in whole_units(batches, ["key"]):
-            key, late, num, pos = (part.column(c).to_numpy() for c in ("key", "late", "num", "pos"))
-            n, late, pos = late & ((1 << 32) - 1), late >> 32, pos.astype(np.int64)
+            key, place, num = (part.column(c).to_numpy() for c in ("key", "place", "num"))
+            late, n, pos = place >> 62, place >> POS_BITS & ((1 << (62 - POS_BITS)) - 1), place & ((1 << POS_BITS) - 1)
             new = np.ones(len(key), bool)
             new[1:] = key[1:] != key[:-1]
             starts = np.flatnonzero(new)
@@ -214,7 +253,7 @@ def first_round(nodes: DataFrame, threshold: int) -> tuple[DataFrame, DataFrame]
                 yield pa.RecordBatch.from_arrays([*none, *map(pa.array, values)], names)
 
     found = materialise(arrow_map(rows, stars, "u bigint, v bigint, key bigint, num bigint, n int, pos int", 1 << 16), "buckets")
-    pairs = found.where("u is not null").select("u", "v").distinct()
+    pairs = builders(found.where("u is not null").select("u", "v").distinct())
     return pairs, found.where("key is not null").select(F.col("key").alias("shingle"), "num", "n", "pos")
 
 
@@ -222,7 +261,7 @@ def mixed_buckets(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """Postings with their ``label`` in buckets that hold more than one component."""
     own = rows.select("shingle", "num", "n", "pos").join(labels, "num", "left").withColumn("label", F.coalesce("label", "num"))
     ends = own.groupBy("shingle").agg(F.min("label").alias("low"), F.max("label").alias("high"))
-    return materialise(own.join(ends.where("low <> high").select("shingle"), "shingle", "left_semi"), "mixed")
+    return materialise(builders(own.join(ends.where("low <> high").select("shingle"), "shingle", "left_semi")), "mixed")
 
 
 def overlap_bound(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -252,7 +291,7 @@ def joining_pairs(mixed: DataFrame, nodes: DataFrame, failed: DataFrame, thresho
     def candidates(part) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         tile, a, b, num, n, pos, label = (part.column(c).to_numpy().astype(np.int64) for c in ("tile", "a", "b", "num", "n", "pos", "label"))
         known = part.column("parts").to_pylist()
-        parts = np.frombuffer(b"".join(p or bytes(PARTS) for p in known), np.uint8).reshape(-1, PARTS)
+        parts = part_table(known)
         unknown = np.array([p is None for p in known])
         folded = parts.reshape(len(parts), -1, FOLD).sum(axis=2, dtype=np.uint16)
         not_linked = {(x, y) for x, own in zip(num.tolist(), part.column("apart").to_pylist()) for y in own or ()}
@@ -298,7 +337,7 @@ def joining_pairs(mixed: DataFrame, nodes: DataFrame, failed: DataFrame, thresho
             u, v = zip(*pairs) if pairs else ((), ())
             yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], ["u", "v"])
 
-    return arrow_map(rows, compare, "u bigint, v bigint").distinct()
+    return builders(arrow_map(rows, compare, "u bigint, v bigint").distinct())
 
 
 def suffix_filter(pairs: DataFrame, nodes: DataFrame, threshold: int) -> DataFrame:
@@ -309,7 +348,7 @@ def suffix_filter(pairs: DataFrame, nodes: DataFrame, threshold: int) -> DataFra
             if not batch.num_rows:
                 continue
             sides = [batch.column(c) for c in ("parts_u", "parts_v")]
-            a, b = (np.frombuffer(b"".join(p or bytes(PARTS) for p in s.to_pylist()), np.uint8).reshape(-1, PARTS) for s in sides)
+            a, b = (part_table(s.to_pylist()) for s in sides)
             unknown = np.logical_or(*(s.is_null().to_numpy(zero_copy_only=False) for s in sides))
             n, m = (batch.column(c).to_numpy() for c in ("n_u", "n_v"))
             likely = unknown | (overlap_bound(a, b) >= least_overlap(n, m, threshold))
@@ -319,16 +358,19 @@ def suffix_filter(pairs: DataFrame, nodes: DataFrame, threshold: int) -> DataFra
         return nodes.select(F.col("num").alias(name), F.col("parts").alias(f"parts_{name}"), F.col("n").alias(f"n_{name}"))
 
     full = pairs.join(side("v"), "v").join(side("u"), "u")
-    return arrow_map(full.select("u", "v", "n_u", "n_v", "parts_u", "parts_v"), keep, "u bigint, v bigint")
+    return builders(arrow_map(full.select("u", "v", "n_u", "n_v", "parts_u", "parts_v"), keep, "u bigint, v bigint"))
 
 
 def node_sets(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
-    """(num, shingles) of every node in ``pairs``, read again from one document of each."""
+    """(num, leads, shingles) of every node in ``pairs``, read again from one document of each; ``leads``: it is a u."""
     spark = docs.sparkSession
-    named = pairs.select(F.col("u").alias("num")).unionByName(pairs.select(F.col("v").alias("num"))).distinct()
-    wanted = materialise(named.join(nodes, "num").select("num", "node", "doc_id"), "wanted")
+    named = pairs.select(F.col("u").alias("num"), F.lit(True).alias("leads"))
+    named = named.unionByName(pairs.select(F.col("v").alias("num"), F.lit(False).alias("leads")))
+    named = named.groupBy("num").agg(F.max("leads").alias("leads"))
+    wanted = materialise(builders(named.join(nodes, "num").select("num", "node", "doc_id", "leads")), "wanted")
     ids = wanted.select("doc_id").where("doc_id is not null")
-    log2_bits = filter_bits(ids.count(), 26)
+    # 16 bits a key: every document that the filter lets through by mistake is shuffled with its set.
+    log2_bits = filter_bits(2 * ids.count(), 26)
     held = spark.sparkContext.broadcast(key_filter(ids, log2_bits))
 
     def fetch(batches):
@@ -342,10 +384,10 @@ def node_sets(docs: DataFrame, nodes: DataFrame, pairs: DataFrame) -> DataFrame:
             arrays = [pa.array([set_id(s) for s in own], pa.binary()), pa.array([s.tobytes() for s in own], pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, ["node", "shingles"])
 
-    # A narrow join: the sets of copies come as often as the filter lets them through, and one stays.
+    # Sets are shuffled once, by name: copies come as often as the filter lets them through, and one stays for the join.
     read = arrow_map(docs.select(F.col("doc_id").cast("bigint"), "text"), fetch, "node binary, shingles binary")
-    read = read.join(wanted.select("num", "node"), "node").groupBy("num").agg(F.any_value("shingles").alias("shingles"))
-    full = materialise(read, "fetched")
+    read = read.groupBy("node").agg(F.any_value("shingles").alias("shingles"))
+    full = materialise(read.join(wanted.select("num", "node", "leads"), "node").select("num", "leads", "shingles"), "fetched")
     held.destroy()
     return full
 
@@ -363,8 +405,8 @@ def verify(pairs: DataFrame, full: DataFrame, threshold: int) -> DataFrame:
             yield batch.filter(pa.array(linked, pa.bool_())).select(["u", "v"])
 
     both = pairs.join(full.select(F.col("num").alias("v"), F.col("shingles").alias("set_v")), "v")
-    both = both.join(full.select(F.col("num").alias("u"), F.col("shingles").alias("set_u")), "u")
-    return arrow_map(both.select("u", "v", "set_u", "set_v"), decide, "u bigint, v bigint")
+    both = both.join(full.where("leads").select(F.col("num").alias("u"), F.col("shingles").alias("set_u")), "u")
+    return builders(arrow_map(both.select("u", "v", "set_u", "set_v"), decide, "u bigint, v bigint"))
 
 
 def ngram_links(docs: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFrame, DataFrame, DataFrame]:
@@ -390,11 +432,12 @@ def ngram_links(docs: DataFrame, threshold: int = THRESHOLD) -> tuple[DataFrame,
         likely = pairs if turn else materialise(suffix_filter(pairs, nodes, threshold), "likely")
         linked = materialise(verify(likely, node_sets(docs, nodes, likely), threshold), "linked")
         if not linked.isEmpty():
-            found = found.unionByName(linked)
-            labels = materialise(components(found).withColumnRenamed("node", "num"), "labels")
+            # The labels so far are stars over the components, which say the same as all earlier links.
+            found = labels.select(F.col("num").alias("u"), F.col("label").alias("v")).unionByName(linked)
+            labels = materialise(builders(components(found).withColumnRenamed("node", "num")), "labels")
         if turn > ROUNDS:
             break
-        failed = materialise(failed.unionByName(likely.join(linked, ["u", "v"], "left_anti")), "failed")
+        failed = materialise(builders(failed.unionByName(likely.join(linked, ["u", "v"], "left_anti"))), "failed")
         turn += 1
     return members, nodes, labels
 
@@ -438,9 +481,9 @@ def keep_one(docs: DataFrame, threshold: int = THRESHOLD) -> DataFrame:
     """
     found = node_components(docs.select("doc_id", "text"), threshold)
     found = materialise(found.select("doc_id", "node", (F.col("doc_id") != F.col("component_id")).alias("goes")), "members")
-    gone = materialise(found.where("goes").select("doc_id", "node").distinct(), "gone")
+    gone = materialise(builders(found.where("goes").select("doc_id", "node").distinct()), "gone")
     ids = gone.select("doc_id").distinct()
-    both = materialise(found.where("not goes").select("doc_id").distinct().join(ids, "doc_id", "left_semi"), "both")
+    both = materialise(builders(found.where("not goes").select("doc_id").distinct().join(ids, "doc_id", "left_semi")), "both")
     kept = docs.join(ids, "doc_id", "left_anti")
     if both.isEmpty():
         return kept

@@ -5,10 +5,12 @@ import random
 import re
 import zlib
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from corvane.llm import line_dedup, ngram_join, queries, sharding, spotsigs
+from corvane.llm import common, line_dedup, ngram_join, queries, sharding, spotsigs
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -209,3 +211,47 @@ def test_shards(spark):
         hot = sum(r.source == "hot" for r in own)
         assert abs(hot - len(own) * 670 / 1004) <= 2
     assert all(r.text_crc32 == zlib.crc32(("é" * (r.doc_id % 9) if r.doc_id != 4 else "").encode()) for r in found)
+
+
+def test_counters_follow_the_cores_not_the_partitions(spark):
+    """Each task sends one table of counters, so a table of many small files must not mean many of them."""
+    cores = spark.sparkContext.defaultParallelism
+    rows = [(i, " ".join(f"w{i * 7 + k}" for k in range(9))) for i in range(300)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(5 * cores)
+    sets = ngram_join.named_sets(docs)
+    assert sets.where("segment is null").count() == len(rows)
+    assert sets.where("segment is not null").groupBy("segment").count().agg(F.max("count")).first()[0] <= cores
+
+
+def test_counts_beyond_sixteen_bits():
+    counts = ngram_join.ShingleCounts()
+    common, rare = np.uint64(5 << 40), np.uint64((1 << 64) - 1)
+    for _ in range(3):
+        counts.add(np.concatenate([np.full(70_000, common), [rare]]))
+    found = {s: np.frombuffer(zlib.decompress(c), np.uint32) for s, c in counts.rows()}
+    assert set(found) == {0, 255}
+    assert (found[0][5], found[0].sum()) == (210_000, 210_000)
+    assert (found[255][-1], found[255].sum()) == (3, 3)
+
+
+def test_edges_take_few_files(spark):
+    """Components of a chain and a star, by few tasks whatever the number of partitions."""
+    cores = spark.sparkContext.defaultParallelism
+    edges = [(i, i + 1) for i in range(60)] + [(100, i) for i in range(101, 160)]
+    wide = spark.newSession()
+    wide.conf.set("spark.sql.shuffle.partitions", 5 * cores)
+    wide.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    labels = common.components(wide.createDataFrame(edges, "u bigint, v bigint").repartition(5 * cores))
+    assert {r.node: r.label for r in labels.collect()} == {**dict.fromkeys(range(61), 0), **dict.fromkeys(range(100, 160), 100)}
+    assert len({f.rsplit("/", 1)[-1] for f in labels.inputFiles()}) <= cores
+
+
+def test_a_worker_gives_memory_back(monkeypatch):
+    class Rows:
+        def mapInArrow(self, fn, schema):
+            return list(fn(iter([pa.RecordBatch.from_arrays([pa.array(range(600))], ["n"])])))
+
+    seen = []
+    monkeypatch.setattr(common, "give_back", lambda: seen.append(True))
+    assert [b.num_rows for b in common.arrow_map(Rows(), lambda batches: batches, "n bigint")] == [256, 256, 88]
+    assert seen == [True]
