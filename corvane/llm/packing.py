@@ -29,8 +29,8 @@ from corvane.session import materialise
 
 CAPACITY = 4096
 END_ID = 1
-#: Words whose ids a worker remembers; then it starts afresh.
-REMEMBERED = 1_000_000
+#: Words of each of the two generations whose ids a task remembers; the older goes when the younger is full.
+REMEMBERED = 100_000
 LONGEST_REMEMBERED = 64
 #: Rules (48 bytes each) that are broadcast.
 BROADCAST_RULES = 200_000
@@ -46,8 +46,21 @@ class _Words(dict):
 
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
+        self.model = self.tokenizer.model
+        self.older: dict[str, bytes] = {}
 
     def __missing__(self, word: str) -> bytes:
+        own = self.older.get(word)
+        if own is None:
+            own = self.encode(word)
+        if len(word) <= LONGEST_REMEMBERED:
+            if len(self) >= REMEMBERED:
+                self.older = dict(self)
+                self.clear()
+            self[word] = own
+        return own
+
+    def encode(self, word: str) -> bytes:
         # The normalizer lower-cases, and a sign after a letter of ASCII starts a new word (other letters may
         # end in a mark, which the sign would join). Strings of special tokens are left to the tokenizer.
         if "<|" not in word:
@@ -57,13 +70,15 @@ class _Words(dict):
                     return self[low]
             if word[-1:] in (".", ",") and word[-2:-1].isascii() and word[-2:-1].isalpha():
                 return self[word[:-1]] + self[word[-1]]
+            if word.isascii() and word.isalpha():
+                # Small letters of ASCII alone pass the normalizer unchanged and are one match of the pattern.
+                return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(word)])
         ids = self.tokenizer.encode(word, add_special_tokens=False).ids if word else []
-        own = b"".join(i.to_bytes(4, "little") for i in ids)
-        if len(word) <= LONGEST_REMEMBERED:
-            if len(self) >= REMEMBERED:
-                self.clear()
-            self[word] = own
-        return own
+        return b"".join([i.to_bytes(4, "little") for i in ids])
+
+    def forget(self) -> None:
+        self.clear()
+        self.older = {}
 
 
 def token_bytes(text: str | None, path: str, end_id: int = END_ID) -> bytes:
@@ -83,16 +98,21 @@ def token_pieces(
     kinds = [pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64()] + [pa.binary()] * with_ids
 
     def cut(batches):
-        for batch in batches:
-            rows = []
-            for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                ids = token_bytes(text, tokenizer, end_id)
-                for i in range(0, len(ids), 4 * capacity):
-                    own = ids[i : i + 4 * capacity]
-                    row = (doc_id, i // (4 * capacity), i // 4, len(own) // 4, zlib.crc32(own))
-                    rows.append((*row, own) if with_ids else row)
-            columns = list(zip(*rows)) or [()] * len(names)
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+        try:
+            for batch in batches:
+                rows = []
+                for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
+                    ids = token_bytes(text, tokenizer, end_id)
+                    for i in range(0, len(ids), 4 * capacity):
+                        own = ids[i : i + 4 * capacity]
+                        row = (doc_id, i // (4 * capacity), i // 4, len(own) // 4, zlib.crc32(own))
+                        rows.append((*row, own) if with_ids else row)
+                columns = list(zip(*rows)) or [()] * len(names)
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
+        finally:
+            # Idle workers stay beside the busy ones: they keep the tokenizer, not the words.
+            if tokenizer in _encoders:
+                _encoders[tokenizer].forget()
 
     schema = "doc_id bigint, piece int, start bigint, length bigint, ids_crc32 bigint" + ", ids binary" * with_ids
     return arrow_map(docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text"), cut, schema)

@@ -8,6 +8,7 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
@@ -188,6 +189,28 @@ def test_packing_is_exact_and_gapless(spark):
     assert max(ends.values()) <= 512
 
 
+def test_words_remembered_are_bounded_and_forgotten(spark, monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain = Tokenizer.from_file(path)
+    monkeypatch.setattr(packing, "REMEMBERED", 100)
+    rng = np.random.default_rng(3)
+    letters = list("abcdeinorstxz") * 6 + list("AEé'.,0#$")
+    texts = [" ".join("".join(rng.choice(letters, rng.integers(1, 9))) for _ in range(40)) for _ in range(60)]
+    monkeypatch.setattr(packing, "arrow_map", lambda df, fn, schema: fn)
+    monkeypatch.setattr(packing, "_encoders", {})
+    cut = packing.token_pieces(frame(spark, texts), path, with_ids=True)
+    batch = pa.RecordBatch.from_arrays([pa.array(range(60), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    held = []
+    for out in cut(batch.slice(i, 10) for i in range(0, 60, 10)):
+        words = packing._encoders[path]
+        held.append(len(words) + len(words.older))
+        for doc_id, ids in zip(out.column("doc_id").to_pylist(), out.column("ids").to_pylist()):
+            assert ids == np.array([*plain.encode(texts[doc_id], add_special_tokens=False).ids, 1], "<u4").tobytes()
+    assert 0 < max(held) <= 200
+    # The worker stays with Spark after the task; the words do not.
+    assert not words and not words.older
+
+
 def test_all_letters_before_signs_equal_the_plain_tokenizer():
     path = public_tokenizers.path("word_bpe_49k.json")
     plain = Tokenizer.from_file(path)
