@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import math
 import re
+import string
 from collections import Counter
 from dataclasses import dataclass
 
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from corvane.llm.common import arrow_map, unused
+from corvane.llm.common import arrow_map, unused, utf8
 from corvane.session import materialise
 
 #: Most labelled documents that are learned from, and most entries of the lexicon.
@@ -36,9 +37,14 @@ LEAST_COUNT = 3
 LEAST_WEIGHT = 1.5
 TREES, DEPTH = 24, 4
 REJECT = 0.7
-BEGINNINGS = (4, 5, 6)
+BEGINNINGS = (4, 5, 6)  # ascending
+#: Words that a task remembers; then it starts afresh.
+REMEMBERED = 300_000
 
 _WORD = re.compile(r"[^\x20\x09-\x0D]+")
+_STRETCHED = re.compile(r"(.)\1\1", re.DOTALL)
+_WIDE = re.compile(r"[^\x00-\x7F]")
+_CAPITALS = string.ascii_uppercase.encode()
 _EDGE = "\"'.,;:!?()[]{}<>|/\\-–—…«»¿¡"
 # Signs that stand for letters, and words that address the reader.
 _DISGUISE = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s"})
@@ -67,51 +73,84 @@ def terms_of(word: str) -> list[str]:
 
 def word_weight(word: str, lexicon: dict[str, float]) -> float:
     own = lexicon.get(word)
-    return own if own is not None else max((lexicon.get(word[:n] + "~", 0.0) for n in BEGINNINGS if len(word) > n), default=0.0)
-
-
-def features(text: str | None, lexicon: dict[str, float], remembered: dict[str, tuple[str, float]]) -> list[float]:
-    """The values of ``FEATURES`` for the whole text."""
+    if own is not None:
+        return own
+    most = None
+    for n in BEGINNINGS:
+        if len(word) <= n:
+            break
+        own = lexicon.get(word[:n] + "~", 0.0)
+        if most is None or own > most:
+            most = own
+    return most or 0.0
+
+
+def word_facts(word: str, lexicon: dict[str, float]) -> tuple | None:
+    """What ``features`` takes of a word: (weight, disguised, second person, masked, mixed, shouted, stretched).
+
+    None where all of them are nothing, as for most words.
+    """
+    plain = plain_word(word)
+    weight = word_weight(plain, lexicon)
+    disguised = masked = mixed = shouted = stretched = False
+    if not word.isalpha():
+        core = word.strip(_EDGE)
+        disguised = bool(weight) and not core.isalpha()
+        masked = "*" in core and not core.isalnum()
+        mixed = any(map(str.isdigit, core)) and any(map(str.isalpha, core))
+    if len(word) > 2:
+        shouted = word.isupper()
+        stretched = _STRETCHED.search(word) is not None
+    facts = (weight, disguised, plain in SECOND_PERSON, masked, mixed, shouted, stretched)
+    return facts if any(facts) else None
+
+
+def capitals(text: str) -> int:
+    """The code points that are upper-case letters."""
+    raw = utf8(text)
+    n = len(raw) - len(raw.translate(None, _CAPITALS))
+    return n if text.isascii() else n + sum(map(str.isupper, _WIDE.findall(text)))
+
+
+def features(text: str | None, lexicon: dict[str, float], remembered: dict[str, tuple | None]) -> list[float]:
+    """The values of ``FEATURES`` for the whole text; ``remembered`` holds the ``word_facts`` of this lexicon."""
     words = _WORD.findall(text or "")
     if not words:
         return [0.0] * len(FEATURES)
     n, counts = len(words), Counter(words)
     hits = weight = disguised = second = shouted = mixed = stretched = masked = 0.0
-    tops, hit_words = [], set()
+    tops, hit_words, second_words = [], set(), set()
     for word, times in counts.items():
-        known = remembered.get(word)
-        if known is None:
-            plain = plain_word(word)
-            known = (plain, word_weight(plain, lexicon))
-            if len(remembered) >= 300_000:
+        facts = remembered.get(word, word)
+        if facts is word:
+            facts = word_facts(word, lexicon)
+            if len(remembered) >= REMEMBERED:
                 remembered.clear()
             if len(word) <= 64:
-                remembered[word] = known
-        plain, own = known
+                remembered[word] = facts
+        if facts is None:
+            continue
+        own, is_disguised, is_second, is_masked, is_mixed, is_shouted, is_stretched = facts
         if own:
             hits += times
             weight += times * own
             tops.append(own)
             hit_words.add(word)
-            disguised += times * (not word.strip(_EDGE).isalpha())
-        if plain in SECOND_PERSON:
+            disguised += times * is_disguised
+        if is_second:
             second += times
-        if not word.isalpha():
-            core = word.strip(_EDGE)
-            if not core.isalnum():
-                masked += times * ("*" in core)
-            mixed += times * (any(c.isdigit() for c in core) and any(c.isalpha() for c in core))
-        if len(word) > 2:
-            shouted += times * word.isupper()
-            stretched += times * any(a == b == c for a, b, c in zip(word, word[1:], word[2:]))
+            second_words.add(word)
+        masked += times * is_masked
+        mixed += times * is_mixed
+        shouted += times * is_shouted
+        stretched += times * is_stretched
     near = 0
     if hits and second:
-        last = -NEAR - 1
-        spots = [(i, w in hit_words) for i, w in enumerate(words) if w in hit_words or plain_word(w) in SECOND_PERSON]
+        spots = [(i, w in hit_words) for i, w in enumerate(words) if w in hit_words or w in second_words]
         for (i, a), (j, b) in zip(spots, spots[1:]):
             near += a != b and j - i <= NEAR
     tops.sort(reverse=True)
-    letters = sum(map(str.isupper, text))
+    letters = capitals(text)
     size = len(text)
     return [
         math.log1p(n), hits / n, hits, weight / n, tops[0] if tops else 0.0, sum(tops[:5]) / 5, float(len(hit_words)), second / n,
@@ -137,7 +176,7 @@ def with_features(docs: DataFrame, lexicon: dict[str, float], name: str = "_feat
     held = docs.sparkSession.sparkContext.broadcast(lexicon)
 
     def run(batches):
-        remembered: dict[str, tuple[str, float]] = {}
+        remembered: dict[str, tuple | None] = {}
         for batch in batches:
             values = [features(t, held.value, remembered) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(values, pa.list_(pa.float64()))], [*names, name])

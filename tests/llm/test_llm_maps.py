@@ -286,6 +286,40 @@ def test_toxicity_learns_and_survives_odd_input(spark):
     assert {r.score for r in toxicity.score_documents(docs, empty).collect()} == {0.0}
 
 
+def test_toxicity_looks_at_a_word_once(monkeypatch):
+    calls = []
+    plain_word = toxicity.plain_word
+    monkeypatch.setattr(toxicity, "plain_word", lambda w: calls.append(w) or plain_word(w))
+    lexicon, remembered = {"grobli": 2.0, "snar~": 1.5}, {}
+    texts = ["you GROBLI snarfo! the green river", "the green green river, you gr0bli", "YOU the snarfo!"] * 20
+    found = [toxicity.features(t, lexicon, remembered) for t in texts]
+    assert len(calls) == len({w for t in texts for w in t.split()})
+    own = dict(zip(toxicity.FEATURES, found[0]))
+    assert (own["hits"], own["weight_density"], own["shouted_share"], own["hits_near_second"]) == (2.0, 3.5 / 6, 1 / 6, 1.0)
+
+
+def test_toxicity_features_of_odd_words():
+    lexicon = {"grobli": 2.0, "é": 1.5, "abcd~": 3.0}
+    words = ["gr0bli", "g*robli", "***", "heyyy", "ÉTÉ", "é", "x²y", "a1", "٠a", "you!", "tU", "İİİ", "aAa", "11", "\x1c", "abcdef", "ok-ok", "ÀB"]
+    rng = np.random.default_rng(5)
+    remembered = {}
+    for _ in range(50):
+        own = rng.choice(words, rng.integers(1, 30)).tolist()
+        text = "\u3000 \n".join(own)
+        own, plain = re.findall(r"[^\x20\x09-\x0D]+", text), toxicity.plain_word
+        cores = [w.strip(toxicity._EDGE) for w in own]
+        weights = [toxicity.word_weight(plain(w), lexicon) for w in own]
+        f = dict(zip(toxicity.FEATURES, toxicity.features(text, lexicon, remembered)))
+        assert f["hits"] == sum(w > 0 for w in weights)
+        assert f["disguised_hits"] == sum(w > 0 and not c.isalpha() for w, c in zip(weights, cores))
+        assert f["second_share"] == sum(plain(w) in toxicity.SECOND_PERSON for w in own) / len(own)
+        assert f["capital_share"] == sum(c.isupper() for c in text) / len(text)
+        assert f["shouted_share"] == sum(len(w) > 2 and w.isupper() for w in own) / len(own)
+        assert f["digit_in_word"] == sum(any(map(str.isdigit, c)) and any(map(str.isalpha, c)) for c in cores) / len(own)
+        assert f["stretched"] == sum(any(a == b == c for a, b, c in zip(w, w[1:], w[2:])) for w in own) / len(own)
+        assert f["masked"] == sum("*" in c and not c.isalnum() for c in cores) / len(own)
+
+
 def test_neighbours_against_brute_force(spark):
     rng = np.random.default_rng(2)
     x = rng.normal(size=(1500, 16)).astype(np.float32)
