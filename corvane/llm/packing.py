@@ -17,10 +17,15 @@ tokenizer has it by default. ``pack`` keeps all columns of its pieces but ``sequ
 from __future__ import annotations
 
 import bisect
+import json
+import re
 import zlib
 from collections import deque
+from collections.abc import Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -32,14 +37,50 @@ END_ID = 1
 #: Words of each of the two generations whose ids a task remembers; the older goes when the younger is full.
 REMEMBERED = 100_000
 LONGEST_REMEMBERED = 64
+#: Bytes of text whose words are told apart at once; a longer text is a block of its own.
+BLOCK_BYTES = 1 << 20
+#: Words of a block that are turned into Python strings at once.
+WORDS_AT_ONCE = 4096
 #: Rules (48 bytes each) that are broadcast.
 BROADCAST_RULES = 200_000
 
+#: Letters that stay one letter each as the normalizer composes and lower-cases, whatever stands beside them:
+#: Latin (not the dotted capital I), Greek (not the capital sigma) and Cyrillic.
+LETTERS = "A-Za-zÀ-ÖØ-öø-įı-ſΆΈ-ΊΌΎ-ΡΤ-ώЀ-ҁ"
+#: Words of these characters and visible ASCII are split here, into what ``PRE_TOKENIZER`` matches; blanks stay apart.
+DIRECT = f"^[!-~{LETTERS}]*$"
+MATCHES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTERS}]+|[0-9]| |[^{LETTERS}0-9 ]+")
+NORMALIZER = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+PRE_TOKENIZER = [
+    {
+        "type": "Split",
+        "pattern": {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"},
+        "behavior": "Removed",
+        "invert": True,
+    },
+    {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False},
+]
+#: Signs of the byte-level alphabet for the bytes that are no visible Latin-1 character: the next ones from U+0100.
+_VISIBLE = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+BYTE_SIGNS = {b: chr(0x100 + i) for i, b in enumerate(sorted(set(range(256)).difference(_VISIBLE)))}
+
+#: Stands between the ids of two words; no id is as large.
+MARK = b"\xff" * 4
+
 _encoders: dict[str, _Words] = {}
 
 
+def _parts(component) -> list | None:
+    """The steps of a tokenizer's normalizer or pre-tokenizer."""
+    found = json.loads(component.__getstate__()) if component else {}
+    return found.get("normalizers") or found.get("pretokenizers")
+
+
 class _Words(dict):
-    """Little-endian 32-bit ids of white-space separated words; words do not influence each other."""
+    """Little-endian 32-bit ids by key: a match of the pre-tokenizer, or a blank and a word for the whole tokenizer.
+
+    The blank alone stands between words: ``MARK``.
+    """
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
@@ -47,47 +88,104 @@ class _Words(dict):
         super().__init__()
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
+        self.splits = _parts(self.tokenizer.normalizer) == NORMALIZER and _parts(self.tokenizer.pre_tokenizer) == PRE_TOKENIZER
+        self.four = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.older: dict[str, bytes] = {}
 
-    def __missing__(self, word: str) -> bytes:
-        own = self.older.get(word)
+    def __missing__(self, key: str) -> bytes:
+        own = self.older.get(key)
         if own is None:
-            own = self.encode(word)
-        if len(word) <= LONGEST_REMEMBERED:
+            own = self.encode(key)
+        if len(key) <= LONGEST_REMEMBERED:
             if len(self) >= REMEMBERED:
                 self.older = dict(self)
                 self.clear()
-            self[word] = own
+            self[key] = own
         return own
 
-    def encode(self, word: str) -> bytes:
-        # The normalizer lower-cases, and a sign after a letter of ASCII starts a new word (other letters may
-        # end in a mark, which the sign would join). Strings of special tokens are left to the tokenizer.
-        if "<|" not in word:
-            if word.isascii():
-                low = word.lower()
-                if low != word:
-                    return self[low]
-            if word[-1:] in (".", ",") and word[-2:-1].isascii() and word[-2:-1].isalpha():
-                return self[word[:-1]] + self[word[-1]]
-            if word.isascii() and word.isalpha():
-                # Small letters of ASCII alone pass the normalizer unchanged and are one match of the pattern.
-                return b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(word)])
-        ids = self.tokenizer.encode(word, add_special_tokens=False).ids if word else []
-        return b"".join([i.to_bytes(4, "little") for i in ids])
+    def encode(self, key: str) -> bytes:
+        if key == " ":
+            return MARK
+        if key[0] == " ":
+            ids = self.tokenizer.encode(key[1:], add_special_tokens=False).ids
+        else:
+            signs = key if key.isascii() else key.encode().decode("latin-1").translate(BYTE_SIGNS)
+            ids = [t.id for t in self.model.tokenize(signs)]
+        return b"".join([self.four[i] for i in ids])
+
+    def ids_of(self, found: pa.Array) -> tuple[bytes, np.ndarray]:
+        """The ids of the words, ``MARK`` after each word, and the words' places in that order.
+
+        Strings of special tokens are looked for before a text is lower-cased: they are left to the tokenizer.
+        """
+        direct = np.zeros(len(found), bool)
+        if self.splits:
+            direct |= pc.match_substring_regex(found, DIRECT).to_numpy(zero_copy_only=False)
+            direct &= ~pc.match_substring(found, "<|").to_numpy(zero_copy_only=False)
+        keys = MATCHES.findall(_joined(found.filter(pa.array(direct))).lower())
+        for word in found.filter(pa.array(~direct)).to_pylist():
+            keys += (" " + word, " ") if word else (" ",)
+        place = np.where(direct, np.cumsum(direct) - 1, direct.sum() + np.cumsum(~direct) - 1)
+        return b"".join(map(self.__getitem__, keys)), place
 
     def forget(self) -> None:
         self.clear()
         self.older = {}
 
 
-def token_bytes(text: str | None, path: str, end_id: int = END_ID) -> bytes:
-    """Ids of the whole text and the end mark, 4 bytes each."""
+def _joined(words: pa.Array) -> str:
+    """The words in one string, a blank after each."""
+    if not len(words):
+        return ""
+    whole = pa.ListArray.from_arrays(pa.array([0, len(words)], pa.int32()), words)
+    return pc.binary_join(whole, pa.scalar(" ", words.type))[0].as_py() + " "
+
+
+def token_ids(texts: pa.Array, path: str, end_id: int = END_ID) -> tuple[np.ndarray, np.ndarray]:
+    """Ids of the whole texts, each with the end mark, one after the other, and where each text's ids stop.
+
+    Words do not influence each other, and equal words of the texts are looked up once.
+    """
     words = _encoders.get(path)
     if words is None:
         words = _encoders[path] = _Words(path)
-    flat = (text or "").replace("\n", " ").replace("\t", " ").replace("\r", " ")
-    return b"".join(map(words.__getitem__, flat.split(" "))) + end_id.to_bytes(4, "little")
+    flat = pc.fill_null(texts, "")
+    for blank in "\n\t\r":
+        flat = pc.replace_substring(flat, blank, " ")
+    split = pc.split_pattern(flat, " ")
+    stops = np.cumsum(pc.list_value_length(split).to_numpy(zero_copy_only=False), dtype=np.int64)
+    found = split.flatten().dictionary_encode()
+    ids, places = [], []
+    for first in range(0, len(found.dictionary), WORDS_AT_ONCE):
+        some, place = words.ids_of(found.dictionary.slice(first, WORDS_AT_ONCE))
+        ids.append(some)
+        places.append(place + first)
+    own = np.frombuffer(b"".join([*ids, end_id.to_bytes(4, "little"), MARK]), "<u4")
+    ends = np.flatnonzero(own == own[-1])
+    starts = np.concatenate([[0], ends[:-1] + 1])
+    # Every text's words and, after them, the end mark: the last of ``own``.
+    which = np.insert(np.concatenate(places).astype(np.int32)[found.indices.to_numpy()], stops, len(ends) - 1)
+    counts = (ends - starts)[which]
+    after = np.cumsum(counts)
+    kind = np.int32 if max(after[-1], len(own)) < 1 << 31 else np.int64
+    at = np.repeat((starts[which] - (after - counts)).astype(kind), counts)
+    at += np.arange(len(at), dtype=kind)
+    return own[at], after[stops + np.arange(len(stops))]
+
+
+def token_bytes(text: str | None, path: str, end_id: int = END_ID) -> bytes:
+    """Ids of the whole text and the end mark, 4 bytes each."""
+    return token_ids(pa.array([text], pa.string()), path, end_id)[0].tobytes()
+
+
+def blocks(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """The rows of ``batches`` in batches of about ``size`` bytes of ``text`` at most, one row at least."""
+    for batch in batches:
+        widths = pc.fill_null(pc.binary_length(batch.column("text")), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        number = (np.cumsum(widths) - widths) // size
+        cuts = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), batch.num_rows]
+        for first, stop in zip(cuts, cuts[1:]):
+            yield batch.slice(first, stop - first)
 
 
 def token_pieces(
@@ -99,14 +197,15 @@ def token_pieces(
 
     def cut(batches):
         try:
-            for batch in batches:
-                rows = []
-                for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist()):
-                    ids = token_bytes(text, tokenizer, end_id)
-                    for i in range(0, len(ids), 4 * capacity):
-                        own = ids[i : i + 4 * capacity]
-                        row = (doc_id, i // (4 * capacity), i // 4, len(own) // 4, zlib.crc32(own))
+            for batch in blocks(batches, BLOCK_BYTES):
+                flat, stops = token_ids(batch.column("text"), tokenizer, end_id)
+                rows, first = [], 0
+                for doc_id, stop in zip(batch.column("doc_id").to_pylist(), stops.tolist()):
+                    for start in range(first, stop, capacity):
+                        own = flat[start : min(start + capacity, stop)].tobytes()
+                        row = (doc_id, (start - first) // capacity, start - first, len(own) // 4, zlib.crc32(own))
                         rows.append((*row, own) if with_ids else row)
+                    first = stop
                 columns = list(zip(*rows)) or [()] * len(names)
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names)
         finally:

@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import json
 import re
 import time
 import zlib
@@ -221,6 +222,57 @@ def test_all_letters_before_signs_equal_the_plain_tokenizer():
         assert packing.token_bytes(text, path) == np.array([*encoded.ids, 1], "<u4").tobytes(), repr(text)
 
 
+def test_words_of_known_letters_go_to_the_model_once_a_block(monkeypatch):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    plain = Tokenizer.from_file(path)
+    known = [chr(c) for c in range(0x21, 0x500) if re.match(packing.DIRECT, chr(c))]
+    assert len(known) > 400 and not {"İ", "Σ", "µ", "×", "·", "\u0301"} & set(known)
+    for c in known:
+        assert plain.normalizer.normalize_str(c) == c.lower() and re.match(packing.DIRECT, c.lower())
+    rng = np.random.default_rng(5)
+    letters = [c for c in known if c != "|"] + list("aeiou'sré.,0<>#É") * 20
+    texts = [" ".join("".join(rng.choice(letters, rng.integers(0, 9))) for _ in range(60)) for _ in range(80)]
+    texts += ["Straße, ÉCOLE!!! мир's Ελλάδα2024. don't WE'LL 'tis\tł" + "ó" * 90, None, "", " "]
+    monkeypatch.setattr(packing, "_encoders", {})
+    packing.token_bytes("", path)
+    words, whole, model = packing._encoders[path], [], []
+
+    class Watched:
+        def encode(self, word, **_):
+            whole.append(word)
+
+        def tokenize(self, signs, own=words.model):
+            model.append(signs)
+            return own.tokenize(signs)
+
+    words.tokenizer = words.model = Watched()
+    ids, stops = packing.token_ids(pa.array(texts * 3, pa.string()), path)
+    assert not whole and len(model) - len(set(model)) <= 3  # keys too long to be remembered
+    for i, own in enumerate(np.split(ids, stops[:-1])):
+        text = texts[i % len(texts)]
+        assert own.tolist() == [*plain.encode(text or "", add_special_tokens=False).ids, 1], repr(text)
+
+
+def test_blocks_keep_all_rows_and_other_tokenizers_their_rules(tmp_path, monkeypatch):
+    texts = [None, "", "a" * 10, "é" * 40, None, "b", "c" * 200, "", "d" * 30]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(9), pa.int64()), pa.array(texts)], ["doc_id", "text"])
+    parts = list(packing.blocks(iter([batch.slice(0, 0), batch, batch.slice(2, 3)]), 50))
+    assert [i for p in parts for i in p.column("doc_id").to_pylist()] == [*range(9), 2, 3, 4]
+    assert max(p.num_rows for p in parts) < 9
+    assert all(sum(len((t or "").encode()) for t in p.column("text").to_pylist()[:-1]) < 50 for p in parts)
+    # Cased letters: words of other rules go through the whole tokenizer.
+    path = public_tokenizers.path("word_bpe_49k.json")
+    rules = json.loads(Tokenizer.from_file(path).to_str())
+    rules["normalizer"]["normalizers"].pop()
+    (tmp_path / "cased.json").write_text(json.dumps(rules))
+    cased = Tokenizer.from_file(str(tmp_path / "cased.json"))
+    for kind in (pa.string(), pa.large_string()):
+        for name, plain in ((str(tmp_path / "cased.json"), cased), (path, Tokenizer.from_file(path))):
+            ids, stops = packing.token_ids(pa.array(ODD, kind).slice(1), name)
+            for text, own in zip(ODD[1:], np.split(ids, stops[:-1])):
+                assert own.tolist() == [*plain.encode(text, add_special_tokens=False).ids, 1], repr(text)
+
+
 @pytest.mark.parametrize("seed", range(4))
 def test_sweep_is_best_fit_decreasing(seed):
     rng = np.random.default_rng(seed)
