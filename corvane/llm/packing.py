@@ -19,6 +19,7 @@ from __future__ import annotations
 import bisect
 import json
 import re
+import struct
 import zlib
 from collections import deque
 from collections.abc import Iterable, Iterator
@@ -89,7 +90,6 @@ class _Words(dict):
         self.tokenizer = Tokenizer.from_file(path)
         self.model = self.tokenizer.model
         self.splits = _parts(self.tokenizer.normalizer) == NORMALIZER and _parts(self.tokenizer.pre_tokenizer) == PRE_TOKENIZER
-        self.four = [i.to_bytes(4, "little") for i in range(self.tokenizer.get_vocab_size())]
         self.older: dict[str, bytes] = {}
 
     def __missing__(self, key: str) -> bytes:
@@ -111,7 +111,7 @@ class _Words(dict):
         else:
             signs = key if key.isascii() else key.encode().decode("latin-1").translate(BYTE_SIGNS)
             ids = [t.id for t in self.model.tokenize(signs)]
-        return b"".join([self.four[i] for i in ids])
+        return struct.pack(f"<{len(ids)}I", *ids)
 
     def ids_of(self, found: pa.Array) -> tuple[bytes, np.ndarray]:
         """The ids of the words, ``MARK`` after each word, and the words' places in that order.
@@ -185,7 +185,8 @@ def blocks(batches: Iterable[pa.RecordBatch], size: int) -> Iterator[pa.RecordBa
         number = (np.cumsum(widths) - widths) // size
         cuts = [0, *(np.flatnonzero(np.diff(number)) + 1).tolist(), batch.num_rows]
         for first, stop in zip(cuts, cuts[1:]):
-            yield batch.slice(first, stop - first)
+            if first < stop:
+                yield batch.slice(first, stop - first)
 
 
 def token_pieces(
